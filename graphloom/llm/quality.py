@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import textfeat
 from graphloom.llm.common import table, texts
 from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid, word_hashes
 
@@ -135,6 +136,12 @@ def quality(docs: DataFrame, model: Network) -> DataFrame:
     return score(texts(docs), lambda: held.value)
 
 
+def filtered(docs: DataFrame, model: Network, keep) -> DataFrame:  # noqa: ANN001
+    """The rows of docs whose score keep() accepts."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return textfeat.filtered(docs, lambda: held.value, keep)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every whole text of documents, scored by a model that no held-out row has taught."""
     docs = table(spark, sf_dir, "documents")

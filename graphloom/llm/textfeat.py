@@ -8,8 +8,9 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 #: Entries of a worker's cache of word hashes; only time depends on it.
@@ -72,6 +73,22 @@ def score(docs: DataFrame, model_of: Callable[[], object]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, score double")
 
 
+def filtered(docs: DataFrame, model_of: Callable[[], object], keep: Callable[[Column], Column]) -> DataFrame:
+    """The rows of docs, all columns as they were, whose score keep() accepts; the score travels with its row, so that no join is needed."""
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                some = batch.slice(a, 256)
+                scores = model.scores([word_hashes(t or "") for t in some.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores, pa.float64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema).where(keep(F.col("_score"))).drop("_score")
+
+
 def held_out_column(modulus: int, remainder: int):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 

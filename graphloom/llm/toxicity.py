@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import textfeat
 from graphloom.llm.common import table, texts
 from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid, word_hashes
 
@@ -173,6 +174,12 @@ def toxicity(docs: DataFrame, model: Cnn) -> DataFrame:
     return score(texts(docs), lambda: held.value)
 
 
+def filtered(docs: DataFrame, model: Cnn, keep) -> DataFrame:  # noqa: ANN001
+    """The rows of docs whose score keep() accepts."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return textfeat.filtered(docs, lambda: held.value, keep)
+
+
 def rejects(model: Cnn, lang, value):  # noqa: ANN001, ANN201
     """The decision: a score from its language's threshold on; other languages take the general one."""
     limit = F.lit(THRESHOLD)
