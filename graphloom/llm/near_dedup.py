@@ -95,7 +95,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [rows["salt"].iloc[0]], "n": [int(rows["n"].sum())], "cells": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
     kind = "chunk int, salt int, n bigint, cells binary"
-    merged = docs.select("text").mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
+    merged = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     got = sorted(merged.collect(), key=lambda r: r.chunk)
     if not got:
         return np.zeros(CELLS, np.int64), 0
