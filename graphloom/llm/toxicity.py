@@ -36,6 +36,11 @@ def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else pad[:0], np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _reaching(starts: np.ndarray) -> np.ndarray:
+    """Positions from which the widest filter would reach into the next document: they count for neither."""
+    return (starts[1:, None] - np.arange(1, _PAD + 1)).ravel()
+
+
 @dataclass
 class Cnn:
     """Embeddings, one weight matrix for each filter width, and a linear layer over the largest activations."""
@@ -76,6 +81,8 @@ class Cnn:
         best = np.full((len(docs), len(self.bias)), -np.inf, np.float32)
         for a in range(0, len(rows), _SLICE):
             act = self.activations(rows[a : a + _SLICE + _PAD])[:_SLICE]
+            own = _reaching(starts) - a
+            act[own[(own >= 0) & (own < len(act))]] = -np.inf
             first = int(np.searchsorted(starts, a, "right")) - 1
             last = int(np.searchsorted(starts, a + len(act), "left"))
             cuts = np.maximum(starts[first:last] - a, 0)
@@ -92,6 +99,7 @@ class Cnn:
         """One Adagrad step on a few documents; the gradient reaches only the positions that pooling chose."""
         rows, starts = _flat(docs)
         act = self.activations(rows)
+        act[_reaching(starts)] = -np.inf
         top = np.stack([s + act[s:e].argmax(axis=0) for s, e in zip(starts[:-1], starts[1:], strict=True)])
         n = np.arange(act.shape[1])
         z = act[top, n] + self.bias
