@@ -2,7 +2,8 @@
 
 Exact copies are one node. Nodes that share a band key are compared with one centre of the bucket, not with one another; one minus
 weighted Jaccard is a metric, so that after the comparison with a centre only nodes that the triangle inequality leaves open need
-another centre. What a few rounds leave open is compared in full. Classes are the connected components of verified links.
+another centre. What a few rounds leave open is compared pair by pair, but for pairs whose similarity cannot reach the threshold
+because too much of either text occurs in no other candidate. Classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ ROWS, BANDS = 3, 10
 CELLS = 1 << 20
 #: The weight of a shingle is tf * (FLOOR + (1 - FLOOR) * idf / largest idf), so that a large group's common shingles still count.
 FLOOR = 0.7
-#: Rounds of centres before what is left of a bucket is compared in full.
-ROUNDS = 2
+#: Rounds of centres before what is left of a bucket is compared pair by pair. The last round's centres are nodes already linked, if there
+#: are any, since open nodes are most often near one of these.
+ROUNDS = 3
 
 _CHUNKS = 32
 _M64 = (1 << 64) - 1
@@ -151,21 +153,23 @@ class Sampler:
 
 
 def similarity(a: bytes, b: bytes, weight: np.ndarray) -> float:
-    """Weighted Jaccard of two feature strings: per shingle the smaller tf weight over the larger."""
-    (ha, ca), (hb, cb) = (((x := np.frombuffer(f, "<u4").reshape(2, -1))[0], x[1]) for f in (a, b))
-    h, where = np.unique(np.concatenate([ha, hb]), return_inverse=True)
-    tf = np.zeros((2, len(h)))
-    np.add.at(tf[0], where[: len(ha)], ca)
-    np.add.at(tf[1], where[len(ha) :], cb)
-    w = weight[h & (CELLS - 1)]
-    most = float((tf.max(axis=0) * w).sum())
-    return float((tf.min(axis=0) * w).sum()) / most if most else 1.0
+    """Weighted Jaccard of two feature strings: per shingle the smaller tf weight over the larger; 1 for two texts without shingles."""
+    (ha, ca), (hb, cb) = (np.frombuffer(f, "<u4").reshape(2, -1) for f in (a, b))
+    wa, wb = weight[ha & (CELLS - 1)], weight[hb & (CELLS - 1)]
+    total = float((ca * wa).sum(dtype=np.float64) + (cb * wb).sum(dtype=np.float64))
+    if not len(ha) or not len(hb):
+        return 0.0 if total else 1.0
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    same = hb[at] == ha
+    shared = float((np.minimum(ca[same], cb[at[same]]) * wa[same]).sum(dtype=np.float64))
+    return shared / (total - shared)
 
 
 def features(text: str) -> bytes:
-    """The low 32 bits of each shingle's hash, which also name its cell, and its frequency."""
+    """The low 32 bits of each shingle's hash, ascending, which also name its cell; then their frequencies."""
     h, n = shingles(text)
-    return np.concatenate([(h & _U(0xFFFFFFFF)).astype("<u4"), n.astype("<u4")]).tobytes()
+    low, where = np.unique(h & _U(0xFFFFFFFF), return_inverse=True)
+    return np.concatenate([low.astype("<u4"), np.bincount(where, weights=n, minlength=len(low)).astype("<u4")]).tobytes()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,21 +230,51 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
         right = described.select(F.col("node").alias("b"), F.col("f").alias("fb"))
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(compare, "a bigint, b bigint, s double"), name)
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, n = np.frombuffer(f, "<u4").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.astype(np.int64)), pa.array(n * weight.value[h & (CELLS - 1)].astype(np.float64))], names=["node", "h", "w"])
+
+    def bounded(buckets: DataFrame) -> DataFrame:
+        """Buckets with each node's weight and the weight of its shingles that other nodes of any bucket have too: no overlap can be larger.
+
+        Nodes go of which that share is too small for any link; similarity is at most overlap / weight.
+        """
+        rows = described.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "f").mapInArrow(spread, "node bigint, h bigint, w double")
+        rows = materialize(rows, "spread")
+        own = rows.groupBy("h").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1").groupBy("node").agg(F.sum("w").alias("own"))
+        sized = rows.groupBy("node").agg(F.sum("w").alias("weight")).join(own, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common"))
+        return materialize(buckets.join(sized.where(F.col("common") >= similar * F.col("weight") - 1e-6), "node"), "buckets")
+
     links = None
     gap = 1 - similar
-    for _ in range(ROUNDS):
-        centre = active.where("open").groupBy("key").agg(F.min("node").alias("b"))
+    for i in range(ROUNDS):
+        if i + 1 < ROUNDS:
+            centre = active.where("open").groupBy("key").agg(F.min("node").alias("b"))
+        else:
+            centre = active.groupBy("key").agg(F.min_by("node", F.struct("open", F.xxhash64("node"))).alias("b"))
         pairs = active.join(centre, "key").where("node <> b")
         scored = verified(pairs.select(F.col("node").alias("a"), "b").distinct(), "verified")
         new = scored.where(F.col("s") >= similar).select("a", "b")
         links = new if links is None else links.unionByName(new)
-        told = pairs.join(scored, (pairs.node == scored.a) & (pairs.b == scored.b)).select("key", "node", "open", (1 - F.col("s")).alias("d"))
+        told = pairs.join(scored.select(F.col("a").alias("node"), "b", "s"), ["node", "b"]).select("key", "node", "open", *([] if i == 0 else ["weight", "common"]), (1 - F.col("s")).alias("d"))
         told = told.withColumn("linked", F.col("d") <= gap + 1e-12)
         # a linked node is still needed if a node that the centre is not linked with may lie within reach of it
         nearest = told.where("open and not linked").groupBy("key").agg(F.min("d").alias("least"))
         left = told.join(nearest, "key").where((F.col("open") & ~F.col("linked")) | ((F.col("d") >= F.col("least") - gap - 1e-9) & (F.col("least") <= 2 * gap + 1e-9)) | ~F.col("linked"))
-        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open")), "buckets")
-    rest = active.where("open").select("key", F.col("node").alias("a")).join(active.select("key", F.col("node").alias("b"), F.col("open").alias("other")), "key").where((F.col("a") < F.col("b")) | (~F.col("other") & (F.col("a") != F.col("b"))))
+        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *([] if i == 0 else ["weight", "common"])), "buckets")
+        if i == 0:
+            active = bounded(active)
+    # nodes that links already connect need no further comparison
+    so_far = components(links)
+    active = active.join(active.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("open").alias("still")), "node").join(so_far, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    active = materialize(active, "buckets")
+    one = active.where("still").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("common").alias("ca"), F.col("keys").alias("ka"), F.col("class").alias("class_a"))
+    other = active.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("still").alias("other"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("keys").alias("kb"), F.col("class").alias("class_b"))
+    # similarity is at most overlap / (both weights - overlap), and the overlap at most either node's common weight
+    may_link = F.least("ca", "cb") * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) - 1e-6
+    rest = one.join(other, (F.col("key") == F.col("key_b")) & ((F.col("a") < F.col("b")) | (~F.col("other") & (F.col("a") != F.col("b")))) & may_link & (F.col("class_a") != F.col("class_b")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key")))  # a pair once, in its first common bucket
     rest = verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified-rest")
     links = links.unionByName(rest.where(F.col("s") >= similar).select("a", "b"))
     found = components(links)
