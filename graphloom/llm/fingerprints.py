@@ -104,9 +104,12 @@ def difference(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cells.groupBy("row", "pair").agg(F.when(F.max("cell") < 0, F.sum("n")).alias("differing"))
 
 
-def _pairs(rows: DataFrame, width: Column) -> DataFrame:
-    pair = F.explode(F.array(F.struct(F.lit("edited").alias("pair"), F.col("edit").alias("theirs")), F.struct(F.lit("next").alias("pair"), F.col("following").alias("theirs"))))
-    return rows.select("row", F.col("own").alias("mine"), pair.alias("p")).select("row", "p.pair", "mine", "p.theirs").withColumn("width", width)
+def _pairs(rows: DataFrame, width: Column, open_only: bool = False) -> DataFrame:
+    """(row, pair, mine, theirs, width) of a row's edited text and next document; open_only: of the pairs that its column open names."""
+    pair = F.array(F.struct(F.lit("edited").alias("pair"), F.col("edit").alias("theirs")), F.struct(F.lit("next").alias("pair"), F.col("following").alias("theirs")))
+    if open_only:
+        pair = F.filter(pair, lambda p: F.array_contains("open", p["pair"]))
+    return rows.select("row", F.col("own").alias("mine"), F.explode(pair).alias("p")).select("row", "p.pair", "mine", "p.theirs").withColumn("width", width)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,12 +127,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     marks = fingerprint(dealt)
     done = materialize(difference(_pairs(dealt, F.lit(WIDTH).cast("bigint"))), "difference")
     for times in RETRIES:
-        open_rows = done.where("differing is null").select("row", "pair")
-        again = base.select("row", "own", "edit", "following").join(open_rows.select("row").distinct(), "row", "left_semi").repartition(n, "row")
-        wider = _pairs(again, (times * (F.size("mine") + F.size("theirs"))).cast("bigint")).join(open_rows, ["row", "pair"], "left_semi")
+        # most rows are open at first and few later, so that the first retry deals all rows out again and later ones only those open
+        open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
+        parts = base.select("row", "own", "edit", "following")
+        again = parts.repartition(n, "row").join(open_rows, "row") if times == RETRIES[0] else parts.join(open_rows, "row").repartition(n, "row")
+        wider = _pairs(again, (times * (F.size("mine") + F.size("theirs"))).cast("bigint"), open_only=True)
         done = materialize(done.where("differing is not null").unionByName(difference(wider)), "difference")
     # what no size has peeled is counted from the digests themselves
-    left = _pairs(base.join(done.where("differing is null").select("row").distinct(), "row", "left_semi"), F.lit(0)).join(done.where("differing is null").select("row", "pair"), ["row", "pair"], "left_semi")
+    open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
+    left = _pairs(base.join(open_rows, "row"), F.lit(0), open_only=True)
     exact = left.select("row", "pair", (F.size(F.array_except("mine", "theirs")) + F.size(F.array_except("theirs", "mine"))).cast("bigint").alias("differing"))
     counted = done.where("differing is not null").unionByName(exact).groupBy("row").agg(F.max(F.when(F.col("pair") == "edited", F.col("differing"))).alias("d_edited"), F.max(F.when(F.col("pair") == "next", F.col("differing"))).alias("d_next"))
 
