@@ -25,7 +25,7 @@ BLOCK_CHARS = 12_000_000
 #: Pre-tokens with more bytes are merged with a heap, since folding arrays takes time by the square of their length.
 FOLD_BYTES = 2_048
 #: Larger than any rank: the two pieces do not merge.
-NONE = 1 << 20
+NONE = 1 << 17
 #: Primes: the slots of either half of the cuckoo table.
 _SLOTS = (129_971, 127_031)
 
@@ -67,46 +67,40 @@ def rank_table(path: str) -> tuple[str, str]:
     return ",".join(str(ranks[bytes([b])]) for b in range(256)), ",".join(map(str, slots))
 
 
-def fold_words(words: Column, path: str) -> Column:
-    """array<array<int>> of byte values to array<array<int>> of ranks: in each word, the leftmost pair of the lowest rank merges until none does."""
-    singles, pairs = (F.split(F.lit(x), ",").cast(kind) for x, kind in zip(rank_table(path), ("array<int>", "array<bigint>"), strict=True))
+#: A piece on its way is one number: the rank of its merge with the next piece, then the place of its first byte, then its own rank.
+_RANK_BITS, _PLACE_BITS = 40, 16
 
-    def let(value: Column, body) -> Column:  # noqa: ANN001
-        """Evaluate value once for all its uses in body."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    none = F.array().cast("array<int>")
+def fold_words(words: str, path: str) -> Column:
+    """Column `words`, array<array<int>> of byte values, to array<array<int>> of ranks: in each word, the leftmost pair of the lowest rank merges until none does.
 
-    def rank_of(table: Column, left: Column, right: Column) -> Column:
-        def look(key: Column) -> Column:
-            first, second = (F.get(table, (key % n + side * _SLOTS[0]).cast("int")) for side, n in enumerate(_SLOTS))
-            entry = lambda e, other: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(65535).cast("int")).otherwise(other)
-            return entry(first, entry(second, F.lit(NONE)))
-
-        return let(left.cast("bigint") * 65536 + right, look)
-
-    def merge_word(table: Column, single: Column, word: Column) -> Column:
-        def begin(p: Column) -> Column:
-            pairs_of = F.transform(F.slice(p, 2, F.size(p)), lambda x, i: rank_of(table, F.get(p, i), x))
-            return F.struct(p.alias("ids"), F.when(F.size(p) > 1, pairs_of).otherwise(none).alias("next"))
-
-        def merged(s: Column, found: Column) -> Column:
-            at, rank = found["at"], found["rank"]
-            return F.struct(
-                F.concat(F.slice(s["ids"], 1, at - 1), F.array(rank), F.slice(s["ids"], at + 2, 1 << 30)).alias("ids"),
-                F.concat(
-                    F.when(at > 1, F.concat(F.slice(s["next"], 1, at - 2), F.array(rank_of(table, F.get(s["ids"], at - 2), rank)))).otherwise(none),
-                    F.when(at < F.size(s["next"]), F.concat(F.array(rank_of(table, rank, F.get(s["ids"], at + 1))), F.slice(s["next"], at + 2, 1 << 30))).otherwise(none),
-                ).alias("next"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            low = F.coalesce(F.array_min(state["next"]), F.lit(NONE))
-            return let(low, lambda m: F.when(m >= NONE, state).otherwise(let(F.struct(F.array_position(state["next"], m).cast("int").alias("at"), m.alias("rank")), lambda f: merged(state, f))))
-
-        return F.aggregate(word, let(F.transform(word, lambda b: F.get(single, b)), begin), step, lambda s: s["ids"])
-
-    return F.transform(F.array(F.struct(singles.alias("single"), pairs.alias("pair"))), lambda t: F.transform(words, lambda w: merge_word(t["pair"], t["single"], w)))[0]
+    The least number of a word's pieces names both the lowest rank and the leftmost place, so that a step is one minimum, one search
+    and one splice with two looked-up ranks. Written as SQL text, with `if` and one-element transforms as bindings: Spark interprets
+    these lambdas, and every node of the expression costs time at every step.
+    """
+    none = NONE << _RANK_BITS
+
+    def rank(left: str, right: str) -> str:
+        probe = lambda side: f"t.pairs[cast(k % {_SLOTS[side]} + {side * _SLOTS[0]} as int)]"
+        hit = lambda side, other: f"if(shiftright({probe(side)}, 16) = k, {probe(side)} & 65535, {other})"
+        return f"transform(array({left} * 65536 + {right}), k -> {hit(0, hit(1, f'{NONE}L'))})[0]"
+
+    def piece(own: str, place: str, right: str | None) -> str:
+        rest = f"shiftleft({place}, {_PLACE_BITS}) + {own}"
+        return f"{none}L + {rest}" if right is None else f"shiftleft({rank(own, right)}, {_RANK_BITS}) + {rest}"
+
+    own = lambda x: f"({x} & 65535)"
+    place = lambda x: f"(shiftright({x}, {_PLACE_BITS}) & {(1 << (_RANK_BITS - _PLACE_BITS)) - 1})"
+    made, nothing, single = f"shiftright(m, {_RANK_BITS})", "cast(array() as array<bigint>)", lambda x: f"cast(t.singles[{x}] as bigint)"
+    begin = f"transform(w, (b, i) -> if(i + 1 < size(w), {piece(single('b'), 'cast(i as bigint)', single('w[i + 1]'))}, {piece(single('b'), 'cast(i as bigint)', None)}))"
+    left = f"if(q > 1, slice(a, 1, q - 2), {nothing}), if(q > 1, array({piece(own('a[q - 2]'), place('a[q - 2]'), made)}), {nothing})"
+    middle = f"array(if(q + 1 < size(a), {piece(made, place('m'), own('a[q + 1]'))}, {piece(made, place('m'), None)}))"
+    splice = f"transform(array(cast(array_position(a, m) as int)), q -> concat({left}, {middle}, slice(a, q + 2, {1 << 30})))[0]"
+    step = f"transform(array(array_min(a)), m -> if(m >= {none}L, a, {splice}))[0]"
+    fold = f"if(size(w) = 0, cast(array() as array<int>), aggregate(w, {begin}, (a, b) -> {step}, a -> transform(a, e -> cast(e & 65535 as int))))"
+    singles, pairs = rank_table(path)
+    tables = f"named_struct('singles', cast(split('{singles}', ',') as array<int>), 'pairs', cast(split('{pairs}', ',') as array<bigint>))"
+    return F.expr(f"transform(array({tables}), t -> transform({words}, w -> {fold}))[0]")
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -221,7 +215,7 @@ def _expand(ends: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.n
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, text) to (doc_id, ids array<int>): as tiktoken's encode_ordinary. Empty and null texts give an empty array; repeated rows give repeated rows."""
-    folded = blocks(docs, ranks_path, pattern, block_chars).withColumn("ids", fold_words(F.col("bytes"), ranks_path)).drop("bytes")
+    folded = blocks(docs, ranks_path, pattern, block_chars).withColumn("ids", fold_words("bytes", ranks_path)).drop("bytes")
     order = ["doc_ids", "chunk_ends", "chunks", "word_ends", "words", "long_words", "long_ids", "ids"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
