@@ -11,8 +11,8 @@ import numpy as np
 #: Text is cut at these characters only. The tokenizer's pattern drops white space and never reaches across it, its normalizer maps
 #: character by character, and composition never joins a mark to white space, so the cut changes no id.
 _CUT = re.compile(r"[ \n\t\r]+")
-#: Bytes that a worker's cache may hold, by estimate; only time depends on it.
-_CACHE_BYTES = 48_000_000
+#: Bytes that either generation of a worker's cache may hold, by estimate; only time depends on it.
+_CACHE_BYTES = 64_000_000
 
 
 @lru_cache(maxsize=2)
@@ -29,18 +29,23 @@ class Encoder:
     """encode(texts) gives each text's ids as a uint32 array, as encode_batch(add_special_tokens=False) of the library would."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.held = path, {}, 0
+        self.path, self.known, self.before, self.held = path, {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, chunks = self.known, [_CUT.split(t) for t in texts]
-        if self.held > _CACHE_BYTES:
-            known.clear()
-            self.held = 0
-        new = list({c for doc in chunks for c in doc if c not in known})
+        chunks = [_CUT.split(t) for t in texts]
+        if self.held > _CACHE_BYTES:  # what is used again moves on to the new generation, so that frequent chunks stay
+            self.before, self.known, self.held = self.known, {}, 0
+        known, before = self.known, self.before
+        new = []
+        for c in {c for doc in chunks for c in doc if c not in known}:
+            self.held += 200 + 2 * len(c)
+            if c in before:
+                known[c] = before[c]
+            else:
+                new.append(c)
         for a in range(0, len(new), 20_000):
             for c, e in zip(new[a : a + 20_000], _tokenizer(self.path).encode_batch_fast(new[a : a + 20_000], add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, "<u4").tobytes()
-                self.held += 200 + 2 * len(c)
         return [np.frombuffer(b"".join(map(known.__getitem__, doc)), "<u4") for doc in chunks]
 
 
