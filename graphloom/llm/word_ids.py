@@ -15,6 +15,18 @@ _CUT = re.compile(r"[ \n\t\r]+")
 _CACHE_BYTES = 64_000_000
 
 
+#: Closing marks. The tokenizer's pattern separates them from a letter or digit before them.
+_TAIL = '.,!?;:|$%&*#"()'
+
+
+def _parts(chunk: str) -> tuple[str, ...]:
+    """A chunk cut before its closing marks if a letter or digit of a long-settled block stands there; ASCII in lower case, as the normalizer makes it."""
+    base = chunk.rstrip(_TAIL)
+    if base and len(base) < len(chunk) and base[-1].lower().isalnum() and base[-1] < "\u0250":
+        return (base.lower() if base.isascii() else base, chunk[len(base) :])
+    return (chunk.lower() if chunk.isascii() else chunk,)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):  # noqa: ANN202
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,16 +48,26 @@ class Encoder:
         if self.held > _CACHE_BYTES:  # what is used again moves on to the new generation, so that frequent chunks stay
             self.before, self.known, self.held = self.known, {}, 0
         known, before = self.known, self.before
-        new = []
+        fresh, wanted = [], {}
         for c in {c for doc in chunks for c in doc if c not in known}:
             self.held += 200 + 2 * len(c)
             if c in before:
                 known[c] = before[c]
             else:
-                new.append(c)
+                fresh.append((c, parts := _parts(c)))
+                for p in parts:
+                    if p not in known:
+                        if p in before:
+                            known[p] = before[p]
+                        else:
+                            wanted[p] = None
+        new = list(wanted)
         for a in range(0, len(new), 20_000):
             for c, e in zip(new[a : a + 20_000], _tokenizer(self.path).encode_batch_fast(new[a : a + 20_000], add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, "<u4").tobytes()
+                self.held += 200 + 2 * len(c)
+        for c, parts in fresh:
+            known[c] = b"".join(map(known.__getitem__, parts))
         return [np.frombuffer(b"".join(map(known.__getitem__, doc)), "<u4") for doc in chunks]
 
 

@@ -142,3 +142,12 @@ def test_token_counts_equal_plain_dynamic_programming(spark, odd_rows, some_rows
         found = token_counts._PRETOKEN.findall(t or "")
         want.append((i or -1, len(found), sum(plain(w.replace(" ", "▁")) for w in found)))
     assert got == sorted(want)
+
+
+def test_chunked_ids_of_odd_characters():
+    import random
+
+    rng = random.Random(0)
+    letters = "aBÉé1²٣ſµΣς'’“.,!?;:|$%&*#\"()-—\u0301 \n\tsStT中İıßǅ<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3_000)]
+    assert [x.tolist() for x in word_ids.Encoder(WORDS).encode(texts)] == library_ids(texts)
