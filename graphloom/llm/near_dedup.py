@@ -2,8 +2,9 @@
 
 Exact copies are one node. Nodes that share a band key are compared with one centre of the bucket, not with one another; one minus
 weighted Jaccard is a metric, so that after the comparison with a centre only nodes that the triangle inequality leaves open need
-another centre. What a few rounds leave open is compared pair by pair, but for pairs whose similarity cannot reach the threshold
-because too much of either text occurs in no other candidate. Classes are the connected components of verified links.
+another centre. Nodes linked to different centres of a bucket stay in it. What a few rounds leave is compared pair by pair, but for
+pairs of one class, pairs whose distances to a centre rule a link out, and pairs whose similarity cannot reach the threshold because
+too much of either text occurs in no other candidate. Classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -247,7 +248,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
         sized = rows.groupBy("node").agg(F.sum("w").alias("weight")).join(own, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common"))
         return materialize(buckets.join(sized.where(F.col("common") >= similar * F.col("weight") - 1e-6), "node"), "buckets")
 
-    links = None
+    links, told_d = None, []
     gap = 1 - similar
     for i in range(ROUNDS):
         if i + 1 < ROUNDS:
@@ -258,23 +259,29 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
         scored = verified(pairs.select(F.col("node").alias("a"), "b").distinct(), "verified")
         new = scored.where(F.col("s") >= similar).select("a", "b")
         links = new if links is None else links.unionByName(new)
-        told = pairs.join(scored.select(F.col("a").alias("node"), "b", "s"), ["node", "b"]).select("key", "node", "open", *([] if i == 0 else ["weight", "common"]), (1 - F.col("s")).alias("d"))
-        told = told.withColumn("linked", F.col("d") <= gap + 1e-12)
-        # a linked node is still needed if a node that the centre is not linked with may lie within reach of it
-        nearest = told.where("open and not linked").groupBy("key").agg(F.min("d").alias("least"))
-        left = told.join(nearest, "key").where((F.col("open") & ~F.col("linked")) | ((F.col("d") >= F.col("least") - gap - 1e-9) & (F.col("least") <= 2 * gap + 1e-9)) | ~F.col("linked"))
-        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *([] if i == 0 else ["weight", "common"])), "buckets")
+        kept = [*([] if i == 0 else ["weight", "common"]), *told_d]
+        told = pairs.join(scored.select(F.col("a").alias("node"), "b", "s"), ["node", "b"]).select("key", "node", "open", *kept, (1 - F.col("s")).alias(f"d{i}"), (F.col("s") >= similar).alias("linked"))
+        told_d.append(f"d{i}")
+        # a linked node is still needed if a node that the centre is not linked with, open or not, may lie within reach of it
+        nearest = told.where("not linked").groupBy("key").agg(F.min(f"d{i}").alias("least"))
+        left = told.join(nearest, "key").where(~F.col("linked") | (F.col(f"d{i}") >= F.col("least") - gap - 1e-9))
+        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *kept, f"d{i}"), "buckets")
         if i == 0:
             active = bounded(active)
     # nodes that links already connect need no further comparison
     so_far = components(links)
-    active = active.join(active.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("open").alias("still")), "node").join(so_far, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    active = active.join(active.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "node").join(so_far, "node", "left").withColumn("class", F.coalesce("class", "node"))
     active = materialize(active, "buckets")
-    one = active.where("still").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("common").alias("ca"), F.col("keys").alias("ka"), F.col("class").alias("class_a"))
-    other = active.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("still").alias("other"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("keys").alias("kb"), F.col("class").alias("class_b"))
+    # of two nodes of different classes at least one is outside the bucket's largest class; buckets of one class have no such node
+    largest = active.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    active = materialize(active.join(largest, "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
+    one = active.where("minor").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("common").alias("ca"), F.col("keys").alias("ka"), F.col("class").alias("class_a"), *(F.col(d).alias(f"{d}_a") for d in told_d))
+    other = active.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("minor").alias("other"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("keys").alias("kb"), F.col("class").alias("class_b"), *(F.col(d).alias(f"{d}_b") for d in told_d))
     # similarity is at most overlap / (both weights - overlap), and the overlap at most either node's common weight
     may_link = F.least("ca", "cb") * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) - 1e-6
-    rest = one.join(other, (F.col("key") == F.col("key_b")) & ((F.col("a") < F.col("b")) | (~F.col("other") & (F.col("a") != F.col("b")))) & may_link & (F.col("class_a") != F.col("class_b")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key")))  # a pair once, in its first common bucket
+    for d in told_d:
+        may_link &= F.abs(F.col(f"{d}_a") - F.col(f"{d}_b")) <= gap + 1e-9
+    rest = one.join(other, (F.col("key") == F.col("key_b")) & ((F.col("a") < F.col("b")) | ~F.col("other")) & may_link & (F.col("class_a") != F.col("class_b")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key")))  # a pair once, in its first common bucket
     rest = verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified-rest")
     links = links.unionByName(rest.where(F.col("s") >= similar).select("a", "b"))
     found = components(links)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -160,3 +161,23 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows, some_rows, words):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(find(i) for i in ids))
     assert kept.where("doc_id is null").count() == 2
     assert near_dedup.classes(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_linked_to_different_centres_are_compared(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(1_500):  # windows of one text, 10 of 100 shingles apart: only neighbours are similar, and the ends have the smallest ids
+        line = [f"w{rng.randrange(50_000)}" for _ in range(134)]
+        rows += [(4 * k + place, " ".join(line[at * 10 : at * 10 + 104])) for place, at in ((1, 0), (2, 3), (3, 1), (4, 2))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    weight = near_dedup.weights(*near_dedup.document_frequencies(docs))
+    keys = near_dedup.Sampler(weight).bands([near_dedup.shingles(t) for _, t in rows])
+    f = [near_dedup.features(t) for _, t in rows]
+    want = {i: i for i, _ in rows}
+    for a in range(len(rows)):
+        for b in range(a + 1, a - a % 4 + 4):
+            if set(keys[a]) & set(keys[b]) and near_dedup.similarity(f[a], f[b], weight) >= near_dedup.SIMILARITY:
+                old, new = want[rows[a][0]], want[rows[b][0]]
+                want.update({rows[c][0]: min(old, new) for c in range(a - a % 4, a - a % 4 + 4) if want[rows[c][0]] in (old, new)})
+    assert [i for i in want if got[i] != want[i]] == []
