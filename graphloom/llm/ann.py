@@ -4,7 +4,8 @@ Vectors are grouped by value, so that copies are one entry with their smallest i
 joined to a neighbour graph that every task holds; a best-first search on the graph finds the lists nearest to a vector. A vector is
 posted to its nearest list and, if it lies near a boundary, to further lists by distance ratio; a query reads the lists whose
 centroid is within a ratio of its nearest one. Lists and their queries are dealt to blocks of bounded size, so that neither a large
-list nor many queries of one list meet in a single task.
+list nor many queries of one list meet in a single task. How many of its nearest lists every query reads besides is calibrated: it
+is the number in which a sample of the queries finds RECALL of its true neighbours, known by comparison with every vector.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from graphloom.llm.common import materialize, table
 K = 20
 #: Vectors that the centroids are fitted on at most; wanted entries of a list; lists at most, so that centroids and graph have bounded size.
 SAMPLE, LIST_SIZE, MAX_LISTS = 40_000, 160, 8_192
-#: Neighbours of a centroid in the graph, and the beam of a search.
-DEGREE, BEAM = 24, 96
+#: Neighbours of a centroid in the graph.
+DEGREE = 24
 #: A boundary vector is posted to lists within this ratio of its nearest distance, to COPIES of them at most.
 BOUNDARY, COPIES = 1.12, 4
-#: A query reads lists within this ratio of its nearest distance, PROBES of them at most.
+#: A query reads of its PROBES nearest lists those within this ratio of its nearest distance, and as many lists as the calibration asks for.
 REACH, PROBES = 1.35, 64
+#: Queries of the calibration, and the share of their true neighbours that the lists read must hold.
+TRIALS, RECALL = 256, 0.995
 #: Entries of a list, or of its queries, in one block.
 BLOCK = 2_048
 
@@ -73,6 +76,12 @@ class Centroids:
             np.put_along_axis(again, order[:, 1:], (sorted_new[:, 1:] == sorted_new[:, :-1]) & sorted_fresh[:, :-1], axis=1)
             fresh &= ~again
 
+    def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like search, but exact."""
+        d = (self.points**2).sum(axis=1) - 2 * x @ self.points.T
+        ids = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, axis=1) + (x**2).sum(axis=1, keepdims=True), 0))
+
 
 def fit(sample: np.ndarray, total: int, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, seed: int = 5) -> Centroids:
     """Balanced clustering of the sample: clusters with too many members are split in two, again and again, until all are small enough."""
@@ -155,39 +164,71 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     sample = np.column_stack([np.stack(some["v"]).astype(np.float32), np.sqrt(np.maximum(top - some["square"].to_numpy(), 0))]).astype(np.float32)
     shared = spark.sparkContext.broadcast(fit(sample, size.n))
 
-    def lists_of(x: np.ndarray, extra: np.ndarray, ratio: float, most: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list within the ratio of a row's nearest one."""
-        rows, lists = [], []
-        for a in range(0, len(x), 512):
-            ids, d = shared.value.search(np.column_stack([x[a : a + 512], extra[a : a + 512]]).astype(np.float32), beam)
-            keep = (d[:, :most] <= ratio * d[:, :1] + 1e-6) & (ids[:, :most] >= 0)
-            keep[:, 0] = True
-            r, c = np.nonzero(keep)
-            rows.append(r + a)
-            lists.append(ids[r, c])
-        return np.concatenate(rows), np.concatenate(lists)
-
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 some = batch.slice(a, 2_000)
                 x, square = _matrix(some.column(1), dim), np.asarray(some.column(2))
-                r, lists = lists_of(x, np.sqrt(np.maximum(top - square, 0)), BOUNDARY, COPIES, 32)
+                r, lists = [], []
+                for b in range(0, len(x), 512):
+                    extra = np.sqrt(np.maximum(top - square[b : b + 512], 0))
+                    ids, d = shared.value.search(np.column_stack([x[b : b + 512], extra]).astype(np.float32), 32)
+                    keep = (d[:, :COPIES] <= BOUNDARY * d[:, :1] + 1e-6) & (ids[:, :COPIES] >= 0)
+                    keep[:, 0] = True
+                    at, c = np.nonzero(keep)
+                    r.append(at + b)
+                    lists.append(ids[at, c])
+                r, lists = np.concatenate(r), np.concatenate(lists)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r))], names=["list", "entry", "v"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                some = batch.slice(a, 2_000)
-                x = _matrix(some.column(1), dim)
-                # a query's scale does not change its order: search at the length of the longest vector
-                length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-                r, lists = lists_of(x * np.sqrt(top) / length, np.zeros(len(x)), REACH, PROBES, BEAM)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r))], names=["list", "query", "v"])
+    def places(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        # a query's scale does not change its order: search at the length of the longest vector
+        length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        return shared.value.nearest(np.column_stack([x * np.sqrt(top) / length, np.zeros(len(x))]).astype(np.float32), most)
 
     asked = asked.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     kinds = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("query")).select("query", "v"), "ann-queries")
     posted = materialize(entries.select("entry", "v", "square").mapInArrow(post, "list int, entry bigint, v array<float>"), "ann-lists")
+    trials = kinds.orderBy(F.xxhash64("query")).limit(TRIALS).toPandas()
+    probes = 0
+    if len(trials):
+        tried = spark.sparkContext.broadcast(np.stack(trials["v"]).astype(np.float64))
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = len(tried.value)
+            best, ids = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2_000):
+                    some = batch.slice(a, 2_000)
+                    best = np.concatenate([best, tried.value @ _matrix(some.column(1), dim).astype(np.float64).T], axis=1)
+                    ids = np.concatenate([ids, np.broadcast_to(some.column(0).to_numpy(), (n, some.num_rows))], axis=1)
+                    order = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+                    best, ids = np.take_along_axis(best, order, axis=1), np.take_along_axis(ids, order, axis=1)
+            if ids.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), ids.shape[1]), pa.int32()), pa.array(ids.ravel()), pa.array(best.ravel())], names=["trial", "entry", "score"])
+
+        true = entries.select("entry", "v").mapInArrow(exact, "trial int, entry bigint, score double")
+        true = true.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "entry"))).where(F.col("n") <= k + 1)
+        # at most TRIALS * (k + 1) * COPIES rows
+        held = posted.join(F.broadcast(true.select("trial", "entry")), "entry").select("trial", "entry", "list").toPandas()
+        order, _ = places(np.stack(trials["v"]).astype(np.float32), len(shared.value.points))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+        held["place"] = place[held["trial"], held["list"]]
+        needed = np.sort(held.groupby(["trial", "entry"])["place"].min().to_numpy())
+        probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)]) + 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                some = batch.slice(a, 256)
+                ids, d = places(_matrix(some.column(1), dim), max(probes, PROBES))
+                keep = d <= REACH * d[:, :1] + 1e-6
+                keep[:, PROBES:] = False
+                keep[:, : max(1, probes)] = True
+                r, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r))], names=["list", "query", "v"])
+
     sought = materialize(kinds.mapInArrow(ask, "list int, query bigint, v array<float>"), "ann-sought")
     # at most MAX_LISTS rows each
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(sought.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list")

@@ -4,6 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from fixtures_llm import docs_of
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def test_ann_recall_scores_copies_and_unusable_vectors(spark):
     assert got[1_000][0][0] == 1_001 and [i for i, _ in got[1_500]] == list(range(1_000, 1_020))
 
 
+def test_ann_recall_holds_with_many_lists(spark, tmp_path):
+    n, dim = 30_000, 128
+    x = np.random.default_rng(12).normal(size=(n, dim)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), x.ravel())}), tmp_path / "v.parquet")
+    table = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = defaultdict(set)
+    for r in ann.search(table, table.where(F.col("vec_id") % 300 == 0)).collect():
+        got[r.query_id].add(r.vec_id)
+    found = 0
+    for i in range(0, n, 300):
+        score = x.astype(np.float64) @ x[i]
+        score[i] = -np.inf
+        found += len(got[i] & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 100 and found / 2_000 >= 0.99, found / 2_000
+
+
 def test_ann_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id bigint, embedding array<float>")
     got = ann.search(few, few.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
