@@ -111,8 +111,8 @@ def prevalence(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     return counted.select(one).select("f.*").withColumn("share", F.when(F.col("rows") > 0, F.col("present") / F.col("rows")))
 
 
-def reachable(edge_table: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFrame:
-    """(start, node, hops): every node that starts reach along edges and the least number of hops; cycles end because known pairs are not taken again.
+def reachable(edge_table: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops): every node that starts reach along edges and the least number of hops; cycles end because known pairs are not taken again. With max_hops, only those within so many hops.
 
     One join a hop against the frontier of new pairs; each hop's result is written to the checkpoint folder, so that the plan does not grow.
     """
@@ -124,7 +124,9 @@ def reachable(edge_table: DataFrame, starts: DataFrame, max_hops: int = 32) -> D
     steps = edge_table.select(F.col("source_ref").alias("node"), F.col("target_ref").alias("next")).distinct()
     known = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
     frontier = known
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         frontier = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct().join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
             break

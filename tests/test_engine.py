@@ -167,3 +167,10 @@ def test_closure_survives_cycles(spark):
     steps.createOrReplaceTempView("steps")
     spark.createDataFrame([("a",)], "node string").createOrReplaceTempView("starts")
     assert {r.node for r in spark.sql(graph.reachable_sql("steps", "starts")).collect()} == {"a", "b", "c", "d"}
+
+
+def test_reachable_follows_long_chains(spark):
+    steps = spark.range(36).coalesce(1).select(F.col("id").cast("string").alias("source_ref"), (F.col("id") + 1).cast("string").alias("target_ref"))
+    starts = spark.createDataFrame([("0",)], "node string").coalesce(1)
+    got = {(r.node, r.hops) for r in graph.reachable(steps, starts).collect()}
+    assert got == {(str(i), i) for i in range(37)}
