@@ -6,12 +6,16 @@ import atexit
 import math
 import tempfile
 import uuid
-import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_dropped_at_exit: weakref.WeakSet = weakref.WeakSet()
+#: Bytes of an Arrow batch on its way to a Python worker. Texts are of any length, so that a count of rows bounds no memory.
+BATCH_BYTES = 4_000_000
+
+_memos: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +23,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have this session cut Arrow batches at BATCH_BYTES; the setting holds for all that it runs later, and only memory depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Memo(dict):
+    """A worker's cache of at most `limit` entries. Workers outlive a query: the first use of another memo empties this one, so that caches of several operators never add up."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def room(self) -> None:
+        if len(self) >= self.limit:
+            self.clear()
+
+
+def use(memo: dict) -> None:
+    """The calling task works with this memo: all others of the worker are emptied."""
+    if not any(m is memo for m in _memos):
+        _memos.append(memo)
+    for m in _memos:
+        if m is not memo:
+            m.clear()
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each followed by as many underscores as make it differ from every column of docs in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_whole_rows(docs: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """docs.mapInArrow(run, schema) for columns of any names: run sees them by place."""
+    bounded_batches(docs.sparkSession)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id bigint, text string): other columns, whatever their names, stay outside; null text becomes empty."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own in a local session, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
             root = sc.getCheckpointDir()
     return root.rstrip("/")

@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import Memo, bounded_batches, column, fresh, materialize, table, use
 
 WORDS, SIMILARITY = 5, 0.8
 #: Samples in a band and bands: a pair of similarity 0.8 shares a band key with probability 1 - (1 - 0.8^3)^10 = 0.9992.
@@ -38,15 +39,14 @@ _U = np.uint64
 _POWERS = [_U(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(WORDS)]
 
 
-class _Words(dict):
+class _Words(Memo):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
+        self.room()
         self[word] = value = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return value
 
 
-_words = _Words()
+_words = _Words(200_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ class Sampler:
         return out
 
 
-def similarity(a: bytes, b: bytes, weight: np.ndarray) -> float:
+def similarity(a: bytes | pa.Buffer, b: bytes | pa.Buffer, weight: np.ndarray) -> float:
     """Weighted Jaccard of two feature strings: per shingle the smaller tf weight over the larger; 1 for two texts without shingles."""
     (ha, ca), (hb, cb) = (np.frombuffer(f, "<u4").reshape(2, -1) for f in (a, b))
     wa, wb = weight[ha & (CELLS - 1)], weight[hb & (CELLS - 1)]
@@ -191,39 +191,51 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for each row of docs: class_id is the smallest doc_id among the rows it is linked with, directly or through others.
 
-    Equal texts, empty ones included, are linked; null text counts as empty. Rows with one doc_id are one node. Null doc_ids are
-    compared with nothing and have class_id null. Links join texts with weighted Jaccard similarity of at least `similar`.
+    Equal texts, empty ones included, are linked; null text counts as empty. Rows with one doc_id are one document, and so all texts of
+    that doc_id are linked. Null doc_ids are compared with nothing and have class_id null. Links join texts with weighted Jaccard
+    similarity of at least `similar`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
     cells, n = document_frequencies(base)
     weight = spark.sparkContext.broadcast(weights(cells, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weight.value)
+        use(_words)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 some = batch.slice(a, 200)
                 keys = sampler.bands([shingles(t) for t in some.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
 
-    signed = materialize(base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, bands array<bigint>"), "signed")
+    # a node is a text: the number of one of its rows in the written table, and the smallest doc_id that has it
+    signed = materialize(base.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id is not null")
-    copies = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "copies")
-    keyed = copies.select("node", F.explode("bands").alias("key")).distinct()
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    copies = materialize(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "copies")
+    keyed = copies.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    # a written side of a join lets Spark split a crowded key over tasks
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
     active = materialize(keyed.join(crowded, "key").withColumn("open", F.lit(True)), "buckets")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(features, batch.column(1).to_pylist()), pa.binary())], names=["node", "f"])
+            for a in range(0, batch.num_rows, 200):
+                some = batch.slice(a, 200)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(features, some.column(1).to_pylist()), pa.binary())], names=["node", "f"])
 
-    wanted = active.select("node").distinct()
-    described = materialize(base.join(wanted, base.doc_id == wanted.node, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(describe, "node bigint, f binary"), "features")
+    # of a text's copies the rows of its smallest doc_id are enough
+    wanted = copies.join(active.select("node").distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "digest")
+    one = base.where("doc_id is not null").withColumn("digest", digest).join(wanted, ["doc_id", "digest"]).groupBy("doc_id", "digest", "node").agg(F.min("text").alias("text"))
+    described = materialize(one.select("node", "text").mapInArrow(describe, "node bigint, f binary"), "features")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [similarity(a, b, weight.value) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            # as views of the batch: a pair's features are not copied
+            s = [similarity(a.as_buffer(), b.as_buffer(), weight.value) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -233,8 +245,8 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, n = np.frombuffer(f, "<u4").reshape(2, -1)
+            for node, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, n = np.frombuffer(f.as_buffer(), "<u4").reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.astype(np.int64)), pa.array(n * weight.value[h & (CELLS - 1)].astype(np.float64))], names=["node", "h", "w"])
 
     def bounded(buckets: DataFrame) -> DataFrame:
@@ -255,15 +267,17 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
             centre = active.where("open").groupBy("key").agg(F.min("node").alias("b"))
         else:
             centre = active.groupBy("key").agg(F.min_by("node", F.struct("open", F.xxhash64("node"))).alias("b"))
+        centre = materialize(centre, "centres")
         pairs = active.join(centre, "key").where("node <> b")
         scored = verified(pairs.select(F.col("node").alias("a"), "b").distinct(), "verified")
         new = scored.where(F.col("s") >= similar).select("a", "b")
         links = new if links is None else links.unionByName(new)
         kept = [*([] if i == 0 else ["weight", "common"]), *told_d]
         told = pairs.join(scored.select(F.col("a").alias("node"), "b", "s"), ["node", "b"]).select("key", "node", "open", *kept, (1 - F.col("s")).alias(f"d{i}"), (F.col("s") >= similar).alias("linked"))
+        told = materialize(told, "told")
         told_d.append(f"d{i}")
         # a linked node is still needed if a node that the centre is not linked with, open or not, may lie within reach of it
-        nearest = told.where("not linked").groupBy("key").agg(F.min(f"d{i}").alias("least"))
+        nearest = materialize(told.where("not linked").groupBy("key").agg(F.min(f"d{i}").alias("least")), "nearest")
         left = told.join(nearest, "key").where(~F.col("linked") | (F.col(f"d{i}") >= F.col("least") - gap - 1e-9))
         active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *kept, f"d{i}"), "buckets")
         if i == 0:
@@ -284,18 +298,23 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     rest = one.join(other, (F.col("key") == F.col("key_b")) & ((F.col("a") < F.col("b")) | ~F.col("other")) & may_link & (F.col("class_a") != F.col("class_b")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key")))  # a pair once, in its first common bucket
     rest = verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified-rest")
     links = links.unionByName(rest.where(F.col("s") >= similar).select("a", "b"))
+    # texts that one doc_id has
+    node_of = known.select("doc_id", "digest").distinct().join(copies.select("digest", "node"), "digest").select("doc_id", "node")
+    shared = node_of.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = links.unionByName(node_of.join(shared, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
     found = components(links)
-    of_text = copies.join(found, "node", "left").select("digest", F.coalesce("class", "node").alias("class_id"))
+    of_node = copies.select("digest", "node", "doc").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = of_node.groupBy("class").agg(F.min("doc").alias("class_id"))
+    of_text = materialize(of_node.join(least, "class").select("digest", "class_id"), "classes")
     return known.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id").unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (of rows with this doc_id the first text); rows with null doc_id stay."""
-    from pyspark.sql.window import Window
-
-    kept = classes(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias("_class")).distinct()
+    of_class, place = fresh(docs, "class", "place")
+    kept = classes(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias(of_class)).distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
-    one = docs.join(kept, F.col("doc_id") == F.col("_class"), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    one = docs.join(kept, F.col("doc_id") == F.col(of_class), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*map(column, docs.columns))
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, table, texts
+from graphloom.llm.common import column, fresh, map_whole_rows, materialize, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -181,9 +181,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans go to their texts by (doc_id, hash of the text): rows that share both have the same spans.
     """
-    found = spans(docs).where(F.size("spans") > 0).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_pii_id"), F.col("digest").alias("_pii_digest")).agg(F.first("spans").alias("_pii_spans"))
-    keyed = docs.withColumns({"_pii_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_pii_digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    joined = keyed.join(found, ["_pii_id", "_pii_digest"], "left").withColumn("_pii_spans", F.to_json("_pii_spans")).select(*(F.col(f"`{c}`") for c in docs.columns), "_pii_spans")
+    of_doc, of_text, marks = fresh(docs, "of_doc", "of_text", "marks")
+    found = spans(docs).where(F.size("spans") > 0).groupBy(F.coalesce("doc_id", F.lit(-1)).alias(of_doc), F.col("digest").alias(of_text)).agg(F.to_json(F.first("spans")).alias(marks))
+    keyed = docs.withColumns({of_doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), of_text: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    joined = keyed.join(found, [of_doc, of_text], "left").select(*map(column, docs.columns), marks)
+    names = docs.columns
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +197,9 @@ def redact(docs: DataFrame) -> DataFrame:
                 if chars >= 0:
                     cols[chars] = pa.array([len(t) if m else n for t, m, n in zip(new, marks, cols[chars].to_pylist(), strict=True)], cols[chars].type)
                 cols[at] = pa.array(new, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_whole_rows(joined, run, docs.schema)
 
 
 def replaced(text: str, found: list[dict]) -> str:

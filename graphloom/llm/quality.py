@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textfeat
 from graphloom.llm.common import table, texts
-from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid, word_hashes
+from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid
 
 #: Words share this many vectors by hash; an index vector has NONZERO entries of +1 or -1 among DIM.
 BUCKETS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 16, 48, 4, 2, 32
+#: Labelled rows that the driver fits on at most (textfeat.SAMPLE_WORDS bounds their words); rows with more than MAX_WORDS words add nothing to
+#: the word vectors, so that a few very long ones do not settle them, but train the network and are scored whole.
 MAX_ROWS, MAX_WORDS = 9_000, 20_000
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
@@ -30,13 +32,21 @@ def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
     """Random indexing: a word's vector sums the index vectors of the words up to WINDOW places around it; unseen words keep their index vector. Unit length."""
     places, signs = index_vectors()
     gap = np.full(WINDOW, -1, np.int64)
-    flat = np.concatenate([x for d in docs for x in ((d % BUCKETS).astype(np.int64), gap)] or [gap])
     total = np.zeros(BUCKETS * DIM)
-    for step in range(1, WINDOW + 1):
-        for near, far in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
-            both = (near >= 0) & (far >= 0)
-            for k in range(NONZERO):
-                total += np.bincount(near[both] * DIM + places[far[both], k], weights=signs[far[both], k], minlength=len(total))
+    slices, n = [[]], 0
+    for d in docs:
+        n += len(d)
+        if n > _SLICE * 10:  # bounded memory: documents by the slice
+            slices.append([])
+            n = len(d)
+        slices[-1].append(d)
+    for some in slices:
+        flat = np.concatenate([x for d in some for x in ((d % BUCKETS).astype(np.int64), gap)] or [gap])
+        for step in range(1, WINDOW + 1):
+            for near, far in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
+                both = (near >= 0) & (far >= 0)
+                for k in range(NONZERO):
+                    total += np.bincount(near[both] * DIM + places[far[both], k], weights=signs[far[both], k], minlength=len(total))
     vectors = total.reshape(BUCKETS, DIM)
     unseen = ~vectors.any(axis=1)
     own = np.zeros((BUCKETS, DIM))
@@ -89,10 +99,9 @@ def pool(docs: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     return np.column_stack([mean, np.linalg.norm(mean, axis=1), near / np.maximum(sizes - 1, 1)])
 
 
-def fit(text: list[str], y: np.ndarray, lang: list[str] | None = None, epochs: int = 40, batch: int = 64, seed: int = 11) -> Network:
+def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str] | None = None, epochs: int = 40, batch: int = 64, seed: int = 11) -> Network:
     """Word vectors and network from the labelled rows; a tenth of them only calibrates the temperature. With one class or no rows, the score is the share of label 1 (0.5 without rows)."""
     del lang
-    docs = [word_hashes(t) for t in text]
     vectors = word_vectors([d[:] for d in docs if len(d) <= MAX_WORDS])
     x = pool(docs, vectors) if docs else np.zeros((0, DIM + 2))
     rng = np.random.default_rng(seed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from graphloom.llm import pipeline
 from graphloom.llm.ann import op1_ann
 from graphloom.llm.byte_bpe import op3_byte_bpe
 from graphloom.llm.fingerprints import op6_fingerprints
@@ -25,7 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_id_files": op9_id_files,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 #: The ten operators hash, learn, search or code in ways that SQL does not express; tests/llm holds them against brute force.

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textfeat
 from graphloom.llm.common import table, texts
-from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid, word_hashes
+from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid
 
 #: A word's embedding joins parts from three hashed tables: of the whole word, of its first four and of its first seven letters.
 BUCKETS, TABLES, PART, WIDTHS, FILTERS = 1 << 16, 3, 6, (1, 2, 3), 16
 DIM = TABLES * PART
-#: Labelled rows that the driver fits on at most, and how long one of these may be in words (longer ones train on nothing and are scored whole).
+#: Labelled rows that the driver fits on at most (textfeat.SAMPLE_WORDS bounds their words), and how long one of these may be in words (longer
+#: ones train on nothing and are scored whole).
 MAX_ROWS, MAX_WORDS = 9_000, 20_000
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
@@ -137,13 +138,12 @@ class Cnn:
             values[BUCKETS] = 0
 
 
-def fit(text: list[str], y: np.ndarray, lang: list[str], epochs: int = 6, batch: int = 48, seed: int = 7, threshold: float = THRESHOLD) -> Cnn:
+def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str], epochs: int = 6, batch: int = 48, seed: int = 7, threshold: float = THRESHOLD) -> Cnn:
     """Train on nine tenths of the rows; the rest calibrate the temperature and, for each language with enough of both classes, the threshold of least error.
 
     Without both classes there is nothing to learn: every score is then the share of label 1 (0.5 without rows), as logit.
     """
     model = Cnn.start(seed)
-    docs = [word_hashes(t) for t in text]
     keep = np.array([i for i, d in enumerate(docs) if len(d) <= MAX_WORDS], int)
     if len(keep) < 8 or y[keep].min() == y[keep].max():
         model.out[:] = 0

@@ -4,7 +4,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from fixtures_llm import docs_of
+from fixtures_llm import docs_of, extras_kept
 from pyspark.sql import functions as F
 
 from graphloom.llm import packing, quality, registry, textfeat, toxicity
@@ -37,17 +37,28 @@ def test_held_out_accuracy_and_odd_texts(spark, words, odd_rows, op, label, held
     assert len(out) > 50 and np.mean([(score[i] >= op.THRESHOLD) == (truth[i] == 1) for i in out]) > 0.95
     # labels of held-out rows, lang, source and other columns change nothing
     flipped = spark.createDataFrame([(i, 1 - q if i in set(out) else q, 1 - t if i in set(out) else t) for i, q, t in labels], "doc_id bigint, quality int, toxic int")
-    again = op.train(docs.withColumns({"source": F.lit(None).cast("string"), "score": F.lit(9.0)}), flipped)
+    again = op.train(docs.withColumns({"source": F.lit(None).cast("string"), "score": F.lit(9)}), flipped)
     assert (again.scores([textfeat.word_hashes(t) for _, t in rows[:50]]) == model.scores([textfeat.word_hashes(t) for _, t in rows[:50]])).all()
     odd = (op.toxicity if label == "toxic" else op.quality)(docs_of(spark, odd_rows), model).collect()
     assert len(odd) == len(odd_rows) and all(0 <= r.score <= 1 for r in odd)
     assert len({r.score for r in odd if r.doc_id in (1, 2, 3, 4)}) == 1
     kept = op.filtered(docs_of(spark, odd_rows), model, lambda s: s >= 0)
-    assert kept.count() == len(odd_rows) and kept.columns == docs.columns
+    assert kept.count() == len(odd_rows) and kept.columns == docs.columns and extras_kept(kept)
     empty = op.train(docs.limit(0), table.limit(0))
     assert empty.scores([textfeat.word_hashes("a b")]).tolist() == [0.5]
 
 
+def test_the_labelled_sample_is_of_documents_that_are_here(spark, words):
+    rows, labels = labelled_rows(words, "toxic")
+    here = docs_of(spark, rows[:50])
+    many = spark.createDataFrame([*labels, *((i, 1, i % 2) for i in range(1_000, 20_000))], "doc_id bigint, quality int, toxic int")
+    can = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs, y, lang = textfeat.labelled(here, many, "toxic", (3, 1), 100)
+    assert len(docs) == len(y) == len(lang) == len(can) and sorted(map(len, docs)) == sorted(len(textfeat.word_hashes(rows[i][1])) for i in can)
+    few, _, _ = textfeat.labelled(here, many, "toxic", (3, 1), 100, max_words=200)
+    assert 0 < len(few) < len(can) and sum(map(len, few)) <= 200 and all((a == b).all() for a, b in zip(few, docs))
+
+
 def test_long_texts_are_scored_in_slices_as_if_whole(words, monkeypatch):
     rng = random.Random(1)
     docs = [textfeat.word_hashes(" ".join(rng.choice(words) for _ in range(n))) for n in (0, 1, 2, 500, 3, 40)]

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from fixtures_llm import docs_of
+from fixtures_llm import docs_of, extras_kept
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, fingerprints, near_dedup, pii
@@ -103,6 +103,7 @@ def test_pii_finds_new_identifiers_in_learned_contexts(spark, odd_rows):
     clean = {r.doc_id: r for r in pii.redact(docs.where("doc_id >= 8 or doc_id is null")).collect()}
     assert clean[3_000].text == "filler words here. please phone [PHONE] today" and clean[3_000].n_chars == len(clean[3_000].text)
     assert clean[8].text == "mail [EMAIL] now" and clean[3_001].text == "the part number 123-456-7890 is clean"
+    assert extras_kept(pii.redact(docs))
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == len(rows)
     assert pii.spans(docs.limit(0)).count() == 0
 
@@ -176,7 +177,7 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows, some_rows, words):
     assert {i: c for i, c in got.items() if i is not None} == {i: find(i) for i in ids}
     assert len({got[1_000 + k] for k in range(60)}) == 1
     kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and extras_kept(kept)
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(find(i) for i in ids))
     assert kept.where("doc_id is null").count() == 2
     assert near_dedup.classes(docs.limit(0)).count() == 0
@@ -200,3 +201,12 @@ def test_near_duplicates_linked_to_different_centres_are_compared(spark):
                 old, new = want[rows[a][0]], want[rows[b][0]]
                 want.update({rows[c][0]: min(old, new) for c in range(a - a % 4, a - a % 4 + 4) if want[rows[c][0]] in (old, new)})
     assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_texts_of_one_doc_id_are_each_compared(spark, words):
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice(words) for _ in range(200)) for _ in range(2))
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b + " tail"), (11, a + " tail"), (12, "else")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()]
+    assert sorted(got) == [(5, 5), (5, 5), (9, 5), (11, 5), (12, 12)]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [5, 12]
