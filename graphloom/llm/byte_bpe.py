@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts
+from graphloom.llm.common import expand, texts
 
 #: Characters of text in a block; a longer document makes a block of its own.
 BLOCK_CHARS = 12_000_000
@@ -197,22 +197,6 @@ def blocks(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     return docs.mapInArrow(gather, BLOCK)
 
 
-def _expand(ends: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate flat[start:end] of each code; also the ends of the concatenated runs."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    sizes = (ends - starts)[codes]
-    out = np.cumsum(sizes)
-    total = int(out[-1]) if len(out) else 0
-    at = np.ones(total, np.int64)
-    full = sizes > 0
-    begin, first = starts[codes][full], (out - sizes)[full]
-    if total:
-        at[first] = begin
-        at[first[1:]] -= (begin + sizes[full] - 1)[:-1]
-        at = np.cumsum(at)
-    return flat[at] if total else flat[:0], out
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, text) to (doc_id, ids array<int>): as tiktoken's encode_ordinary. Empty and null texts give an empty array; repeated rows give repeated rows."""
     folded = blocks(docs, ranks_path, pattern, block_chars).withColumn("ids", fold_words("bytes", ranks_path)).drop("bytes")
@@ -229,10 +213,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
                     for code, value in zip(long_words.to_pylist(), long_ids.to_pylist(), strict=True):
                         own[code] = np.array(value, np.int32)
                     flat, id_ends = np.concatenate(own), np.cumsum([len(x) for x in own])
-                by_word, word_out = _expand(id_ends, flat, np.asarray(words))
+                by_word, word_out = expand(id_ends, flat, np.asarray(words))
                 ends = np.asarray(word_ends).astype(np.int64)
                 chunk_id_ends = np.concatenate([[0], word_out])[ends]
-                out, ends_out = _expand(chunk_id_ends, by_word, np.asarray(chunks))
+                out, ends_out = expand(chunk_id_ends, by_word, np.asarray(chunks))
                 doc_ends = np.concatenate([[0], ends_out])[np.concatenate([[0], np.asarray(chunk_ends)])]
                 step = 2_000
                 for a in range(0, len(doc_ids), step):

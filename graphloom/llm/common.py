@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +19,7 @@ from pyspark.sql.types import StructType
 #: Bytes of an Arrow batch on its way to a Python worker. Texts are of any length, so that a count of rows bounds no memory.
 BATCH_BYTES = 4_000_000
 
-_memos: list[dict] = []
+_memos: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +44,19 @@ class Memo(dict):
             self.clear()
 
 
-def use(memo: dict) -> None:
-    """The calling task works with this memo: all others of the worker are emptied."""
+def use(memo: object) -> None:
+    """The calling task works with this memo, a Memo or what else has clear() and a length: all others of the worker are emptied, and what they held goes back to the system."""
     if not any(m is memo for m in _memos):
         _memos.append(memo)
-    for m in _memos:
-        if m is not memo:
+    stale = [m for m in _memos if m is not memo and len(m)]
+    if stale:
+        for m in stale:
             m.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
 
 
 def column(name: str) -> Column:
@@ -139,3 +149,19 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     ends = bounds[step - 1 :: step]
     full = below(literal(ends)) * step if ends else F.lit(0)
     return (full + below(F.slice(literal(bounds), full + 1, F.lit(step)))).cast("int")
+
+
+def expand(ends: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate flat[start:end] of each code; also the ends of the concatenated runs."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    sizes = (ends - starts)[codes]
+    out = np.cumsum(sizes)
+    total = int(out[-1]) if len(out) else 0
+    at = np.ones(total, np.int64)
+    full = sizes > 0
+    begin, first = starts[codes][full], (out - sizes)[full]
+    if total:
+        at[first] = begin
+        at[first[1:]] -= (begin + sizes[full] - 1)[:-1]
+        at = np.cumsum(at)
+    return flat[at] if total else flat[:0], out

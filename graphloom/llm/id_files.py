@@ -246,17 +246,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([begun], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([coded], pa.list_(pa.binary()))], names=[c.split(" ")[0] for c in SEGMENT.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                coded = encoder(tokenizer_path).encode(some.column(2).to_pylist())
-                for b, doc_id, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), coded, strict=True):
-                    if held and (b != bucket or size >= BLOCK * LANES):
-                        yield row()
-                        begun, held, doc_ids, size = begun + size if b == bucket else 0, [], [], 0
-                    bucket = b
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    doc_ids.append(doc_id)
-                    size += len(ids) + 1
+            coded = encoder(tokenizer_path).encode(batch.column(2))
+            for b, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
+                if held and (b != bucket or size >= BLOCK * LANES):
+                    yield row()
+                    begun, held, doc_ids, size = begun + size if b == bucket else 0, [], [], 0
+                bucket = b
+                held.append(np.append(ids, np.uint32(end_id)))
+                doc_ids.append(doc_id)
+                size += len(ids) + 1
         if held:
             yield row()
 

@@ -180,13 +180,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                out: list[tuple] = []
-                for doc_id, row, ids in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), encoder(tokenizer_path).encode(some.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    out += [(doc_id, row, k, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity])) for k, s in enumerate(range(0, len(ids), capacity))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[c.split(" ")[0] for c in PIECE.split(", ")])
+            if not batch.num_rows:
+                continue
+            out: list[tuple] = []
+            for doc_id, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                out += [(doc_id, row, k, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity])) for k, s in enumerate(range(0, len(ids), capacity))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[c.split(" ")[0] for c in PIECE.split(", ")])
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, PIECE)
 

@@ -151,3 +151,10 @@ def test_chunked_ids_of_odd_characters():
     letters = "aBÉé1²٣ſµΣς'’“.,!?;:|$%&*#\"()-—\u0301 \n\tsStT中İıßǅ<|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3_000)]
     assert [x.tolist() for x in word_ids.Encoder(WORDS).encode(texts)] == library_ids(texts)
+
+
+def test_only_the_expected_tokenizer_is_taken(tmp_path):
+    other = tmp_path / "other.json"
+    other.write_text(open(WORDS, encoding="utf-8").read().replace('"Lowercase"', '"NFD"'))
+    with pytest.raises(ValueError, match="cut"):
+        word_ids._Tokenizer(str(other))
