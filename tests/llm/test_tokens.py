@@ -21,10 +21,11 @@ def library_ids(texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_byte_bpe_equals_library_and_round_trips(spark, odd_rows, some_rows):
+@pytest.mark.parametrize("remember", [byte_bpe.KNOWN, 60])
+def test_byte_bpe_equals_library_and_round_trips(spark, odd_rows, some_rows, remember):
     rows = odd_rows + some_rows[:40]
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
-    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(byte_bpe.encode(byte_bpe.texts(docs_of(spark, rows)), RANKS, public.PATTERN, block_chars=20_000), RANKS).collect())
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(byte_bpe.encode(byte_bpe.texts(docs_of(spark, rows)), RANKS, public.PATTERN, block_chars=20_000, remember=remember), RANKS).collect())
     want = []
     for i, t in rows:
         ids = library.encode_ordinary(t or "")
