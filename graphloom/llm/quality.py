@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textfeat
-from graphloom.llm.common import table, texts
+from graphloom.llm.common import release, table, texts
 from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid
 
 #: Words share this many vectors by hash; an index vector has NONZERO entries of +1 or -1 among DIM.
@@ -28,6 +28,11 @@ def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, NONZERO))
 
 
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    """The low 16 bits of each hash."""
+    return hashes.astype(np.int64) & (BUCKETS - 1)
+
+
 def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
     """Random indexing: a word's vector sums the index vectors of the words up to WINDOW places around it; unseen words keep their index vector. Unit length."""
     places, signs = index_vectors()
@@ -41,7 +46,7 @@ def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
             n = len(d)
         slices[-1].append(d)
     for some in slices:
-        flat = np.concatenate([x for d in some for x in ((d % BUCKETS).astype(np.int64), gap)] or [gap])
+        flat = np.concatenate([x for d in some for x in (_buckets(d), gap)] or [gap])
         for step in range(1, WINDOW + 1):
             for near, far in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
                 both = (near >= 0) & (far >= 0)
@@ -81,7 +86,7 @@ def pool(docs: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     """
     sizes = np.array([len(d) for d in docs])
     sums, near = np.zeros((len(docs), vectors.shape[1])), np.zeros(len(docs))
-    flat = np.concatenate(docs) % BUCKETS if len(docs) else np.zeros(0, np.int64)
+    flat = _buckets(np.concatenate(docs)) if len(docs) else np.zeros(0, np.int64)
     last = np.zeros(len(flat) + 1, bool)
     last[np.cumsum(sizes) - 1] = True
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -102,8 +107,8 @@ def pool(docs: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
 def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str] | None = None, epochs: int = 40, batch: int = 64, seed: int = 11) -> Network:
     """Word vectors and network from the labelled rows; a tenth of them only calibrates the temperature. With one class or no rows, the score is the share of label 1 (0.5 without rows)."""
     del lang
-    vectors = word_vectors([d[:] for d in docs if len(d) <= MAX_WORDS])
-    x = pool(docs, vectors) if docs else np.zeros((0, DIM + 2))
+    vectors = word_vectors([d for d in docs if len(d) <= MAX_WORDS])
+    x = np.concatenate([pool(docs[a : a + 256], vectors) for a in range(0, len(docs), 256)]) if docs else np.zeros((0, DIM + 2))
     rng = np.random.default_rng(seed)
     net = Network(vectors, x.mean(axis=0) if len(x) else np.zeros(DIM + 2), x.std(axis=0) + 1e-6 if len(x) else np.ones(DIM + 2), rng.normal(0, np.sqrt(2 / DIM), (DIM + 2, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), 0.0)
     if len(y) < 8 or y.min() == y.max():
@@ -136,7 +141,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str] | None = None, ep
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
-    return fit(*labelled(docs, labels, "quality", HELD_OUT, max_rows))
+    model = fit(*labelled(docs, labels, "quality", HELD_OUT, max_rows, kind="<u2"))
+    release()
+    return model
 
 
 def quality(docs: DataFrame, model: Network) -> DataFrame:

@@ -44,27 +44,27 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """rows of (text, y, lang, place) with the hashes of the text's words, 8 bytes each, in place of the text."""
+def _hashed(rows: DataFrame, kind: str) -> DataFrame:
+    """rows of (text, y, lang, place) with the hashes of the text's words, their low bits as numbers of this kind, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(_hashes)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
-                words = [word_hashes(t).tobytes() for t in some.column(0).to_pylist()]
+                words = [word_hashes(t).astype(kind).tobytes() for t in some.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *some.columns[1:]], names=["words", "y", "lang", "place"])
 
     return rows.select("text", "y", "lang", "place").mapInArrow(run, "words binary, y int, lang string, place bigint")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int, max_words: int = SAMPLE_WORDS) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int, max_words: int = SAMPLE_WORDS, kind: str = "<u8") -> tuple[list[np.ndarray], np.ndarray, list[str]]:
     """Word hashes, labels and languages of at most max_rows labelled documents with max_words words in all, none of them held out.
 
     held_out = (modulus, remainder): rows whose crc32(doc_id as text) has that remainder are never read. Of the rest, the rows of docs
     that have a label and the lowest hashes of doc_id are taken, in that order, as long as both bounds hold, so that the sample is the
     same at every run; a document with two labels counts with the larger. That sample is all that reaches the driver. lang serves
-    thresholds only.
+    thresholds only. kind: "<u2" keeps the low 16 bits of each hash, where a model needs no more.
     """
     bounded_batches(docs.sparkSession)
     modulus, remainder = held_out
@@ -79,9 +79,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
     order = ["place", "words", "y", "lang"]
     ordered = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # of at most max_rows rows
-    sized = _hashed(rows.withColumn("place", F.xxhash64("doc_id"))).orderBy(*order).limit(max_rows).withColumn("so_far", F.sum(F.octet_length("words") / 8).over(ordered))
+    sized = _hashed(rows.withColumn("place", F.xxhash64("doc_id")), kind).orderBy(*order).limit(max_rows).withColumn("so_far", F.sum(F.octet_length("words") / np.dtype(kind).itemsize).over(ordered))
     got = sized.where(F.col("so_far") <= max_words).select("words", "y", "lang").toArrow()
-    return [np.frombuffer(w.as_buffer(), "<u8") for w in got.column(0)], got.column(1).to_numpy().astype(np.float64), got.column(2).to_pylist()
+    return [np.frombuffer(w.as_buffer(), kind) for w in got.column(0)], got.column(1).to_numpy().astype(np.float64), got.column(2).to_pylist()
 
 
 def score(docs: DataFrame, model_of: Callable[[], object]) -> DataFrame:
