@@ -2,8 +2,8 @@
 
 Documents are read in blocks of bounded size, in which each distinct pre-token has a number. The blocks' pre-tokens are dealt by their
 hash to parts, so that each distinct one is folded once in its part: `aggregate` folds the merges over its bytes against a literal rank
-map (a hash table in literal arrays). The ids go back to the blocks, which put their documents' ids together. Both shuffles carry a
-block's pre-tokens and their ids, compressed and once a block, and its numbers; a lost executor costs its own tasks.
+map (a hash table in literal arrays). The ids go back to the blocks, which put their documents' ids together. The blocks' numbers are
+written once, laid out by block, and stay there; the two shuffles carry pre-tokens and their ids, once a block and compressed.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import expand, tasks, texts
+from graphloom.llm.common import bucketed, expand, tasks, texts
 
 #: Characters of text in a block; a longer document makes a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 24_000_000
 #: Pre-tokens with more bytes are merged with a heap, since folding arrays takes time by the square of their length.
 FOLD_BYTES = 2_048
 #: Distinct pre-tokens that a part's task remembers; beyond that it forgets all and folds again what comes again.
@@ -35,7 +35,7 @@ _SLOTS, _EMPTY = (129_971, 127_031), 1 << 62
 
 #: A block's pre-tokens of one part (words), or its documents in numbers (numbers).
 DEALT = "part int, block bigint, words binary, numbers binary"
-MERGED = "block bigint, part int, numbers binary, fresh array<array<int>>, long_at array<int>, long_words array<binary>, refs binary, reset boolean"
+MERGED = "block bigint, part int, fresh array<array<int>>, long_at array<int>, long_words array<binary>, refs binary, reset boolean"
 RESOLVED = "block bigint, part int, data binary"
 
 
@@ -187,7 +187,7 @@ class _Block:
         doc_ids = np.array([-1 if i is None else i for i in self.doc_ids], "<i8")
         known = np.array([i is not None for i in self.doc_ids], np.uint8)
         u4 = lambda x: np.asarray(x, "<u4")
-        numbers = _pack(doc_ids, known, u4(self.ends), np.concatenate([*self.coded, u4([])]), u4(self.word_ends), number[u4(self.words)], u4([len(used)]))
+        numbers = _pack(doc_ids, known, u4(self.ends), np.concatenate([*self.coded, u4([])]), u4(self.word_ends), number[u4(self.words)])
         yield block % parts, block, None, numbers
         for p, own in zip(used.tolist(), np.split(order, begin[1:]), strict=True):
             words = [raw[i] for i in own.tolist()]
@@ -221,18 +221,15 @@ def dealt(docs: DataFrame, pattern: str, parts: int, block_chars: int) -> DataFr
 
 
 def merged(rows: DataFrame, remember: int = KNOWN) -> DataFrame:
-    """In each task, a block's pre-tokens as references to the task's distinct ones, and those not met before as bytes; the numbers pass through."""
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.bool_())
+    """(part, block, words): in each task, a block's pre-tokens as references to the task's distinct ones, and those not met before as bytes."""
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.bool_())
     schema = pa.schema([(c.split(" ")[0], t) for c, t in zip(MERGED.split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            for part, block, words, numbers in zip(*(batch.column(c) for c in range(4)), strict=True):
-                if not words.is_valid:
-                    yield pa.RecordBatch.from_arrays([*(pa.array([x.as_py()], t) for x, t in ((block, pa.int64()), (part, pa.int32()), (numbers, pa.binary()))), *(pa.nulls(1, t) for t in kinds[3:])], schema=schema)
-                    continue
-                sizes, blob = _unpack(words.as_py(), "<u4", "u1")
+            for part, block, packed in zip(*batch.columns, strict=True):
+                sizes, blob = _unpack(packed.as_py(), "<u4", "u1")
                 ends, blob = np.cumsum(sizes).tolist(), blob.tobytes()
                 reset = len(known) + len(ends) > remember
                 if reset:
@@ -254,8 +251,8 @@ def merged(rows: DataFrame, remember: int = KNOWN) -> DataFrame:
                 offsets = np.zeros(len(fresh) + 1, np.int32)
                 np.cumsum([len(w) for w in fresh], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                rest = (pa.array([long_at], kinds[4]), pa.array([long_words], kinds[5]), pa.array([_pack(np.array(refs, "<u4"))], kinds[6]), pa.array([reset]))
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], kinds[0]), pa.array([part.as_py()], kinds[1]), pa.nulls(1, kinds[2]), lists, *rest], schema=schema)
+                rest = ([long_at], [long_words], [_pack(np.array(refs, "<u4"))], [reset])
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], kinds[0]), pa.array([part.as_py()], kinds[1]), lists, *map(pa.array, rest, kinds[3:])], schema=schema)
 
     return rows.mapInArrow(run, MERGED)
 
@@ -277,32 +274,29 @@ class _Table:
 
 
 def resolved(folded: DataFrame, path: str) -> DataFrame:
-    """Rows of MERGED with ids in place of fresh, in their order, to a block's ids of each part; its numbers get part -1."""
+    """Rows of MERGED with ids in place of fresh, in their order, to a block's ids of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ranks = _Table(), None
         for batch in batches:
-            for block, part, numbers, long_at, long_words, refs, reset, ids in zip(*batch.columns, strict=True):
-                if numbers.is_valid:
-                    out = [block.as_py()], [-1], [numbers.as_py()]
-                else:
-                    if reset.as_py():
-                        held = _Table()
-                    lists = ids.values
-                    sizes, flat = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten())
-                    if long_at.as_py():
-                        ranks = ranks or read_ranks(path)
-                        own = np.split(flat, np.cumsum(sizes)[:-1])
-                        for i, word in zip(long_at.as_py(), long_words.as_py(), strict=True):
-                            own[i] = np.array(merge_heap(word, ranks), np.int32)
-                        sizes, flat = np.array([len(x) for x in own]), np.concatenate(own)
-                    held.append(flat, sizes)
-                    (codes,) = _unpack(refs.as_py(), "<u4")
-                    found, ends = expand(held.ends[: held.n], held.flat, codes)
-                    out = [block.as_py()], [part.as_py()], [_pack(np.diff(ends, prepend=0).astype("<u4"), found)]
+            for block, part, long_at, long_words, refs, reset, ids in zip(*batch.columns, strict=True):
+                if reset.as_py():
+                    held = _Table()
+                lists = ids.values
+                sizes, flat = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten())
+                if long_at.as_py():
+                    ranks = ranks or read_ranks(path)
+                    own = np.split(flat, np.cumsum(sizes)[:-1])
+                    for i, word in zip(long_at.as_py(), long_words.as_py(), strict=True):
+                        own[i] = np.array(merge_heap(word, ranks), np.int32)
+                    sizes, flat = np.array([len(x) for x in own]), np.concatenate(own)
+                held.append(flat, sizes)
+                (codes,) = _unpack(refs.as_py(), "<u4")
+                found, ends = expand(held.ends[: held.n], held.flat, codes)
+                out = [block.as_py()], [part.as_py()], [_pack(np.diff(ends, prepend=0).astype("<u4"), found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "data"])
 
-    return folded.select("block", "part", "numbers", "long_at", "long_words", "refs", "reset", "ids").mapInArrow(run, RESOLVED)
+    return folded.select("block", "part", "long_at", "long_words", "refs", "reset", "ids").mapInArrow(run, RESOLVED)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS, remember: int = KNOWN) -> DataFrame:
@@ -311,35 +305,31 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
     Empty and null texts give no ids; repeated rows give repeated rows.
     """
     parts = tasks(docs.sparkSession)
-    words = dealt(docs, pattern, parts, block_chars).repartitionById(parts, F.col("part"))
+    blocks = bucketed(dealt(docs, pattern, parts, block_chars), "blocks", "block", parts)
+    words = blocks.where("words is not null").select("part", "block", "words").repartitionById(parts, F.col("part"))
     folded = merged(words, remember).withColumn("ids", fold_words("fresh", ranks_path)).drop("fresh")
-    back = resolved(folded, ranks_path).repartition(parts, "block").sortWithinPartitions("block", "part")
+    # a block's ids are as bounded as its text
+    back = resolved(folded, ranks_path).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "data"))), lambda x: x["data"]).alias("ids"))
+    joined = blocks.where("numbers is not null").select("block", "numbers").join(back, "block", "left").select("numbers", "ids")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, got = None, []
         for batch in batches:
-            for part, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part < 0:
-                    numbers, got = _unpack(data.as_py(), "<i8", "u1", "<u4", "<u4", "<u4", "<u4", "<u4"), []
-                else:
-                    got.append(_unpack(data.as_py(), "<u4", "<u2"))
-                doc_ids, known, chunk_ends, chunks, word_ends, words, expected = numbers
-                if len(got) < int(expected[0]):
-                    continue
+            for numbers, ids in zip(*batch.columns, strict=True):
+                doc_ids, known, chunk_ends, chunks, word_ends, words = _unpack(numbers.as_py(), "<i8", "u1", "<u4", "<u4", "<u4", "<u4")
+                got = [_unpack(data.as_py(), "<u4", "<u2") for data in ids.values] if ids.is_valid else []
                 id_ends = np.cumsum(np.concatenate([np.zeros(0, "<u4"), *(sizes for sizes, _ in got)]), dtype=np.int64)
-                by_word, word_out = expand(id_ends, np.concatenate([np.zeros(0, "<u2"), *(ids for _, ids in got)]), words)
-                out, ends = expand(np.concatenate([[0], word_out])[word_ends], by_word, chunks)
-                doc_ends = np.concatenate([[0], ends])[np.concatenate([[0], chunk_ends])]
-                got = []
+                by_word, word_out = expand(id_ends, np.concatenate([np.zeros(0, "<u2"), *(part for _, part in got)]), words)
+                id_ends = np.concatenate([[0], word_out])[word_ends]
+                chunk_ends = np.concatenate([[0], chunk_ends]).astype(np.int64)
                 for a in range(0, len(doc_ids), 500):
-                    cut = doc_ends[a : a + 501]
-                    flat = out[cut[0] : cut[-1]]
-                    cut = (cut - cut[0]).astype(np.int32)
+                    cut = chunk_ends[a : a + 501]
+                    flat, ends = expand(id_ends, by_word, chunks[cut[0] : cut[-1]])
+                    cut = np.concatenate([[0], ends])[cut - cut[0]].astype(np.int32)
                     raw = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(4 * cut), pa.py_buffer(flat.astype("<u4"))])
                     lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 500], mask=known[a : a + 500] == 0), lists, raw], names=["doc_id", "ids", "raw"])
 
-    return back.mapInArrow(deal, "doc_id bigint, ids array<int>, raw binary")
+    return joined.mapInArrow(deal, "doc_id bigint, ids array<int>, raw binary")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:

@@ -128,6 +128,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """materialize(df), laid out by key: a join on key with as many shuffle partitions reads it where it lies. The table's entry in the catalog goes when the driver ends."""
+    spark, table_name = df.sparkSession, f"graphloom_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "none").option("path", scratch_path(spark, name)).bucketBy(buckets, key).saveAsTable(table_name)
+    atexit.register(_forget, spark, table_name)
+    return spark.table(table_name)
+
+
+def _forget(spark: SparkSession, table_name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+    except Exception:  # the session may be gone, and its catalog with it
+        return
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
