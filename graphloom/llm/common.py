@@ -171,17 +171,21 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return (full + below(F.slice(literal(bounds), full + 1, F.lit(step)))).cast("int")
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each pair, one after another."""
+    full = sizes > 0
+    starts, sizes = starts[full].astype(np.int64), sizes[full].astype(np.int64)
+    if not len(sizes):
+        return flat[:0]
+    at = np.ones(int(sizes.sum()), np.int64)
+    first = np.cumsum(sizes) - sizes
+    at[first] = starts
+    at[first[1:]] -= (starts + sizes - 1)[:-1]
+    return flat[np.cumsum(at)]
+
+
 def expand(ends: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate flat[start:end] of each code; also the ends of the concatenated runs."""
+    """Concatenate flat[start:end] of each code, runs being told by their ends; also the ends of the concatenated runs."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     sizes = (ends - starts)[codes]
-    out = np.cumsum(sizes)
-    total = int(out[-1]) if len(out) else 0
-    at = np.ones(total, np.int64)
-    full = sizes > 0
-    begin, first = starts[codes][full], (out - sizes)[full]
-    if total:
-        at[first] = begin
-        at[first[1:]] -= (begin + sizes[full] - 1)[:-1]
-        at = np.cumsum(at)
-    return flat[at] if total else flat[:0], out
+    return gather(flat, starts[codes], sizes), np.cumsum(sizes)

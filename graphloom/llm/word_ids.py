@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from graphloom.llm.common import expand, use
+from graphloom.llm.common import expand, gather, use
 
 # Text is cut at ASCII white space. The tokenizer's pattern drops white space and never reaches across it, its normalizer maps character
 # by character, and composition never joins a mark to white space, so the cut changes no id.
@@ -22,16 +22,26 @@ from graphloom.llm.common import expand, use
 _CACHE_BYTES = 32_000_000
 
 
-#: Closing marks. The tokenizer's pattern separates them from a letter or digit before them.
+#: Closing marks. The tokenizer's pattern separates them from an ASCII letter or digit before them.
 _TAIL = '.,!?;:|$%&*#"()'
 
 
-def _parts(chunk: str) -> tuple[str, ...]:
-    """A chunk cut before its closing marks if a letter or digit of a long-settled block stands there; ASCII in lower case, as the normalizer makes it."""
-    base = chunk.rstrip(_TAIL)
-    if base and len(base) < len(chunk) and base[-1].lower().isalnum() and base[-1] < "\u0250":
-        return (base.lower() if base.isascii() else base, chunk[len(base) :])
-    return (chunk.lower() if chunk.isascii() else chunk,)
+def _parts(chunks: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct parts, numbers of the chunks' parts, ends of each chunk's run): a chunk is cut before its closing marks if an ASCII letter or digit stands there; ASCII in lower case, as the normalizer makes it."""
+    base = pc.ascii_rtrim(chunks, characters=_TAIL)
+    size, whole = (np.asarray(pc.binary_length(x)).astype(np.int64) for x in (base, chunks))
+    cut = np.asarray(pc.ascii_is_alnum(pc.utf8_slice_codeunits(base, -1, None))) & (size < whole)
+    head = pc.if_else(pa.array(cut), base, chunks)
+    head = pc.if_else(pc.string_is_ascii(head), pc.ascii_lower(head), head).dictionary_encode()
+    offsets = np.frombuffer(chunks.buffers()[1], "<i4", len(chunks) + 1, 4 * chunks.offset).astype(np.int64)
+    marks = gather(np.frombuffer(chunks.buffers()[2] or b"", np.uint8), (offsets[:-1] + size)[cut], (whole - size)[cut])
+    ends = np.concatenate([[0], np.cumsum((whole - size)[cut])]).astype("<i4")
+    tail = pa.StringArray.from_buffers(int(cut.sum()), pa.py_buffer(ends), pa.py_buffer(marks)).dictionary_encode()
+    run_ends = np.cumsum(1 + cut)
+    numbers = np.empty(int(run_ends[-1]) if len(run_ends) else 0, np.int64)
+    numbers[run_ends - 1 - cut] = head.indices.to_numpy()
+    numbers[run_ends[cut] - 1] = len(head.dictionary) + tail.indices.to_numpy()
+    return head.dictionary.to_pylist() + tail.dictionary.to_pylist(), numbers, run_ends
 
 
 #: Fixed by the tokenizer: composition, white space to one space, lower case; then these pre-tokens, each ended by a piece with the suffix.
@@ -86,46 +96,35 @@ class Encoder:
     def __len__(self) -> int:
         return self.tokenizer is not None
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Have the ids of all these chunks in known."""
-        if self.held > _CACHE_BYTES:  # what is used again moves on to the new generation, so that frequent chunks stay
+    def _learn(self, parts: list[str]) -> None:
+        """Have the ids of all these parts in known."""
+        if self.held > _CACHE_BYTES:  # what is used again moves on to the new generation, so that frequent parts stay
             self.before, self.known, self.held = self.known, {}, 0
         known, before = self.known, self.before
-        fresh, wanted = [], {}
-        for c in chunks:
-            if c in known:
-                continue
-            self.held += 200 + 2 * len(c)
-            if c in before:
-                known[c] = before[c]
-            else:
-                fresh.append((c, parts := _parts(c)))
-                for p in parts:
-                    if p not in known:
-                        if p in before:
-                            known[p] = before[p]
-                        else:
-                            wanted[p] = None
+        plain, other = [], []
+        for c in parts:
+            if c not in known:
+                if c in before:
+                    known[c] = before[c]
+                else:
+                    (plain if _PLAIN.match(c) else other).append(c)
+                self.held += 200 + 2 * len(c)
         self.tokenizer = self.tokenizer or _Tokenizer(self.path)
-        plain = [c for c in wanted if _PLAIN.match(c)]
-        other = [c for c in wanted if not _PLAIN.match(c)]
         for new, encoded in ((plain, self.tokenizer.words), (other, self.tokenizer.batch)):
             for a in range(0, len(new), 4_000):
                 some = new[a : a + 4_000]
                 known.update(zip(some, encoded(some), strict=True))
-        self.held += sum(200 + 2 * len(c) for c in wanted)
-        for c, parts in fresh:
-            known[c] = b"".join(map(known.__getitem__, parts))
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
-        """Chunks are numbered by Arrow, so that Python sees each distinct one of the batch once; numpy then puts their ids together."""
+        """Chunks and their parts are told apart by Arrow, so that Python sees each distinct part of the batch once; numpy then puts their ids together."""
         cut = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         coded = cut.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        self._learn(chunks)
-        own = list(map(self.known.__getitem__, chunks))
+        parts, numbers, run_ends = _parts(coded.dictionary)
+        self._learn(parts)
+        own = list(map(self.known.__getitem__, parts))
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // 4
-        ids, chunk_ends = expand(ends, np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy())
+        by_chunk, part_ends = expand(ends, np.frombuffer(b"".join(own), "<u4"), numbers)
+        ids, chunk_ends = expand(np.concatenate([[0], part_ends])[run_ends], by_chunk, coded.indices.to_numpy())
         offsets = cut.offsets.to_numpy()
         bounds = np.concatenate([[0], chunk_ends])[offsets - offsets[0]].tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
