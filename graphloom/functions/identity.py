@@ -53,6 +53,17 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: json.dumps(json.loads(t), sort_keys=True), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def record_json(text: pd.Series) -> pd.Series:
+    """canonical_json of an object without its bookkeeping fields, those whose names begin with an underscore."""
+    return text.map(lambda t: json.dumps({k: v for k, v in json.loads(t).items() if not k.startswith("_")}, sort_keys=True), na_action="ignore")
+
+
+def record_hash(text: Column) -> Column:
+    """SHA-256 of a record's canonical JSON without bookkeeping fields."""
+    return F.sha2(record_json(text).cast("binary"), 256)
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the canonical JSON."""
     return F.sha2(canonical_json(text).cast("binary"), 256)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import identity
+from graphloom.functions.names import column, fresh
 
 EDGE = ["id", "type", "relationship_type", "source_ref", "target_ref"]
 
@@ -36,27 +39,54 @@ def shared_nodes(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.dropDuplicates([id_col])
 
 
+def _looked_up(df: DataFrame, ref: str, ids: DataFrame, key: str, value: str, how: str) -> tuple[DataFrame, str]:
+    """df joined with the value of its reference, and that column's name, which df has not."""
+    own, found = fresh(df, "key", "value")
+    return df.join(ids.select(column(key).alias(own), column(value).alias(found)), column(ref) == column(own), how).drop(own), found
+
+
+def _replaced(df: DataFrame, columns: list[str], name: str, value: Column) -> DataFrame:
+    """These columns of df with `name` set to value, at its place or at the end."""
+    return df.select(*[value.alias(c) if c == name else column(c) for c in columns], *([] if name in columns else [value.alias(name)]))
+
+
 def strict_lookup(df: DataFrame, ref: str, ids: DataFrame, key: str, value: str, out: str, what: str) -> DataFrame:
     """df with the value of its reference; a reference that resolves to nothing raises when it is read. Null references stay null."""
-    found = ids.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    missing = F.raise_error(F.concat(F.lit(f"{what} does not resolve: "), F.col(ref))).cast("string")
-    return df.join(found, F.col(ref) == F.col("_key"), "left").withColumn(out, F.when(F.col(ref).isNotNull() & F.col("_value").isNull(), missing).otherwise(F.col("_value"))).drop("_key", "_value")
+    joined, found = _looked_up(df, ref, ids, key, value, "left")
+    missing = F.raise_error(F.concat(F.lit(f"{what} does not resolve: "), column(ref).cast("string"))).cast(ids.schema[value].dataType)
+    return _replaced(joined, df.columns, out, F.when(column(ref).isNotNull() & column(found).isNull(), missing).otherwise(column(found)))
 
 
 def lenient_remap(df: DataFrame, ref: str, ids: DataFrame, key: str, value: str) -> DataFrame:
     """References replaced where they are known, unchanged elsewhere."""
-    found = ids.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    return df.join(found, F.col(ref) == F.col("_key"), "left").withColumn(ref, F.coalesce("_value", F.col(ref))).drop("_key", "_value")
+    joined, found = _looked_up(df, ref, ids, key, value, "left")
+    return _replaced(joined, df.columns, ref, F.coalesce(column(found), column(ref)))
 
 
 def both_endpoints(df: DataFrame, ids: DataFrame, key: str, value: str, source: str = "source_ref", target: str = "target_ref") -> DataFrame:
     """Edges of which both ends resolve, with the resolved ends."""
+    columns = df.columns
     for ref in (source, target):
-        found = ids.select(F.col(key).alias("_key"), F.col(value).alias("_value")).where(F.col("_value").isNotNull())
-        df = df.join(found, F.col(ref) == F.col("_key")).withColumn(ref, F.col("_value")).drop("_key", "_value")
+        joined, found = _looked_up(df, ref, ids.where(column(value).isNotNull()), key, value, "inner")
+        df = _replaced(joined, columns, ref, column(found))
     return df
 
 
+def composite_lookup(df: DataFrame, refs: Sequence[str], ids: DataFrame, keys: Sequence[str], value: str, out: str, what: str) -> DataFrame:
+    """strict_lookup by several columns at once; a row with a null among them stays null."""
+    names = fresh(df, *[f"key{i}" for i in range(len(keys))], "value")
+    right = ids.select(*[column(k).alias(n) for k, n in zip([*keys, value], names, strict=True)])
+    same = reduce(lambda a, b: a & b, [column(r) == column(n) for r, n in zip(refs, names, strict=False)])
+    known = reduce(lambda a, b: a & b, [column(r).isNotNull() for r in refs])
+    missing = F.raise_error(F.concat(F.lit(f"{what} does not resolve: "), F.concat_ws("/", *[column(r).cast("string") for r in refs]))).cast(ids.schema[value].dataType)
+    return _replaced(df.join(right, same, "left"), df.columns, out, F.when(known & column(names[-1]).isNull(), missing).otherwise(column(names[-1])))
+
+
+def facts(df: DataFrame, *columns: str) -> DataFrame:
+    """Each combination of these columns once, without those that lack one. Edges made of them are emitted in the order of the combination where an order is asked for."""
+    return df.select(*map(column, columns)).dropna().distinct()
+
+
 def peer_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row for each unordered pair, smaller first."""
     return df.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
@@ -89,13 +119,16 @@ def orphans(edge_table: DataFrame, nodes: DataFrame, node_key: str = "id") -> Da
 
 
 def histogram(edge_table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source type, relationship type, target type, n)."""
+    """(source type, relationship type, target type, n); the type of an end without a node is null.
+
+    Edges are counted by their ends' types one end at a time: after the first join only (source type, kind, target) with its number
+    of edges goes on, so that a hub is one row by source type in the second.
+    """
     kinds = nodes.select(F.col("id").alias("ref"), F.col("type").alias("kind"))
-    return (
-        edge_table.join(kinds.select(F.col("ref").alias("source_ref"), F.col("kind").alias("source_type")), "source_ref", "left")
-        .join(kinds.select(F.col("ref").alias("target_ref"), F.col("kind").alias("target_type")), "target_ref", "left")
-        .groupBy("source_type", "relationship_type", "target_type").agg(F.count("*").alias("n"))
-    )
+    near = edge_table.select("source_ref", "relationship_type", "target_ref").join(kinds.select(F.col("ref").alias("source_ref"), F.col("kind").alias("source_type")), "source_ref", "left")
+    near = near.groupBy("source_type", "relationship_type", "target_ref").agg(F.count("*").alias("n"))
+    far = near.join(kinds.select(F.col("ref").alias("target_ref"), F.col("kind").alias("target_type")), "target_ref", "left")
+    return far.groupBy("source_type", "relationship_type", "target_type").agg(F.sum("n").alias("n"))
 
 
 def verbs(edge_table: DataFrame) -> DataFrame:
@@ -111,16 +144,32 @@ def prevalence(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     return counted.select(one).select("f.*").withColumn("share", F.when(F.col("rows") > 0, F.col("present") / F.col("rows")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: spark.checkpoint.dir; where that is unset, a folder of our own in a local session, and an error on a cluster."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="graphloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what several results need is computed once, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reachable(edge_table: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, node, hops): every node that starts reach along edges and the least number of hops; cycles end because known pairs are not taken again. With max_hops, only those within so many hops.
 
     One join a hop against the frontier of new pairs; each hop's result is written to the checkpoint folder, so that the plan does not grow.
     """
-    spark = edge_table.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    shared_folder(edge_table.sparkSession)
     steps = edge_table.select(F.col("source_ref").alias("node"), F.col("target_ref").alias("next")).distinct()
     known = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
     frontier = known

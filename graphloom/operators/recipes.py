@@ -7,6 +7,8 @@ x_mitre_deprecated. Missing flags count as false. Results are long tables (one r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +89,8 @@ def related(objects: DataFrame, links: DataFrame, source_type: str, kind: str, t
     of = lambda ref, t: F.startswith(F.col(ref), F.lit(f"{t}--"))
     found = active(links).where((F.col("relationship_type") == kind) & of("source_ref", source_type) & of("target_ref", target_type))
     near, far = ("target_ref", "source_ref") if reverse else ("source_ref", "target_ref")
-    ends = objects.where(_false("revoked")).select(F.col("id").alias("_far"))
-    return found.join(ends, F.col(far) == F.col("_far")).select(F.col(near).alias("id"), F.col(far).alias("related_id"), F.col("id").alias("relationship"))
+    ends = objects.where(_false("revoked")).select(F.col("id").alias("end"))
+    return found.join(ends, F.col(far) == F.col("end")).select(F.col(near).alias("id"), F.col(far).alias("related_id"), F.col("id").alias("relationship"))
 
 
 def collected(pairs: DataFrame) -> DataFrame:
@@ -96,99 +98,43 @@ def collected(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("related_id", "relationship"))).alias("related"))
 
 
-def _through_campaigns(objects: DataFrame, links: DataFrame, target_type: str) -> DataFrame:
-    """Pairs (group, target) by way of campaigns attributed to the group; relationship is the campaign's."""
-    attributed = related(objects, links, "campaign", "attributed-to", "intrusion-set").select(F.col("id").alias("campaign"), F.col("related_id").alias("id"))
-    used = related(objects, links, "campaign", "uses", target_type).select(F.col("id").alias("campaign"), "related_id", "relationship")
-    return attributed.join(used, "campaign").select("id", "related_id", "relationship")
-
-
-def software_used_by_groups(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """Tools and malware that groups use, directly or in their campaigns."""
-    direct = [related(objects, links, "intrusion-set", "uses", t) for t in ("tool", "malware")]
-    return direct[0].unionByName(direct[1]).unionByName(_through_campaigns(objects, links, "tool")).unionByName(_through_campaigns(objects, links, "malware")).distinct()
-
-
-def groups_using_software(objects: DataFrame, links: DataFrame) -> DataFrame:
-    near = [related(objects, links, "intrusion-set", "uses", t, reverse=True) for t in ("tool", "malware")]
-    far = _through_campaigns(objects, links, "tool").unionByName(_through_campaigns(objects, links, "malware"))
-    return near[0].unionByName(near[1]).unionByName(far.select(F.col("related_id").alias("id"), F.col("id").alias("related_id"), "relationship")).distinct()
-
-
-def software_used_by_campaigns(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "campaign", "uses", "tool").unionByName(related(objects, links, "campaign", "uses", "malware"))
-
-
-def campaigns_using_software(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "campaign", "uses", "tool", reverse=True).unionByName(related(objects, links, "campaign", "uses", "malware", reverse=True))
-
-
-def groups_attributing_campaigns(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """Campaigns to their groups."""
-    return related(objects, links, "campaign", "attributed-to", "intrusion-set")
-
-
-def campaigns_of_groups(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "campaign", "attributed-to", "intrusion-set", reverse=True)
-
-
-def techniques_used_by_groups(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "intrusion-set", "uses", "attack-pattern").unionByName(_through_campaigns(objects, links, "attack-pattern")).distinct()
-
-
-def groups_using_technique(objects: DataFrame, links: DataFrame) -> DataFrame:
-    far = _through_campaigns(objects, links, "attack-pattern").select(F.col("related_id").alias("id"), F.col("id").alias("related_id"), "relationship")
-    return related(objects, links, "intrusion-set", "uses", "attack-pattern", reverse=True).unionByName(far).distinct()
-
-
-def techniques_used_by_campaigns(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "campaign", "uses", "attack-pattern")
-
+_SOFTWARE, _GROUP, _CAMPAIGN, _TECHNIQUE = ("tool", "malware"), ("intrusion-set",), ("campaign",), ("attack-pattern",)
+#: A relation: types of its source, kind of link, types of its target, and whether groups stand for the campaigns attributed to them too.
+RELATIONS = {
+    "group uses software": (_GROUP, "uses", _SOFTWARE, True),
+    "group uses technique": (_GROUP, "uses", _TECHNIQUE, True),
+    "campaign uses software": (_CAMPAIGN, "uses", _SOFTWARE, False),
+    "campaign uses technique": (_CAMPAIGN, "uses", _TECHNIQUE, False),
+    "campaign attributed to group": (_CAMPAIGN, "attributed-to", _GROUP, False),
+    "software uses technique": (_SOFTWARE, "uses", _TECHNIQUE, False),
+    "mitigation mitigates technique": (("course-of-action",), "mitigates", _TECHNIQUE, False),
+    "strategy detects technique": (("x-mitre-detection-strategy",), "detects", _TECHNIQUE, False),
+    "component detects technique": (("x-mitre-data-component",), "detects", _TECHNIQUE, False),
+    "subtechnique of technique": (_TECHNIQUE, "subtechnique-of", _TECHNIQUE, False),
+    "technique targets asset": (_TECHNIQUE, "targets", ("x-mitre-asset",), False),
+}
 
-def techniques_used_by_software(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "tool", "uses", "attack-pattern").unionByName(related(objects, links, "malware", "uses", "attack-pattern"))
 
+def relation(objects: DataFrame, links: DataFrame, name: str, reverse: bool = False) -> DataFrame:
+    """(id, related_id, relationship) of a named relation; reverse: from target to source.
 
-def software_using_technique(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "tool", "uses", "attack-pattern", reverse=True).unionByName(related(objects, links, "malware", "uses", "attack-pattern", reverse=True))
-
-
-def mitigations_of_techniques(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "course-of-action", "mitigates", "attack-pattern", reverse=True)
-
-
-def techniques_mitigated(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "course-of-action", "mitigates", "attack-pattern")
-
-
-def subtechniques_of(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "attack-pattern", "subtechnique-of", "attack-pattern", reverse=True)
-
-
-def parent_technique_of(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "attack-pattern", "subtechnique-of", "attack-pattern")
-
-
-def detections_of_techniques(objects: DataFrame, links: DataFrame, detector: str = "x-mitre-data-component") -> DataFrame:
-    return related(objects, links, detector, "detects", "attack-pattern", reverse=True)
-
-
-def techniques_detected(objects: DataFrame, links: DataFrame, detector: str = "x-mitre-data-component") -> DataFrame:
-    return related(objects, links, detector, "detects", "attack-pattern")
-
-
-def techniques_targeting_assets(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "attack-pattern", "targets", "x-mitre-asset", reverse=True)
-
-
-def assets_targeted(objects: DataFrame, links: DataFrame) -> DataFrame:
-    return related(objects, links, "attack-pattern", "targets", "x-mitre-asset")
-
-
-def techniques_through_software(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """(id group, software, related_id technique): techniques of the software that a group uses itself."""
-    used = related(objects, links, "intrusion-set", "uses", "tool").unionByName(related(objects, links, "intrusion-set", "uses", "malware")).select("id", F.col("related_id").alias("software"))
-    return used.join(techniques_used_by_software(objects, links).select(F.col("id").alias("software"), "related_id"), "software").select("id", "software", "related_id").distinct()
+    Where campaigns count for their groups, the pair's relationship is the campaign's own link.
+    """
+    sources, kind, targets, by_campaign = RELATIONS[name]
+    parts = [related(objects, links, s, kind, t, reverse) for s in sources for t in targets]
+    if by_campaign:
+        attributed = related(objects, links, "campaign", "attributed-to", "intrusion-set").select(F.col("id").alias("campaign"), F.col("related_id").alias("group"))
+        for t in targets:
+            used = related(objects, links, "campaign", kind, t).select(F.col("id").alias("campaign"), "related_id", "relationship")
+            near, far = ("related_id", "group") if reverse else ("group", "related_id")
+            parts.append(attributed.join(used, "campaign").select(F.col(near).alias("id"), F.col(far).alias("related_id"), "relationship"))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def relation_path(objects: DataFrame, links: DataFrame, first: str, second: str) -> DataFrame:
+    """(id, via, related_id): two relations one after the other, such as the techniques of the software that a group uses."""
+    near = relation(objects, links, first).select("id", F.col("related_id").alias("via"))
+    return near.join(relation(objects, links, second).select(F.col("id").alias("via"), "related_id"), "via").select("id", "via", "related_id").distinct()
 
 
 def revoking_object(objects: DataFrame, links: DataFrame, revoked_id: str) -> DataFrame:

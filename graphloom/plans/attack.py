@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators.graph import both_endpoints, edges, resolve_ids, strict_lookup, union_edges
+from graphloom.operators.graph import both_endpoints, composite_lookup, edges, resolve_ids, strict_lookup, union_edges
 from graphloom.operators.state import domain_merge
 from graphloom.plans.common import present, rejects, typed
 
@@ -82,7 +82,7 @@ def tables(bronze: DataFrame) -> dict[str, DataFrame]:
     made = []
     tactics = of("x-mitre-tactic").select(F.explode("x_mitre_domains").alias("domain"), F.col("x_mitre_shortname").alias("phase"), "final_id", "order").groupBy("domain", "phase").agg(F.max_by("final_id", "order").alias("tactic"))
     phases = techniques.select("final_id", F.explode("kill_chain_phases").alias("p")).select("final_id", scalar.mapped(F.col("p.kill_chain_name"), CHAINS).alias("domain"), F.col("p.phase_name").alias("phase")).where("domain is not null and phase <> ''")
-    steps = strict_lookup(phases.withColumn("key", F.concat_ws("/", "domain", "phase")), "key", tactics.withColumn("key", F.concat_ws("/", "domain", "phase")), "key", "tactic", "target", "kill chain phase")
+    steps = composite_lookup(phases, ["domain", "phase"], tactics, ["domain", "phase"], "tactic", "target", "kill chain phase")
     made.append(edges(steps, NAMESPACE, F.col("final_id"), "has_tactic", F.col("target")))
     for kind, field, verb in (("x-mitre-matrix", "tactic_refs", "has_member"), ("x-mitre-detection-strategy", "x_mitre_analytic_refs", "has_analytic")):
         refs = strict_lookup(of(kind).select("final_id", F.explode(field).alias("ref")), "ref", known, "stix_id", "final_id", "target", field)

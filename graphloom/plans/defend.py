@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators.graph import edges, union_edges
+from graphloom.operators.graph import edges, facts, union_edges
 from graphloom.plans.common import present, typed, union
 
 NAMESPACE = "mitre-defend-preprocessing"
@@ -29,11 +29,10 @@ def mapping_rows(bronze: DataFrame) -> DataFrame:
 
 def mined(rows: DataFrame) -> DataFrame:
     """Edges from mapping rows: each fact once, however many rows trace it. Facts are distinct by label; two labels with one slug stay two edges."""
-    facts = lambda *c: rows.select(*c).dropna().distinct()
-    acts = facts("def_tech", "def_artifact_rel_label", "def_artifact")
-    enables = facts("def_tech", "def_tactic")
-    offends = facts("off_tech", "off_artifact_rel_label", "off_artifact")
-    counters = facts("def_tech", "off_tech", "def_artifact", "def_artifact_rel_label", "off_artifact", "off_artifact_rel_label")
+    acts = facts(rows, "def_tech", "def_artifact_rel_label", "def_artifact")
+    enables = facts(rows, "def_tech", "def_tactic")
+    offends = facts(rows, "off_tech", "off_artifact_rel_label", "off_artifact")
+    counters = facts(rows, "def_tech", "off_tech", "def_artifact", "def_artifact_rel_label", "off_artifact", "off_artifact_rel_label")
     return union_edges(
         edges(acts, NAMESPACE, F.col("def_tech"), scalar.slug(F.col("def_artifact_rel_label")), F.col("def_artifact")),
         edges(enables, NAMESPACE, F.col("def_tech"), "enables", F.col("def_tactic")),
@@ -63,10 +62,12 @@ def tables(technique: DataFrame, tactic: DataFrame, artifact: DataFrame, weaknes
 
 
 def stamped(bronze: DataFrame) -> DataFrame:
-    """(key, content_hash, raw): records keyed by @id, or by their content hash where they have none; bookkeeping fields (_..) do not count. Later rows win."""
-    from graphloom.functions.identity import content_hash
+    """(key, content_hash, raw): records keyed by @id, or by their content hash where they have none; bookkeeping fields (_..) do not count. Later rows win.
+
+    The hash is that of the record's sorted JSON, so that 1 and "1" differ and the order of keys, nested ones too, does not count.
+    """
+    from graphloom.functions.identity import record_hash
     from graphloom.operators.state import last_wins
 
-    plain = F.to_json(F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: ~F.startswith(k, F.lit("_"))))
-    rows = bronze.withColumn("content_hash", content_hash(plain)).withColumn("key", F.coalesce(present(F.get_json_object("raw", "$['@id']")), F.col("content_hash")))
+    rows = bronze.withColumn("content_hash", record_hash(F.col("raw"))).withColumn("key", F.coalesce(present(F.get_json_object("raw", "$['@id']")), F.col("content_hash")))
     return last_wins(rows, "key", "pos").select("key", "content_hash", "raw")

@@ -32,7 +32,7 @@ def sharded(spark: SparkSession, root: str, pattern: str = "*/latest.json") -> D
 
 def domains(spark: SparkSession, root: str, names: Iterable[str]) -> DataFrame:
     """Several domains' bundles in a fixed order: column domain_ord tells which, later ones win ties."""
-    parts = [bundle(spark, f"{root}/{name}/latest.json").withColumn("domain_ord", F.lit(i)) for i, name in enumerate(names)]
+    parts = [stored(spark, f"{root}/{name}").withColumn("domain_ord", F.lit(i)) for i, name in enumerate(names)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -52,6 +52,16 @@ def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return bundle(spark, paths, "records")
 
 
+def stored(spark: SparkSession, path: str, member: str = "objects") -> DataFrame:
+    """(file, pos, raw) of a synchronised state in the folder(s) path/latest, or else of landed JSON path/latest.json."""
+    try:
+        return spark.read.parquet(f"{path}/latest").select(F.col("_metadata.file_path").alias("file"), "pos", "raw")
+    except Exception as missing:  # Spark names a missing path only in the message
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return bundle(spark, f"{path}/latest.json", member)
+
+
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored state, or an empty one where nothing is stored yet."""
     try:
@@ -86,7 +96,7 @@ def _tag(name: str) -> str:
 
 
 def element(node: ElementTree.Element) -> object:
-    """An XML element as JSON: attributes and children by name (children's names without underscores), a leaf as its text, text beside attributes as _text; a repeated child is a list."""
+    """An XML element as JSON: attributes and children by name (children's names without underscores), a leaf as its text (null if empty), text beside attributes as _text; a repeated child is a list."""
     text = (node.text or "").strip()
     out: dict = dict(node.attrib)
     grouped: dict[str, list] = {}
@@ -94,7 +104,7 @@ def element(node: ElementTree.Element) -> object:
         grouped.setdefault(_tag(child.tag), []).append(element(child))
     out |= {name: values if len(values) > 1 else values[0] for name, values in grouped.items()}
     if not out:
-        return text
+        return text or None
     return out | ({"_text": text} if text and not grouped else {})
 
 
@@ -105,9 +115,14 @@ _SECTIONS = {"Weaknesses": "weakness", "Categories": "category", "Views": "view"
 def _history(entry: dict, run_timestamp: str) -> tuple[str, str]:
     """(created, modified): the first submission, else the first modification, else the run; the last date of either, else created."""
     history = entry.get("ContentHistory") or {}
-    listed = lambda key: [x for x in (history.get(key) if isinstance(history.get(key), list) else [history.get(key)]) if isinstance(x, dict)]
-    begun = sorted(x["SubmissionDate"] for x in listed("Submission") if x.get("SubmissionDate"))
-    changed = sorted(x["ModificationDate"] for x in listed("Modification") if x.get("ModificationDate"))
+
+    def days(kind: str) -> list[str]:
+        """A history entry counts with its release date, else with its date."""
+        found = history.get(kind)
+        stated = [x.get(f"{kind}ReleaseDate") or x.get(f"{kind}Date") for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
+        return sorted(day for day in stated if isinstance(day, str))
+
+    begun, changed = days("Submission"), days("Modification")
     stamp = lambda day: f"{day[:10]}T00:00:00.000Z"
     created = stamp((begun or changed)[0]) if begun or changed else run_timestamp
     return created, stamp(max(begun + changed)) if begun or changed else created

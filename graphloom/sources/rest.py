@@ -1,7 +1,8 @@
-"""Paged HTTP sources as Python data sources: offset paging (vulnerability feed) and cursor paging (collections), with rate limit and backoff.
+"""Paged HTTP sources as Python data sources: offset paging (vulnerability feed), cursor paging (collections) and single documents, with rate limit and backoff.
 
-A page number or a time window is one input partition, so that pages are read in parallel where the server's numbering allows it; a
-cursor is one partition. The transport is a parameter: tests give a function, a cluster gives urllib's.
+The feed's quota holds for all requests of a client together. Its pages are therefore read by one task, or by a given number of tasks
+that share the quota out; every request, retries too, passes the task's limiter. A cursor is one task. The transport is a parameter:
+tests give a function of (url, headers), a cluster gives urllib's.
 """
 
 from __future__ import annotations
@@ -41,32 +42,44 @@ class SlidingWindow:
 
 @dataclass(frozen=True)
 class Backoff:
-    """Attempts, first and longest delay in seconds, and HTTP statuses worth another attempt."""
+    """Retries after the first attempt, first and longest delay in seconds, HTTP statuses worth another attempt, and whether unreadable JSON is."""
 
-    attempts: int = 5
+    retries: int = 5
     first: float = 5.0
     longest: float = 60.0
     statuses: tuple[int, ...] = (403, 429)
+    unreadable: bool = False
 
-    def call(self, get: Callable[[], bytes], sleep: Callable[[float], None] = time.sleep) -> dict:
+    def call(self, get: Callable[[], bytes], sleep: Callable[[float], None] = time.sleep) -> object:
+        """The answer, read as JSON."""
+        return self._tried(lambda: json.loads(get()), sleep)
+
+    def bytes(self, get: Callable[[], bytes], sleep: Callable[[float], None] = time.sleep) -> bytes:
+        """The answer as it is."""
+        return self._tried(get, sleep)
+
+    def _tried(self, get: Callable[[], object], sleep: Callable[[float], None]) -> object:
         delay = self.first
-        for attempt in range(1, self.attempts + 1):
+        for left in range(self.retries, -1, -1):
             try:
-                return json.loads(get())
+                return get()
             except urllib.error.HTTPError as e:
-                if e.code not in self.statuses or attempt == self.attempts:
+                if e.code not in self.statuses or not left:
                     raise FetchError(f"HTTP {e.code}") from e
-            except (urllib.error.URLError, TimeoutError, ValueError) as e:
-                if attempt == self.attempts:
+            except ValueError as e:
+                if not self.unreadable or not left:
+                    raise FetchError(f"unreadable answer: {e}") from e
+            except (urllib.error.URLError, TimeoutError) as e:
+                if not left:
                     raise FetchError(str(e)) from e
             sleep(delay)
             delay = min(2 * delay, self.longest)
         raise FetchError("no attempt was allowed")
 
 
-#: Politeness of the public services: with and without a key for the feed; catalogs retry what is not an HTTP error; collections do not retry.
+#: Politeness of the public services: with and without a key for the feed; catalogs retry all but HTTP errors; collections do not retry.
 FEED, FEED_KEY = (5, 30.0), (50, 30.0)
-CATALOG, ONCE = Backoff(3, 3.0, 30.0, ()), Backoff(1, 0.0, 0.0, ())
+CATALOG, ONCE = Backoff(3, 3.0, 30.0, (), unreadable=True), Backoff(0, 0.0, 0.0, ())
 
 
 def http_get(url: str, headers: dict[str, str] | None = None, timeout: float = 60.0) -> bytes:
@@ -74,45 +87,72 @@ def http_get(url: str, headers: dict[str, str] | None = None, timeout: float = 6
         return response.read()
 
 
-def _transport(name: str) -> Callable[[str], bytes]:
+def _transport(name: str) -> Callable[[str, dict[str, str]], bytes]:
     module, _, function = name.rpartition(":")
     return getattr(importlib.import_module(module), function)
 
 
+_HTTP = "graphloom.sources.rest:http_get"
+
+
+def fetch(url: str, transport: str = _HTTP, backoff: Backoff = CATALOG, agent: str = "graphloom") -> object:
+    """One JSON document."""
+    return backoff.call(lambda: _transport(transport)(url, {"Accept": "application/json", "User-Agent": agent}))
+
+
 @dataclass
 class Page(InputPartition):
     start: int
 
 
 class _OffsetReader(DataSourceReader):
-    """startIndex pages of one listing. The first page, read on the driver, tells the total."""
+    """startIndex pages of one listing, dealt to `parallel` tasks (1 unless told otherwise), each with its share of the quota.
+
+    One task reads on until the listing's total is reached. Several need the total first, which the driver's own request tells.
+    """
 
     def __init__(self, options: dict[str, str]):
+        options = {k.lower(): v for k, v in options.items()}  # Spark does not keep the case of option names
         self.url, self.member = options["url"], options.get("member", "vulnerabilities")
-        self.size, self.cap = int(options.get("pageSize", 2000)), int(options.get("maxPages", 0))
-        self.get = options.get("transport", "graphloom.sources.rest:http_get")
-        self.first, self.longest = float(options.get("firstDelay", 5)), float(options.get("longestDelay", 60))
-        self.query = {k[6:]: v for k, v in options.items() if k.startswith("query.")}
-        self.limit = FEED_KEY if options.get("apikey") else FEED
-
-    def _page(self, start: int) -> dict:
+        self.size, self.cap = int(options.get("pagesize", 2000)), int(options.get("maxpages", 0))
+        self.get, self.agent, self.key = options.get("transport", _HTTP), options.get("useragent", "graphloom"), options.get("apikey")
+        self.backoff = Backoff(5, float(options.get("firstdelay", 5)), float(options.get("longestdelay", 60)))
+        self.query = dict(urllib.parse.parse_qsl(options.get("query", "")))
+        self.limit, self.seconds = FEED_KEY if self.key else FEED
+        self.seconds = float(options.get("quotaseconds", self.seconds))
+        self.parallel = max(1, min(int(options.get("parallel", 1)), self.limit - 1))
+        self.total = 0
+
+    def _page(self, start: int, limiter: SlidingWindow) -> dict:
         url = f"{self.url}?{urllib.parse.urlencode({**self.query, 'startIndex': start, 'resultsPerPage': self.size})}"
-        return Backoff(5, self.first, self.longest).call(lambda: _transport(self.get)(url))
+        headers = {"Accept": "application/json", "User-Agent": self.agent, **({"apiKey": self.key} if self.key else {})}
+
+        def get() -> bytes:
+            limiter.wait()
+            return _transport(self.get)(url, headers)
+
+        return self.backoff.call(get)
 
     def partitions(self) -> list[Page]:
-        total = int(self._page(0).get("totalResults", 0))
-        pages = -(-total // self.size) if total else 0
-        return [Page(i * self.size) for i in range(min(pages, self.cap) if self.cap else pages)]
+        if self.parallel > 1:
+            self.total = int(self._page(0, SlidingWindow(1, self.seconds)).get("totalResults", 0))
+        return [Page(i) for i in range(self.parallel)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        limiter = SlidingWindow(*self.limit)
-        limiter.wait()
-        for i, item in enumerate(self._page(partition.start).get(self.member, [])):
-            yield partition.start + i, json.dumps(item)
+        """Pages partition.start, partition.start + parallel, .. of this listing."""
+        # where the driver has asked too, one request of the quota is its own
+        share = self.limit if self.parallel == 1 else (self.limit - 1) // self.parallel
+        limiter, total, page = SlidingWindow(share, self.seconds), self.total, partition.start
+        while (page == 0 or page * self.size < total) and not (self.cap and page >= self.cap):
+            body = self._page(page * self.size, limiter)
+            total = int(body.get("totalResults", 0)) if self.parallel == 1 else total
+            for i, item in enumerate(body.get(self.member, [])):
+                yield page * self.size + i, json.dumps(item)
+            page += self.parallel
 
 
 class OffsetPages(DataSource):
-    """spark.read.format("offset_pages").options(url=.., pageSize=.., maxPages=.., member=.., **{"query.lastModStartDate": ..}).load() -> (pos, raw)."""
+    """spark.read.format("offset_pages").options(url=.., apiKey=.., pageSize=.., maxPages=.., parallel=.., member=.., query="lastModStartDate=..").load() -> (pos, raw)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,24 +162,25 @@ class OffsetPages(DataSource):
         return "pos bigint, raw string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _OffsetReader({**self.options, **{k: self.options[k] for k in self.options}})
+        return _OffsetReader(dict(self.options))
 
 
 class _CursorReader(DataSourceReader):
     """more/next pages; added_after goes with the first request only."""
 
     def __init__(self, options: dict[str, str]):
-        self.url, self.after = options["url"], options.get("addedAfter")
-        self.get, self.cap = options.get("transport", "graphloom.sources.rest:http_get"), int(options.get("maxPages", 0))
+        options = {k.lower(): v for k, v in options.items()}
+        self.url, self.after, self.size = options["url"], options.get("addedafter"), options.get("limit")
+        self.get, self.cap = options.get("transport", _HTTP), int(options.get("maxpages", 0))
 
     def partitions(self) -> list[Page]:
         return [Page(0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        query, n, pages = ({"added_after": self.after} if self.after else {}), 0, 0
+        query, n, pages = {**({"limit": self.size} if self.size else {}), **({"added_after": self.after} if self.after else {})}, 0, 0
         url = f"{self.url}?{urllib.parse.urlencode(query)}" if query else self.url
         while url:
-            body = ONCE.call(lambda u=url: _transport(self.get)(u))
+            body = fetch(url, self.get, ONCE)
             for item in body.get("objects", []):
                 yield n, json.dumps(item)
                 n += 1
@@ -161,7 +202,7 @@ class CursorPages(DataSource):
         return "pos bigint, raw string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _CursorReader({**self.options, **{k: self.options[k] for k in self.options}})
+        return _CursorReader(dict(self.options))
 
 
 def register(spark) -> None:  # noqa: ANN001

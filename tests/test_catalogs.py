@@ -1,12 +1,16 @@
 """The five catalogs' plans over hand-written snapshots."""
 
+import hashlib
 import io
 import json
 import uuid
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom import __main__ as main
+from graphloom import sync
 from graphloom.operators import links
 from graphloom.plans import attack, capec, cve, cwe, defend
 from graphloom.sources import bundles, sinks
@@ -222,3 +226,99 @@ def test_defensive_techniques_and_paths_through_five_sources(spark, tmp_path):
     assert sinks.tracked_write(t["relationship"], f"{tmp_path}/tracked") == "created"
     assert sinks.tracked_write(t["relationship"].orderBy("id"), f"{tmp_path}/tracked") == "unchanged"
     assert sinks.tracked_write(t["relationship"].limit(1), f"{tmp_path}/tracked") == "modified"
+
+
+def test_records_without_an_id_are_told_apart_by_their_sorted_content(spark):
+    texts = ['{"n": 1}', '{"n": "1"}', '{"x": {"type": "t", "value": "v"}, "_b": 1}', '{"x": {"value": "v", "type": "t"}}', '{"n": 1.0}']
+    got = defend.stamped(spark.createDataFrame(list(enumerate(texts)), "pos bigint, raw string")).collect()
+    assert sorted(r.raw for r in got) == sorted([texts[0], texts[1], texts[3], texts[4]])
+    (one,) = [r for r in got if r.raw == texts[3]]
+    assert one.key == one.content_hash == hashlib.sha256(b'{"x": {"type": "t", "value": "v"}}').hexdigest()
+
+
+def test_history_prefers_release_dates():
+    days = lambda kind, a, b: {f"{kind}Date": a, **({f"{kind}ReleaseDate": b} if b else {})}
+    both = {"ContentHistory": {"Submission": days("Submission", "2006-07-19", "2006-08-01"), "Modification": [days("Modification", "2020-01-10", "2020-02-24"), days("Modification", "2019-01-01", None)]}}
+    assert bundles._history(both, "now") == ("2006-08-01T00:00:00.000Z", "2020-02-24T00:00:00.000Z")
+    assert bundles._history({"ContentHistory": {"Submission": {"SubmissionDate": None}}}, "now") == ("now", "now")
+
+
+def test_graph_names():
+    assert len(set(links.LABELS.values())) == len(links.LABELS) and links.LABELS["capec", "course-of-action"] == "CAPECMitigation"
+
+
+def test_edge_names(spark):
+    rows_ = [("cve", "related-to", "cwe"), ("cwe", "related-to", "cve"), ("capec", "related-to", "ATTACK"), ("cwe", "related-to", "other"), ("attack", "subtechnique-of", None), ("cwe", "child_of", None)]
+    df = spark.createDataFrame(rows_, "s string, k string, o string")
+    got = [r.n for r in df.select(links.edge_label(F.col("s"), F.col("k"), F.col("o")).alias("n")).collect()]
+    assert got == ["HAS_WEAKNESS", "EXEMPLIFIED_BY", "CORRESPONDS_TO", "RELATED_TO", "SUBTECHNIQUE_OF", "CHILD_OF"]
+
+
+TRANSPORT = '''
+import io, json, os, urllib.parse, zipfile
+ROOT = "@ROOT"
+XML = '<C xmlns="http://x" Version="4.{v}" Date="2026-01-01"><Weaknesses><Weakness ID="79" Name="XSS"><Content_History><Submission><Submission_Date>2006-07-19</Submission_Date></Submission><Modification><Modification_Date>20{v}-01-02</Modification_Date></Modification></Content_History></Weakness></Weaknesses></C>'
+
+
+def get(url, headers):
+    late = os.path.exists(ROOT + "/late")
+    with open(ROOT + "/log", "a") as log:
+        print(url, headers.get("apiKey"), file=log)
+    query = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(url).query))
+    if url.startswith("cve:"):
+        item = lambda n, m: {"cve": {"id": n, "published": "2020-01-01T00:00:00.000", "lastModified": m, "vulnStatus": "Analyzed", "descriptions": [{"lang": "en", "value": m}]}}
+        items = [item("CVE-2020-0001", "2020-01-01T00:00:00.000"), item("CVE-2021-0001", "2020-01-01T00:00:00.000")]
+        if late:
+            items = [item("CVE-2021-0001", "2025-01-01T00:00:00.5"), item("CVE-2021-0002", "2025-01-01T00:00:00")] if query["lastModStartDate"].startswith("2025-01") else []
+        a, n = int(query["startIndex"]), int(query["resultsPerPage"])
+        return json.dumps({"totalResults": len(items), "vulnerabilities": items[a : a + n]}).encode()
+    if url.startswith("cwe:"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("c.xml", XML.replace("{v}", "21" if late else "20"))
+        return out.getvalue()
+    if url.startswith("capec:"):
+        kept = [{"type": "attack-pattern", "id": "attack-pattern--1", "name": "p", "modified": "2020-01-01T00:00:00Z", "x_capec_version": "3.9", "external_references": [{"source_name": "capec", "external_id": "CAPEC-1"}]}]
+        return json.dumps({"objects": kept + ([] if late else [dict(kept[0], id="attack-pattern--2", external_references=[{"source_name": "capec", "external_id": "CAPEC-2"}])])}).encode()
+    if url.endswith("/collections/"):
+        return json.dumps({"collections": [{"id": d, "title": d.upper() + " att&ck"} for d in ("enterprise", "mobile", "ics")]}).encode()
+    if "/objects/" in url:
+        tool = {"type": "tool", "id": "tool--" + url.split("/collections/")[1].split("/")[0], "modified": "2020-01-01T00:00:00Z", "external_references": []}
+        return json.dumps({"objects": [dict(tool, id="tool--new")] if query.get("added_after") else [tool]}).encode()
+    if url.endswith("version.json"):
+        return json.dumps({"ontology_version": "1.4"}).encode()
+    if url.endswith("mappings.json"):
+        return json.dumps({"results": {"bindings": [{"def_tech": "Filter", "n": 1}, {"def_tech": "Filter", "n": 2 if late else 1}]}}).encode()
+    return json.dumps({"@graph": [{"@id": "d3f:A", "rdfs:label": "B" if late and "technique/" in url else "A"}]}).encode()
+'''
+
+
+def test_crawl_of_the_five_sources(spark, tmp_path, monkeypatch):
+    (tmp_path / "graphloom_fake_sources.py").write_text(TRANSPORT.replace("@ROOT", str(tmp_path)))
+    spark.sparkContext.addPyFile(str(tmp_path / "graphloom_fake_sources.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("PYTHONPATH", str(tmp_path))
+    base, out = str(tmp_path / "base"), str(tmp_path / "out")
+    common = ["--base-dir", base, "--transport", "graphloom_fake_sources:get", "--api-key", "secret", "--env-file", str(tmp_path / "none"), "--page-size", "1", "--summary", str(tmp_path / "said"), "--url", *(f"{s}={s}:" for s in sync.SOURCES)]
+    said = lambda: {k: v["said"].split(" | ")[0] for k, v in json.loads((tmp_path / "said").read_text())["results"].items()}
+    assert main.main(["sync", *common, "--only", "cve", "cwe", "capec", "attack", "defend", "--stop-on-error"]) == 1  # an incremental run needs a full one
+    assert list(said()) == ["cve"]
+    assert main.main(["sync", *common, "--full", "--dry-run", "--only", "cwe"]) == 0 and not sinks.exists(spark, f"{base}/cwe/latest")
+    assert main.main(["sync", *common, "--full"]) == 0
+    assert said() == {"cve": "[cve] full: +2 ~0 -0", "cwe": "[cwe] full: +1 ~0 -0", "capec": "[capec] full: +2 ~0 -0", "attack": "[attack] full: +3 ~0 -0", "defend": "[defend] full: +6 ~0 -0"}
+    assert "cve:?startIndex=1&resultsPerPage=1 secret" in (tmp_path / "log").read_text()
+    sinks.write_manifest(spark, f"{base}/cve/manifest", {**sinks.read_manifest(spark, f"{base}/cve/manifest"), "last_fetch": "2025-01-01T00:00:00Z"})
+    (tmp_path / "late").write_text("")
+    assert main.main(["sync", *common]) == 0
+    assert said() == {"cve": "[cve] incremental: +1 ~1 -0", "cwe": "[cwe] incremental: +0 ~1 -0", "capec": "[capec] incremental: +0 ~0 -1", "attack": said()["attack"], "defend": said()["defend"]}
+    assert said()["attack"].endswith("+3 ~0 -0") and said()["defend"].endswith("+1 ~2 -0")
+    assert sorted(r.key for r in spark.read.parquet(f"{base}/capec/latest").collect()) == ["attack-pattern--1", "attack-pattern--2"]  # kept
+    manifest = sinks.read_manifest(spark, f"{base}/defend/manifest")
+    assert manifest["ontology_version"] == "1.4" and set(manifest["domains"]) == set(sync.DEFEND)
+    seen = {r.key: r.first_seen for r in spark.read.parquet(f"{base}/defend/techniques/latest").collect()}
+    assert list(seen) == ["d3f:A"] and seen["d3f:A"] < manifest["last_fetch"] or seen["d3f:A"] == manifest["previous_fetch"]
+    assert main.main(["sync", *common, "--only", "defend", "--domains", "tactics"]) == 0
+    assert set(sinks.read_manifest(spark, f"{base}/defend/manifest")["domains"]) == set(sync.DEFEND)
+    assert main.main(["graph", "--base-dir", base, "--output-dir", out]) == 0
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/cve/vulnerability").collect()) == ["CVE-2020-0001", "CVE-2021-0001", "CVE-2021-0002"]
+    assert spark.read.parquet(f"{out}/cwe/weakness").first().modified == "2021-01-02T00:00:00.000Z" and spark.read.parquet(f"{out}/attack/tool").count() == 4

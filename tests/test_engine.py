@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import sync
 from graphloom.functions import identity, rich_text, scalar
 from graphloom.operators import graph, recipes, state
 from graphloom.sources import bundles, rest, sinks
@@ -53,18 +54,18 @@ def test_recipes(spark):
     ids, objects, rels = recipe_graph(spark)
     pairs = lambda df: {(r.id, r.related_id) for r in df.collect()}
     names = lambda df: {r.name for r in df.collect()}
-    assert pairs(recipes.software_used_by_groups(objects, rels)) == {(ids["G"], ids["T"]), (ids["G"], ids["M"])}
-    assert pairs(recipes.techniques_used_by_groups(objects, rels)) == {(ids["G"], ids["Y"]), (ids["G"], ids["W"])}
-    assert pairs(recipes.groups_using_technique(objects, rels)) == {(ids["Y"], ids["G"]), (ids["W"], ids["G"]), (ids["Z"], ids["G"])}  # only the far end is checked
-    assert pairs(recipes.techniques_through_software(objects, rels)) == {(ids["G"], ids["X"])}
-    assert pairs(recipes.parent_technique_of(objects, rels)) == {(ids["Y"], ids["X"])} and pairs(recipes.subtechniques_of(objects, rels)) == {(ids["X"], ids["Y"])}
+    assert pairs(recipes.relation(objects, rels, "group uses software")) == {(ids["G"], ids["T"]), (ids["G"], ids["M"])}
+    assert pairs(recipes.relation(objects, rels, "group uses technique")) == {(ids["G"], ids["Y"]), (ids["G"], ids["W"])}
+    assert pairs(recipes.relation(objects, rels, "group uses technique", reverse=True)) == {(ids["Y"], ids["G"]), (ids["W"], ids["G"]), (ids["Z"], ids["G"])}  # only the far end is checked
+    assert pairs(recipes.relation_path(objects, rels, "group uses software", "software uses technique")) == {(ids["G"], ids["X"])}
+    assert pairs(recipes.relation(objects, rels, "subtechnique of technique")) == {(ids["Y"], ids["X"])} and pairs(recipes.relation(objects, rels, "subtechnique of technique", reverse=True)) == {(ids["X"], ids["Y"])}
     assert [r.id for r in recipes.revoking_object(objects, rels, ids["Z"]).collect()] == [ids["X"]]
     assert names(recipes.by_attack_id(objects, "T1")) == {"X"} == names(recipes.by_tactic(objects, "impact")) == names(recipes.by_tactic(objects, "x"))
     assert names(recipes.techniques(objects, "subtechniques")) == {"Y"} and len(names(recipes.techniques(objects))) == 4
     assert names(recipes.by_content(objects, "ABOUT z")) == {"Z"} and names(recipes.by_alias(objects, "g")) == {"G"} and names(recipes.software(objects)) == {"T", "M"}
     assert names(recipes.active(recipes.techniques(objects))) == {"X", "Y"} and recipes.since(objects, "2021-01-01").count() == 0 and recipes.since(objects, "2020-12-31").count() == 8
     assert recipes.by_name(objects, "tool", "T").count() == recipes.by_stix_id(objects, ids["T"]).count() == 1
-    assert len(recipes.collected(recipes.software_used_by_groups(objects, rels)).first().related) == 2
+    assert len(recipes.collected(recipes.relation(objects, rels, "group uses software")).first().related) == 2
     with pytest.raises(ValueError, match="unknown option"):
         recipes.techniques(objects, "some")
 
@@ -90,9 +91,11 @@ def test_identifiers_and_text(spark):
 PAGES = {}
 
 
-def fake_get(url):
+def fake_get(url, headers):
     import urllib.parse
 
+    assert "User-Agent" in headers
+
     query = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(url).query))
     if "collection" in url:
         page = int(query.get("next", 0))
@@ -113,7 +116,12 @@ def test_paged_sources(spark, monkeypatch, tmp_path):
     get = "graphloom_fake_transport:fake_get"
     reader = rest._OffsetReader({"url": "http://feed", "pageSize": "2", "transport": get})
     assert [json.loads(raw)["n"] for p in reader.partitions() for _, raw in reader.read(p)] == [0, 1, 2, 3, 4]
-    assert len(rest._OffsetReader({"url": "http://feed", "pageSize": "2", "maxPages": "1", "transport": get}).partitions()) == 1
+    few = rest._OffsetReader({"url": "http://feed", "pageSize": "2", "maxPages": "1", "transport": get})
+    assert [json.loads(raw)["n"] for p in few.partitions() for _, raw in few.read(p)] == [0, 1]
+    wide = rest._OffsetReader({"url": "http://feed", "pageSize": "2", "parallel": "2", "transport": get})
+    parts = wide.partitions()
+    assert [[json.loads(raw)["n"] for _, raw in wide.read(p)] for p in parts] == [[0, 1, 4], [2, 3]]
+    assert rest._OffsetReader({"url": "u", "parallel": "90"}).parallel == 4
     cursor = rest._CursorReader({"url": "http://collection", "addedAfter": "t", "transport": get})
     assert [json.loads(raw) for _, raw in cursor.read(cursor.partitions()[0])] == [{"n": 0, "after": "t"}, {"n": 1, "after": None}, {"n": 2, "after": None}]
     slept, now = [], [0.0]
@@ -128,8 +136,45 @@ def test_paged_sources(spark, monkeypatch, tmp_path):
         raise ValueError("no JSON")
 
     with pytest.raises(rest.FetchError):
-        rest.Backoff(3, 1, 2).call(broken, slept.append)
-    assert len(tries) == 3 and slept[1:] == [1, 2]
+        rest.Backoff(3, 1, 2, unreadable=True).call(broken, slept.append)
+    assert len(tries) == 4 and slept[1:] == [1, 2, 2]
+    with pytest.raises(rest.FetchError):  # the feed's answers are not asked for again
+        rest.Backoff().call(broken, slept.append)
+    assert len(tries) == 5
+    import urllib.error
+
+    def refused():
+        tries.append(1)
+        raise urllib.error.HTTPError("u", 429, "later", None, None)
+
+    with pytest.raises(rest.FetchError):
+        rest.Backoff().call(refused, slept.append)
+    assert len(tries) == 11 and slept[-5:] == [5, 10, 20, 40, 60]
+
+
+def test_every_request_of_the_feed_waits_and_bears_the_key(monkeypatch):
+    import urllib.error
+
+    calls, clock = [], [0.0]
+
+    def get(url, headers):
+        calls.append((clock[0], headers.get("apiKey")))
+        if len(calls) == 2:
+            raise urllib.error.HTTPError(url, 429, "later", None, None)
+        return json.dumps({"totalResults": 70, "vulnerabilities": [{}]}).encode()
+
+    monkeypatch.setattr(rest, "_transport", lambda name: get)
+    monkeypatch.setattr(rest.SlidingWindow.__init__, "__defaults__", (lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s)))
+    monkeypatch.setattr(rest.Backoff._tried, "__defaults__", None)
+    monkeypatch.setattr(rest.Backoff.call, "__defaults__", (lambda s: None,))
+    for key, limit in ((None, 5), ("k", 50)):
+        calls.clear()
+        clock[0] = 0.0
+        reader = rest._OffsetReader({"url": "u", "pageSize": "1", **({"apiKey": key} if key else {})})
+        assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 70
+        assert len(calls) == 71 and {k for _, k in calls} == {key}
+        times = [t for t, _ in calls]
+        assert all(b - a >= 30 for a, b in zip(times, times[limit:]))
 
 
 def test_streaming_and_incremental_runs(spark, tmp_path):
@@ -149,7 +194,7 @@ def test_streaming_and_incremental_runs(spark, tmp_path):
         incremental.run_incremental(spark, new, root, "id", "modified", "t1", schema)
     incremental.run_incremental(spark, old, root, "id", "modified", "t1", schema, full=True)
     dry = incremental.run_incremental(spark, new, root, "id", "modified", "t2", schema, dry_run=True)
-    assert dry["diff"] == {"added": 1, "modified": 1} and sinks.read_manifest(spark, f"{root}/manifest")["last_fetch"] == "t1" and not sinks.exists(spark, f"{root}/delta")
+    assert dry["diff"] == {"added": 1, "modified": 1, "removed": 0} and dry["ids"] == {"added": ["d"], "modified": ["c"], "removed": []} and sinks.read_manifest(spark, f"{root}/manifest")["last_fetch"] == "t1" and not sinks.exists(spark, f"{root}/delta")
     done = incremental.run_incremental(spark, new, root, "id", "modified", "t2", schema)
     assert done["files"] == {"delta": "created", "latest": "modified"} and {r.id: r.payload for r in spark.read.parquet(f"{root}/latest").collect()} == want
     assert sinks.summary_line("cve", "incremental", done["diff"], done["files"]) == "[cve] incremental: +1 ~1 -0 | files: delta=created, latest=modified"
@@ -174,3 +219,50 @@ def test_reachable_follows_long_chains(spark):
     starts = spark.createDataFrame([("0",)], "node string").coalesce(1)
     got = {(r.node, r.hops) for r in graph.reachable(steps, starts).collect()}
     assert got == {(str(i), i) for i in range(37)}
+
+
+def test_text_times_compare_by_value(spark):
+    rows = [("a", "2020-01-01T00:00:00Z", None, 1), ("a", "2020-01-01T00:00:00.500Z", None, 0), ("b", "", "2020-01-02T01:00:00+02:00", 0), ("b", None, "2020-01-01T23:30:00Z", 1), ("c", None, None, 0)]
+    df = spark.createDataFrame(rows, "id string, modified string, created string, pos int")
+    got = {r.id: r.pos for r in state.latest_wins(df, "id", ("modified", "created"), "pos").collect()}
+    assert got == {"a": 0, "b": 1, "c": 0}
+    old = spark.createDataFrame([("a", "2020-01-01T00:00:00.4Z", None, 0), ("b", None, "2020-01-01T00:00:00Z", 0), ("c", "2020-01-01T00:00:00Z", None, 0)], df.schema)
+    new = state.latest_wins(df, "id", ("modified", "created"), "pos")
+    now = F.lit("2030-01-01").cast("timestamp")
+    assert {r.id for r in state.delta(old, new, "id", ("modified", "created")).collect()} == {"a", "b"}
+    assert {r.id for r in state.delta(old, new, "id", ("modified", "created"), now).collect()} == {"a", "b", "c"}
+    (listed,) = state.listed(state.diff(old, new, "id", ("modified", "created"), now=now)).collect()
+    assert (listed.added, listed.modified, listed.removed) == ([], ["a", "b", "c"], [])
+    assert [r.modified for r in state.merge_latest(old, new, "id", "modified").where("id = 'a'").collect()] == ["2020-01-01T00:00:00.500Z"]
+
+
+def test_helper_names_do_not_clash(spark):
+    df = spark.createDataFrame([("a", 1, "x", 9, 9, 9)], "key string, value int, own string, was int, side int, `a.b` int")
+    ids = spark.createDataFrame([("a", "A")], "key string, value string")
+    assert graph.strict_lookup(df, "key", ids, "key", "value", "out", "k").collect()[0].asDict() == {"key": "a", "value": 1, "own": "x", "was": 9, "side": 9, "a.b": 9, "out": "A"}
+    assert tuple(graph.lenient_remap(df, "key", ids, "key", "value").first()) == ("A", 1, "x", 9, 9, 9)
+    assert tuple(graph.both_endpoints(df, ids, "key", "value", "key", "key").collect()) == ()
+    assert tuple(graph.composite_lookup(df, ["key", "value"], df, ["key", "value"], "own", "out", "k").first())[-1] == "x"
+    assert tuple(state.merge_latest(df, df, "key", "value").first()) == tuple(state.delta(df.limit(0), df, "key", "value").first()) == tuple(df.first())
+    assert state.carry_first_seen(df, df, "key", "was", F.lit(0)).first()["was"] == 9
+
+
+def test_places_in_order_over_ranges(spark):
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("a"), F.when(F.col("id") % 3 == 0, "t").otherwise(F.col("id").cast("string")).alias("type"))
+    got = [(r.type, r.a, r.place) for r in sinks.in_order(df, [F.col("type"), F.col("a")]).collect()]
+    assert [p for _, _, p in sorted(got)] == list(range(1, 5_001))
+    assert sinks.in_order(df.limit(0), [F.col("type")]).count() == 0
+
+
+def test_a_lost_driver_leaves_a_state(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path + ".old")  # between the two renames
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 3
+    assert sinks.tracked_write(spark.range(4), path) == "modified" and not sinks.exists(spark, path + ".old")
+
+
+def test_env_file(tmp_path):
+    file = tmp_path / ".env"
+    file.write_text("# note\nA = \"x\"\n\nB='y z'\nset=new\nnothing\n")
+    environ = {"set": "old"}
+    assert sync.load_env(str(file), environ) == {"set": "old", "A": "x", "B": "y z"} == sync.load_env(str(tmp_path / "none"), environ)
