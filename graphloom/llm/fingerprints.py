@@ -1,9 +1,12 @@
 """Operator 6: document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
 A paragraph is a line, or a part of a long line that ends at a sentence. Its digest is 60 bits of MD5. A sketch has three subtables;
-a digest enters one cell of each, and a cell holds a count, the exclusive or of its digests, and that of their checks. Sketches of two
-versions are subtracted cell by cell; peeling takes cells that hold one digest, removes it from its other cells, and so recovers the
-differing digests. Where cells are left over, the two documents are sketched again with more cells.
+a digest enters one cell of each, and a cell holds a count, the exclusive or of its digests, and that of their checks. Peeling takes
+cells that hold one digest, removes it from its other cells, and so recovers the digests. A document's sketch is as wide as its number
+of paragraphs asks, and wider again by WIDER where peeling leaves cells over, so that the fingerprint alone gives back its digests; its
+width stands at the head of the string. Sketches of two versions are subtracted cell by cell at one width, for which the narrower is
+made again from its digests; peeling recovers the differing digests, and where cells are left over, a wider pair of sketches is tried.
+Likeness is therefore a function of the two fingerprints.
 
 Cells are rows keyed by document; every step is a partial aggregation within the partition that holds the document.
 """
@@ -18,12 +21,13 @@ from graphloom.llm.common import materialize, range_bounds, range_bucket, table,
 
 #: A part of a line: at least 80 characters where there are as many, then up to the end of the sentence or 120 more.
 PARAGRAPH = r"[^\n]{1,80}[^.!?\n]{0,120}[.!?]*\n*|\n+"
-#: Cells in each subtable of the fingerprint.
-WIDTH = 8
+#: Cells in each subtable: the power of two from LOAD times the digests on, LEAST at least and 2 ** 20, the bits of a digest for it, at most.
+LOAD, LEAST, WIDEST = 2, 8, 1 << 20
 #: Rounds of peeling, one subtable each in turn.
-ROUNDS = 9
-#: Cells in each subtable of the retries, as multiples of both documents' paragraphs.
-RETRIES = (2, 6)
+ROUNDS = 8
+#: How much wider each try is than the one before, and tries after the first. Beyond them, which takes millions of paragraphs, digests are
+#: compared as they are.
+WIDER, RETRIES = 8, 3
 _PRIME = 2147483647
 
 
@@ -38,6 +42,12 @@ def check(digest: Column) -> Column:
     return (digest % _PRIME + 1) * 48271 % _PRIME
 
 
+def width(n: Column, tries: int = 0) -> Column:
+    """The width for so many digests, at the first or a later try."""
+    bits = F.ceil(F.log2(F.greatest(n * LOAD, F.lit(LEAST)).cast("double")))
+    return F.least(F.pow(F.lit(2.0), bits) * WIDER**tries, F.lit(float(WIDEST))).cast("bigint")
+
+
 def cell(digest: Column, subtable: int, width: Column) -> Column:
     return F.shiftright(digest, 20 * subtable) % width + subtable * width
 
@@ -70,15 +80,16 @@ def _entries(digest: Column, width: Column) -> Column:
     return F.explode(F.array(*(cell(digest, s, width) for s in range(3))))
 
 
-def fingerprint(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, fingerprint, edited_fingerprint): the sketches' cells in order as cell:count:digests:checks, in hexadecimal; empty cells are left out."""
-    one = rows.select("row", F.explode(F.concat(F.transform("own", lambda d: F.struct(F.lit(True).alias("a"), d.alias("k"))), F.transform("edit", lambda d: F.struct(F.lit(False).alias("a"), d.alias("k"))))).alias("e")).select("row", "e.a", "e.k")
-    cells = one.select("row", "a", "k", check(F.col("k")).alias("c"), _entries(F.col("k"), F.lit(width)).alias("cell"))
-    of = lambda a, x: F.bit_xor(F.when(F.col("a") == a, F.col(x)).otherwise(F.lit(0).cast("bigint")))
-    sums = cells.groupBy("row", "cell").agg(*(x for a, tag in ((True, "own"), (False, "edit")) for x in (F.sum(F.when(F.col("a") == a, 1).otherwise(0)).alias(f"n_{tag}"), of(a, "k").alias(f"k_{tag}"), of(a, "c").alias(f"c_{tag}"))))
-    piece = lambda tag: F.when(F.col(f"n_{tag}") > 0, F.concat_ws(":", F.hex("cell"), F.hex(f"n_{tag}"), F.hex(f"k_{tag}"), F.hex(f"c_{tag}")))
-    listed = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("cell", piece("own").alias("own"), piece("edit").alias("edit")))).alias("cells"))
-    return listed.select("row", F.lower(F.array_join("cells.own", ",")).alias("fingerprint"), F.lower(F.array_join("cells.edit", ",")).alias("edited_fingerprint"))
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """(row, own, edit, own_width, edit_width) to (row, fingerprint, edited_fingerprint): the width, then the sketch's cells in order as cell:count:digests:checks, in hexadecimal; empty cells are left out."""
+    tagged = lambda of: F.transform(of, lambda d: F.struct(F.lit(of).alias("of"), d.alias("k"), F.col(f"{of}_width").alias("w")))
+    one = rows.select("row", F.explode(F.concat(tagged("own"), tagged("edit"))).alias("e")).select("row", "e.of", "e.k", "e.w")
+    cells = one.select("row", "of", "w", "k", check(F.col("k")).alias("c"), _entries(F.col("k"), F.col("w")).alias("cell"))
+    sums = cells.groupBy("row", "of", "w", "cell").agg(F.count("*").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    listed = sums.groupBy("row", "of", "w").agg(F.array_sort(F.collect_list(F.struct("cell", F.concat_ws(":", F.hex("cell"), F.hex("n"), F.hex("k"), F.hex("c")).alias("text")))).alias("cells"))
+    text = F.lower(F.concat_ws("|", F.hex("w"), F.array_join("cells.text", ",")))
+    of = lambda tag: F.max(F.when(F.col("of") == tag, text))
+    return listed.groupBy("row").agg(of("own").alias("fingerprint"), of("edit").alias("edited_fingerprint"))
 
 
 def difference(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -104,19 +115,23 @@ def difference(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cells.groupBy("row", "pair").agg(F.when(F.max("cell") < 0, F.sum("n")).alias("differing"))
 
 
-def _pairs(rows: DataFrame, width: Column, open_only: bool = False) -> DataFrame:
-    """(row, pair, mine, theirs, width) of a row's edited text and next document; open_only: of the pairs that its column open names."""
-    pair = F.array(F.struct(F.lit("edited").alias("pair"), F.col("edit").alias("theirs")), F.struct(F.lit("next").alias("pair"), F.col("following").alias("theirs")))
+def _jobs(rows: DataFrame, tries: int, open_only: bool = False) -> DataFrame:
+    """(row, pair, mine, theirs, width): a row's own and edited digests against nothing, and its own against the edited and the next ones; open_only: those that its column open names."""
+    none = F.array().cast("array<bigint>")
+    job = lambda pair, mine, theirs: F.struct(F.lit(pair).alias("pair"), mine.alias("mine"), theirs.alias("theirs"))
+    own, edit, following = F.col("own"), F.col("edit"), F.col("following")
+    jobs = F.array(job("own", own, none), job("edit", edit, none), job("edited", own, edit), job("next", own, following))
     if open_only:
-        pair = F.filter(pair, lambda p: F.array_contains("open", p["pair"]))
-    return rows.select("row", F.col("own").alias("mine"), F.explode(pair).alias("p")).select("row", "p.pair", "mine", "p.theirs").withColumn("width", width)
+        jobs = F.filter(jobs, lambda j: F.array_contains("open", j["pair"]))
+    return rows.select("row", F.explode(jobs).alias("j")).select("row", "j.*").withColumn("width", width(F.size("mine") + F.size("theirs"), tries))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     Likeness is 2 * shared / (paragraphs of both) over distinct paragraphs, as recovered from the sketches' difference; 1 where both
-    texts are empty. Null text counts as empty; repeated rows each have a row; a single row is its own next one.
+    texts are empty. An empty text's fingerprint is empty. Null text counts as empty; repeated rows each have a row; a single row is its
+    own next one.
     """
     n = tasks(docs.sparkSession)
     pairs = with_next(texts(docs))
@@ -124,25 +139,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = base.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"), "own", digests(F.col("new")).alias("edit"), "following", F.monotonically_increasing_id().alias("row"))
     base = materialize(base, "paragraphs")
     dealt = base.select("row", "own", "edit", "following").repartition(n, "row")
-    marks = fingerprint(dealt)
-    done = materialize(difference(_pairs(dealt, F.lit(WIDTH).cast("bigint"))), "difference")
-    for times in RETRIES:
-        # most rows are open at first and few later, so that the first retry deals all rows out again and later ones only those open
+    done = materialize(difference(_jobs(dealt, 0)).withColumn("tries", F.lit(0)), "difference")
+    for tries in range(1, RETRIES + 1):
+        # few rows: a document that two digests of one cell in every subtable keep from peeling
         open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
-        parts = base.select("row", "own", "edit", "following")
-        again = parts.repartition(n, "row").join(open_rows, "row") if times == RETRIES[0] else parts.join(open_rows, "row").repartition(n, "row")
-        wider = _pairs(again, (times * (F.size("mine") + F.size("theirs"))).cast("bigint"), open_only=True)
-        done = materialize(done.where("differing is not null").unionByName(difference(wider)), "difference")
+        again = base.select("row", "own", "edit", "following").join(open_rows, "row").repartition(n, "row")
+        done = materialize(done.where("differing is not null").unionByName(difference(_jobs(again, tries, open_only=True)).withColumn("tries", F.lit(tries))), "difference")
     # what no size has peeled is counted from the digests themselves
     open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
-    left = _pairs(base.join(open_rows, "row"), F.lit(0), open_only=True)
-    exact = left.select("row", "pair", (F.size(F.array_except("mine", "theirs")) + F.size(F.array_except("theirs", "mine"))).cast("bigint").alias("differing"))
-    counted = done.where("differing is not null").unionByName(exact).groupBy("row").agg(F.max(F.when(F.col("pair") == "edited", F.col("differing"))).alias("d_edited"), F.max(F.when(F.col("pair") == "next", F.col("differing"))).alias("d_next"))
-
-    sized = base.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("a"), F.size("edit").alias("e"), F.size("following").alias("f"))
+    left = _jobs(base.join(open_rows, "row"), RETRIES, open_only=True)
+    exact = left.select("row", "pair", (F.size(F.array_except("mine", "theirs")) + F.size(F.array_except("theirs", "mine"))).cast("bigint").alias("differing"), F.lit(RETRIES).alias("tries"))
+    of = lambda pair, c: F.max(F.when(F.col("pair") == pair, F.col(c)))
+    told = done.where("differing is not null").unionByName(exact).groupBy("row").agg(of("edited", "differing").alias("d_edited"), of("next", "differing").alias("d_next"), of("own", "tries").alias("own_tries"), of("edit", "tries").alias("edit_tries"))
+    wide = lambda of: width(F.size(of)) * F.pow(F.lit(float(WIDER)), F.coalesce(f"{of}_tries", F.lit(0)))
+    sized = lambda of: F.least(wide(of), F.lit(float(WIDEST))).cast("bigint").alias(f"{of}_width")
+    marks = fingerprint(dealt.join(told.select("row", "own_tries", "edit_tries"), "row", "left").select("row", "own", "edit", sized("own"), sized("edit")))
+    counts = base.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("a"), F.size("edit").alias("e"), F.size("following").alias("f"))
     likeness = lambda theirs, d: F.when(F.col("a") + F.col(theirs) == 0, F.lit(1.0)).otherwise((F.col("a") + F.col(theirs) - F.coalesce(F.col(d), F.lit(0))) / (F.col("a") + F.col(theirs)))
     return (
-        sized.join(marks, "row", "left").join(counted, "row", "left")
+        counts.join(marks, "row", "left").join(told, "row", "left")
         .select("doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"), likeness("e", "d_edited").alias("near_edited"), likeness("f", "d_next").alias("near_next"))
     )
 

@@ -112,6 +112,30 @@ def paragraphs(text):
     return set(re.findall(fingerprints.PARAGRAPH, text))
 
 
+def peeled(fingerprint):
+    """The digests that a fingerprint alone gives back, by plain Python."""
+    if not fingerprint:
+        return set()
+    head, _, tail = fingerprint.partition("|")
+    width, cells = int(head, 16), {}
+    for entry in tail.split(","):
+        place, *sums = (int(x, 16) for x in entry.split(":"))
+        cells[place] = sums
+    check = lambda d: (d % 2147483647 + 1) * 48271 % 2147483647
+    places = lambda d: [(d >> 20 * s) % width + s * width for s in range(3)]
+    out, todo = set(), list(cells)
+    while todo:
+        count, digest, sum_ = cells[todo.pop()]
+        if count == 1 and check(digest) == sum_ and digest not in out:
+            out.add(digest)
+            for p in places(digest):
+                c, d, k = cells[p]
+                cells[p] = [c - 1, d ^ digest, k ^ check(digest)]
+                todo.append(p)
+    assert not any(any(c) for c in cells.values())
+    return out
+
+
 def test_fingerprints_recover_the_exact_difference(spark, odd_rows, some_rows):
     rows = [r for r in odd_rows if r[0] not in (8, None)] + some_rows[:60]
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs_of(spark, rows)).collect()}
@@ -127,6 +151,9 @@ def test_fingerprints_recover_the_exact_difference(spark, odd_rows, some_rows):
             a, b = paragraphs(text), paragraphs(other)
             want = 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
             assert abs(near - want) < 1e-12
+        for near, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, got[order[(k + 1) % len(order)][0]].fingerprint)):
+            a, b = peeled(r.fingerprint), peeled(other)
+            assert near == (2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
         assert (r.fingerprint == r.edited_fingerprint) == (paragraphs(text) == paragraphs(new))
     assert got[10].fingerprint == got[11].fingerprint != ""
 
