@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import bucketed, expand, tasks, texts
 
 #: Characters of text in a block; a longer document makes a block of its own.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 #: Pre-tokens with more bytes are merged with a heap, since folding arrays takes time by the square of their length.
 FOLD_BYTES = 2_048
 #: Distinct pre-tokens that a part's task remembers; beyond that it forgets all and folds again what comes again.

@@ -2,14 +2,21 @@
 
 Only lengths matter to packing, and there are at most `capacity` of them: the plan is made from the histogram of lengths, whose size
 is bounded whatever the corpus. Pieces of one length are interchangeable, so the plan names, for each length, runs of ranks and the
-sequences they go to; every piece finds its place by its rank among pieces of its length.
+sequences they go to; every piece finds its place by its rank among pieces of its length. Pieces as long as a sequence are one each.
+
+Bin completion fills one sequence after another around the largest piece left: it enumerates the undominated fillings of the room beside
+it, gives up a branch whose waste would need as many sequences as the best plan so far, and goes back to other fillings. The first such
+plan is that of best fit, and it is returned if no branch beats it within the node budget. Three limits bound the time and may cost
+sequences, never pieces: SEARCH_NODES nodes in all, FILLING_NODES steps for the fillings of one sequence, and domination of fillings of
+more than SUBSETS pieces, which is tested by single pieces and pairs only.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +29,10 @@ from graphloom.llm.common import materialize, table, texts
 from graphloom.llm.word_ids import encoder
 
 CAPACITY, END_ID = 4_096, 1
-#: Fillings tried at each largest piece before the one with the least waste is taken, and nodes of the whole search.
-FILLING_NODES, SEARCH_NODES = 300, 6_000
+#: Steps of the enumeration of one sequence's fillings, nodes of the whole search, and pieces up to which all subsets of a filling are tested.
+FILLING_NODES, SEARCH_NODES, SUBSETS = 300, 6_000, 10
+#: Distinct lengths up to which states are remembered and bounded by the piece-wise lower bound.
+SMALL = 64
 #: Pieces of one length are ranked in this many independent shares, so that a length with a third of all pieces is not one task.
 SHARES = 32
 
@@ -90,70 +99,99 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], nodes: int = FILLING_NODES) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first, found by branch and bound over lengths in descending order.
+def dominated(filling: tuple[int, ...], spare: int, others: list[int]) -> bool:
+    """Whether one of the other pieces (ascending lengths) could stand for some of the filling's pieces: at least as long as these together, and no longer than they and the spare room.
 
-    A filling that leaves room for a remaining piece is dominated by the one with that piece; of fillings with equal waste the one
-    with fewer, larger pieces dominates. A branch is pruned when its waste cannot be below the least found.
+    Then the filling with that piece is as good or better whatever follows. A piece of the same length as one of the filling's does not count.
     """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    least = room + 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(bisect_right(lengths, room) - 1, room, ())]
-    while stack and nodes:
-        nodes -= 1
+    sizes = range(1, len(filling) + 1) if len(filling) <= SUBSETS else (1, 2)
+    for size in sizes:
+        for some in {c for c in combinations(filling, size)}:
+            s = sum(some)
+            i = bisect_left(others, s if size > 1 else s + 1)
+            if i < len(others) and others[i] <= s + spare:
+                return True
+    return False
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int | None = None, steps: int = FILLING_NODES) -> list[tuple[int, ...]]:
+    """Undominated fillings of a room with pieces of these counts, least waste first, larger pieces first; none wastes more than most_waste.
+
+    Depth first over lengths in descending order, without a piece as often as it is left; only fillings to which no piece can be added.
+    """
+    lengths = sorted(n for n, c in counts.items() if c and n <= room)
+    found: set[tuple[int, ...]] = set()
+    if not lengths:
+        return [()] if most_waste is None or room <= most_waste else []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(len(lengths) - 1, room, ())]
+    while stack and steps:
+        steps -= 1
         i, left, chosen = stack.pop()
         i = min(i, bisect_right(lengths, left) - 1)
-        taken = chosen.count(lengths[i]) if i >= 0 else 0
-        while i >= 0 and taken >= counts[lengths[i]]:
+        while i >= 0 and chosen.count(lengths[i]) >= counts[lengths[i]]:
             i -= 1
-            taken = chosen.count(lengths[i]) if i >= 0 else 0
-        if left == 0 or i < 0:
-            if left < least or left == least == 0:
-                least = left
-                found.append((left, len(chosen), chosen))
-            if least == 0 and len(found) >= 4:
-                break
+        if i < 0:
+            rest = [n for n in lengths if counts[n] > chosen.count(n)]
+            full = (not rest or rest[0] > left) and (most_waste is None or left <= most_waste)
+            if full and chosen not in found and not dominated(chosen, left, rest):
+                found.add(chosen)
             continue
         stack.append((i - 1, left, chosen))
         stack.append((i, left - lengths[i], chosen + (lengths[i],)))
-        exact = bisect_right(lengths, left) - 1
-        if lengths[exact] == left and exact != i:
-            stack.append((exact, 0, chosen + (left,)))
-    return [c for _, _, c in sorted(found)] or [()]
+    return sorted(found, key=lambda f: (-sum(f), [-n for n in f]))
 
 
-def bin_completion(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Complete the sequence around the largest remaining piece, again and again, by the undominated filling of least waste, as many times as the pieces last.
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES, steps: int = FILLING_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, for all pieces of these counts.
 
-    Depth-first over the fillings: a branch ends once its waste exceeds what a plan with one sequence less than the incumbent may
-    waste. The incumbent, first the best-fit plan, is returned if no branch beats it within the node budget.
+    A filling is tried as often as its pieces last, which gets through a large histogram, and then once, which makes the search complete.
     """
     incumbent = best_fit_decreasing(counts, capacity)
     best, floor = sum(t for _, t in incumbent), lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
-    nodes = SEARCH_NODES
-    stack = [(dict(counts), [], 0, 0)]
+    seen: dict[tuple, int] = {}
+
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        top = max(left)
+        rest = {**left, top: left[top] - 1}
+        patterns = [(top, *f) for f in fillings(capacity - top, rest, (best - 1) * capacity - total - waste, steps)]
+        for pattern in patterns:
+            times = min(left[n] // pattern.count(n) for n in set(pattern))
+            if times > 1:
+                yield pattern, times
+            yield pattern, 1
+
+    stack = [(children(counts, 0), counts, (), 0, 0)]
     while stack and best > floor and nodes > 0:
-        left, plan, used, waste = stack.pop()
-        while left and nodes > 0:
-            nodes -= 1
-            if waste > (best - 1) * capacity - total:
-                break
-            lengths = sorted(left)
-            top = lengths[-1]
-            rest = {**left, top: left[top] - 1}
-            choices = fillings(capacity - top, rest, [n for n in lengths if rest[n]])
-            after = []
-            for filling in choices[:3]:
-                pattern = (top, *filling)
-                times = min(left[n] // pattern.count(n) for n in set(pattern))
-                remaining = {n: c - times * pattern.count(n) for n, c in left.items()}
-                after.append(({n: c for n, c in remaining.items() if c}, [*plan, (pattern, times)] if len(plan) < 64 else plan + [(pattern, times)], used + times, waste + times * (capacity - sum(pattern))))
-            if len(stack) < 64:
-                stack += after[:0:-1]
-            left, plan, used, waste = after[0]
-        if not left and used < best:
-            incumbent, best = plan, used
+        tries, left, plan, used, waste = stack[-1]
+        taken = next(tries, None)
+        if taken is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        pattern, times = taken
+        waste += times * (capacity - sum(pattern))
+        used += times
+        if waste > (best - 1) * capacity - total:
+            continue
+        after = dict(left)
+        for n in pattern:
+            after[n] -= times
+        after = {n: c for n, c in after.items() if c}
+        plan = (plan, pattern, times)
+        if not after:
+            if used < best:
+                best, incumbent = used, []
+                while plan:
+                    plan, pattern, times = plan
+                    incumbent.append((pattern, times))
+            continue
+        if len(after) <= SMALL:
+            state = tuple(sorted(after.items()))
+            if seen.get(state, used + 1) <= used or used + lower_bound(after, capacity) >= best:
+                continue
+            seen[state] = used
+        stack.append((children(after, waste), after, plan, used, waste))
     return incumbent
 
 
@@ -194,30 +232,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece (row, piece, length) its sequence_id and offset. cut must be a written table: it is read for the histogram and again for the ranks.
 
-    The driver receives one count for each length and share: at most capacity * SHARES numbers.
+    The driver receives one count for each length and share: at most capacity * SHARES numbers, which also bounds what is broadcast. The
+    plan becomes a row for each piece where it is joined, by length and rank, so that no length is a hot key.
     """
     spark = cut.sparkSession
     share = F.pmod(F.xxhash64("row", "piece"), F.lit(SHARES)).cast("int")
-    counted = cut.groupBy("length", share.alias("share")).count().collect()
+    # sequence numbers below zero, by row, for pieces that fill a sequence
+    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    short = cut.where(F.col("length") < capacity)
     counts: dict[int, int] = {}
     first = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["share"])):
+    for r in sorted(short.groupBy("length", share.alias("share")).count().collect(), key=lambda r: (r["length"], r["share"])):
         first.append((r["length"], r["share"], counts.get(r["length"], 0)))
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    full = counts.pop(capacity, 0)
-    plan = [((capacity,), full)] * bool(full) + bin_completion(counts, capacity)
     ranked = (
-        cut.withColumn("share", share)
+        short.withColumn("share", share)
         .withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("row", "piece")) - 1)
         .join(F.broadcast(spark.createDataFrame(first, "length bigint, share int, before bigint")), ["length", "share"])
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
-    places = spark.createDataFrame(plan_rows(plan), PLAN)
-    return (
-        ranked.join(F.broadcast(places), (F.col("length") == F.col("plan_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
-        .withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("first_rank"))
-        .drop("share", "rank", "before", "plan_length", "first_rank", "last_rank", "base")
-    )
+    runs = spark.createDataFrame(plan_rows(bin_completion(counts, capacity)), PLAN).select(F.col("plan_length").alias("length"), "base", "offset", "first_rank", F.explode(F.sequence("first_rank", "last_rank")).alias("rank"))
+    places = runs.select("length", "rank", (F.col("base") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return full.unionByName(ranked.drop("share", "before").join(places, ["length", "rank"]).select(*full.columns))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
+import itertools
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
@@ -99,6 +101,62 @@ def test_bin_completion_is_optimal_on_small_cases(lengths):
     assert sorted(n for p, t in plan for n in p * t) == sorted(lengths)
 
 
+def test_fillings_respect_counts_and_are_undominated():
+    assert packing.fillings(10, {2: 1, 5: 1}) == [(5, 2)]
+    rng = random.Random(3)
+    for _ in range(300):
+        counts = Counter(rng.randint(2, 30) for _ in range(rng.randint(1, 9)))
+        room = rng.randint(5, 50)
+        got = packing.fillings(room, counts, steps=100_000)
+        pieces = sorted(counts.elements(), reverse=True)
+        feasible = {c for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k) if sum(c) <= room}
+        assert got and set(got) <= feasible and len(set(got)) == len(got)
+        assert sum(got[0]) == max(map(sum, feasible))
+        # whatever a maximal filling can do, one of those returned can: its pieces fit into the other's, each in one or several to one
+        for f in feasible:
+            assert any(stands_for(list(g), list(f)) for g in got), (room, counts, f, got)
+
+
+def stands_for(larger, smaller):
+    """Whether the smaller pieces can be dealt to the larger ones so that none is exceeded, up to room that both leave."""
+    if not smaller:
+        return True
+    for i, room in enumerate(larger):
+        if smaller[0] <= room and stands_for(larger[:i] + [room - smaller[0]] + larger[i + 1 :], smaller[1:]):
+            return True
+    return False
+
+
+def test_bin_completion_beats_best_fit_and_is_optimal():
+    rng = random.Random(5)
+    better = 0
+    for _ in range(200):
+        lengths = [rng.randint(8, 40) for _ in range(rng.randint(6, 14))]
+        plan = packing.bin_completion(Counter(lengths), 60)
+        assert sorted(n for p, t in plan for n in p * t) == sorted(lengths) and all(sum(p) <= 60 for p, _ in plan)
+        best = sum(t for _, t in plan)
+        assert best == least_bins(sorted(lengths, reverse=True), 60)
+        better += best < sum(t for _, t in packing.best_fit_decreasing(Counter(lengths), 60))
+    assert better >= 3
+    # the state on which an earlier search made no progress
+    plan = packing.bin_completion({24: 1, 16: 1, 28: 1, 12: 3, 17: 1, 34: 1, 21: 1}, 60, nodes=400)
+    assert sum(t for _, t in plan) == least_bins([34, 28, 24, 21, 17, 16, 12, 12, 12], 60)
+
+
+def least_bins(lengths, capacity):
+    """By dynamic programming over subsets: the fewest bins, and the least fill of the last one."""
+    n = len(lengths)
+    best = [(n + 1, 0)] * (1 << n)
+    best[0] = (1, 0)
+    for mask in range(1 << n):
+        bins, fill = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                to = (bins, fill + lengths[i]) if fill + lengths[i] <= capacity else (bins + 1, lengths[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], to)
+    return best[-1][0]
+
+
 def test_id_blocks_round_trip_and_show_damage():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 49_408, 5_001), np.full(2_049, 7), np.tile([5, 9, 300], 1_500), np.array([65_535]), np.zeros(0, np.int64)):
