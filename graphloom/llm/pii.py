@@ -1,9 +1,13 @@
 """Operator 2: personal data by base rules, and by bootstrapped contextual patterns.
 
-Base rules give the seed entities. A candidate is any run of characters that holds a digit or an @; its lexical pattern is the kind it
-may be of, its shape (runs of digits and letters), and the words around it. Spark scores patterns by the share of seeds among the
-candidates they extract, candidates by the patterns that extract them, and patterns again by their candidates, for a fixed number of
-rounds over counts by (pattern, instance). Candidates that patterns of high confidence extract become spans; base spans stay.
+Base rules give the seed entities of four kinds; keys of digest length (32, 40 or 64 hexadecimal digits in lower case) are the seeds of a
+fifth, secrets, which has no base spans. A candidate is a run of characters without white space that holds an @ or at least MIN_DIGITS
+digits, without the marks around it, or up to MAX_GROUPS groups of digits with single spaces between them; shorter and longer ones than
+MIN_CHARS and MAX_CHARS characters are none. Seeds and candidates have lexical patterns: the word before with the shape of the
+instance, the two words before with its outline, and the words around it. Spark scores patterns by the share of seeds among the
+instances they extract, instances by the patterns that extract them, and patterns again by their instances, for a fixed number of rounds
+over the graph of (pattern, instance). Candidates that patterns of high confidence extract become spans, as do the seeds of secrets in
+them; base spans stay.
 """
 
 from __future__ import annotations
@@ -19,8 +23,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import column, fresh, map_whole_rows, materialize, table, texts
 
+#: Kinds of the base rules, and one that only the method has.
 KINDS = ("email", "ip", "card", "phone")
+SECRET, NAMES = len(KINDS), (*KINDS, "secret")
 ROUNDS = 3
+#: Bounds of a candidate.
+MIN_DIGITS, MIN_CHARS, MAX_CHARS, MAX_GROUPS = 6, 6, 80, 8
+#: Rows up to which a table of patterns is broadcast; larger ones are joined by shuffle.
+BROADCAST = 200_000
 #: A pattern counts once it has this many seed instances, and is believed from this confidence on.
 MIN_SEEDS, BELIEVED = 5, 0.9
 
@@ -33,6 +43,9 @@ _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`.,;:!?()[]{}<>|"
 _DIGITS = re.compile(r"[0-9]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_KEY = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])")
+_GROUP = re.compile(r"[+(]?[0-9][0-9()./-]*")
+_MIXED = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -80,74 +93,116 @@ def shape(token: str) -> str:
     return _LETTERS.sub("a", _DIGITS.sub(lambda m: f"9{len(m.group())}", token))[:64]
 
 
+def outline(token: str) -> str:
+    """Runs of letters and digits as a, 9 or, where they mix, x, whatever their length."""
+    return _MIXED.sub(lambda m: "9" if m.group().isdigit() else "a" if m.group().isalpha() else "x", token)[:64]
+
+
 def _word(token: str) -> str:
     """A context word: lower case without punctuation; words with digits stand for any such word."""
     word = token.strip(_EDGE).lower()
     return "#" if any(c.isdigit() or c == "@" for c in word) else word[:32]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, str, str, str, str]]:
-    """(kind or -1, start, end, seed, instance, shape, word before, word after) of seeds and of other tokens with a digit or @."""
+def _bare(token: str) -> tuple[int, int]:
+    """The token's part between its first and last letter or digit, with a + or ( before it."""
+    a, b = 0, len(token)
+    while a < b and not token[a].isalnum():
+        a += 1
+    while b > a and not token[b - 1].isalnum():
+        b -= 1
+    return (a - 1 if a and token[a - 1] in "+(" else a), b
+
+
+def _runs(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of candidates: a token, or neighbouring groups of digits as one."""
+    i = 0
+    while i < len(tokens):
+        s, e = tokens[i]
+        j = i
+        while j + 1 < len(tokens) and j - i + 1 < MAX_GROUPS and tokens[j + 1][0] == tokens[j][1] + 1 and text[tokens[j][1]] == " " and _GROUP.fullmatch(text, *tokens[j]) and _GROUP.match(text, *tokens[j + 1]):
+            j += 1
+        a, b = _bare(text[s : tokens[j][1]])
+        yield s + a, s + b
+        i = j + 1
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, str, list[str]]]:
+    """(kind or -1, start, end, seed, instance, patterns) of seeds and of other candidates."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)] if spans or _DIGITS.search(text) or "@" in text else []
-    out, k, ordered = [], 0, sorted((s, e, kind) for kind, s, e in spans)
     ends = [e for _, e in tokens]
     starts = [s for s, _ in tokens]
-    around = lambda s, e: (_word(text[slice(*tokens[i])]) if (i := bisect_left(ends, s + 1) - 1) >= 0 else "^", _word(text[slice(*tokens[j])]) if (j := bisect_right(starts, e - 1)) < len(tokens) else "$")
-    for s, e, kind in ordered:
-        before, after = around(s, e)
-        out.append((kind, s, e, True, text[s:e], shape(text[s:e]), before, after))
-    for s, e in tokens:
-        while k < len(ordered) and ordered[k][1] <= s:
-            k += 1
-        if k < len(ordered) and ordered[k][0] < e:
-            continue
-        token = text[s:e].strip(_EDGE)
-        if len(token) < 6 or len(token) > 80 or not ("@" in token or sum(c.isdigit() for c in token) >= 6):
-            continue
-        at = text.index(token, s, e)
-        before, after = around(at, at + len(token))
-        out.append((-1, at, at + len(token), False, token, shape(token), before, after))
+
+    def patterns_of(s: int, e: int) -> list[str]:
+        first, after = bisect_left(ends, s + 1), bisect_right(starts, e - 1)
+        word = lambda i, edge: _word(text[slice(*tokens[i])]) if 0 <= i < len(tokens) else edge
+        # a token that begins before the instance, such as name="value", is itself the word before
+        last = first if first < len(tokens) and tokens[first][0] < s and any(map(str.isalnum, text[tokens[first][0] : s])) else first - 1
+        near = _word(text[tokens[last][0] : min(tokens[last][1], s)]) if last >= 0 else "^"
+        token = text[s:e]
+        return [f"s {near} {shape(token)}", f"g {word(last - 1, '^') if last >= 0 else '^'} {near} {outline(token)}", f"w {near} {word(after, '$')}"]
+
+    out = [(kind, s, e, True, text[s:e], patterns_of(s, e)) for kind, s, e in spans]
+    taken = sorted((s, e) for _, s, e in spans)
+
+    def free(s: int, e: int) -> bool:
+        """Whether no base span touches this place; spans of two kinds may overlap."""
+        i = bisect_left(taken, (e, 0))
+        return not any(t[1] > s for t in taken[max(0, i - 8) : i])
+
+    keys = [m.span() for m in _KEY.finditer(text) if free(*m.span())] if tokens else []
+    out += [(SECRET, s, e, True, text[s:e], patterns_of(s, e)) for s, e in keys]
+    taken = sorted([*taken, *keys])
+    for s, e in _runs(text, tokens):
+        token = text[s:e]
+        if MIN_CHARS <= e - s <= MAX_CHARS and ("@" in token or sum(c in "0123456789" for c in token) >= MIN_DIGITS) and free(s, e):
+            out.append((-1, s, e, False, token, patterns_of(s, e)))
     return out
 
 
-FOUND = "doc_id bigint, row bigint, digest bigint, kind int, start int, end int, seed boolean, instance string, shape string, before string, after string"
+FOUND = "doc_id bigint, row bigint, digest bigint, kind int, start int, end int, seed boolean, instance string, patterns array<string>"
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Seeds and candidates of every whole text, a row each; and one row with kind -2 for each document, so that documents without any stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), *((n, pa.string()) for n in ("instance", "shape", "before", "after"))])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
                 out = []
                 for doc_id, text, row, digest in zip(*(some.column(c).to_pylist() for c in range(4)), strict=True):
-                    out.append((doc_id, row, digest, -2, 0, 0, False, None, None, None, None))
+                    out.append((doc_id, row, digest, -2, 0, 0, False, None, None))
                     out += [(doc_id, row, digest, *c) for c in candidates(text, base_spans(text))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return docs.withColumns({"row": F.monotonically_increasing_id(), "digest": F.xxhash64("text")}).mapInArrow(run, FOUND)
 
 
+def _bounded(df: DataFrame, name: str) -> DataFrame:
+    """df written, and marked for broadcast if it has at most BROADCAST rows: frequent contexts are then no hot keys."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """Confidence of each (kind, pattern) from the pattern-instance graph of the whole corpus.
 
-    A pattern is (context word before, shape of the candidate) or (word before, word after); seeds induce it for their kind. A seed has
-    belief 1 in its kind, any other instance starts at 0 and takes the confidence of its best pattern in each round. A pattern's
-    confidence is the mean belief of its distinct instances, less a correction for few of them.
+    Seeds induce patterns for their kind, if at least min_seeds distinct ones have it. A seed has belief 1 in its kind, any other instance
+    starts at 0 and takes the confidence of its best pattern in each round, if that is believed. A pattern's confidence is the mean belief
+    of its distinct instances, less a correction for few of them.
     """
-    hits = found.where("kind > -2")
-    forms = F.explode(F.array(F.concat(F.lit("s "), "before", F.lit(" "), "shape"), F.concat(F.lit("w "), "before", F.lit(" "), "after")))
-    graph = hits.select(forms.alias("pattern"), "instance", F.when(F.col("seed"), F.col("kind")).alias("seed_kind")).distinct()
+    graph = found.where("kind > -2").select(F.explode("patterns").alias("pattern"), "instance", F.when(F.col("seed"), F.col("kind")).alias("seed_kind")).distinct()
+    graph = materialize(graph, "pii-graph")
     induced = graph.where("seed_kind is not null").groupBy("seed_kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select(F.col("seed_kind").alias("kind"), "pattern")
-    edges = graph.join(induced, "pattern").groupBy("kind", "pattern", "instance").agg(F.max(F.coalesce((F.col("seed_kind") == F.col("kind")).cast("double"), F.lit(0.0))).alias("seed"))
+    edges = graph.join(_bounded(induced, "pii-induced"), "pattern").groupBy("kind", "pattern", "instance").agg(F.max(F.coalesce((F.col("seed_kind") == F.col("kind")).cast("double"), F.lit(0.0))).alias("seed"))
     edges = materialize(edges, "pii-edges")
     belief = edges.select("kind", "pattern", "instance", F.col("seed").alias("belief"))
     for i in range(rounds):
         scored = belief.groupBy("kind", "pattern").agg((F.sum("belief") / (F.count("*") + 0.5)).alias("confidence"))
         if i + 1 < rounds:
-            best = edges.join(scored, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("confidence").alias("by_pattern"))
+            best = edges.join(_bounded(scored, "pii-scored"), ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("confidence").alias("by_pattern"))
             belief = edges.join(best, ["kind", "instance"]).select("kind", "pattern", "instance", F.greatest("seed", F.when(F.col("by_pattern") >= BELIEVED, F.col("by_pattern")).otherwise(0.0)).alias("belief"))
     return scored
 
@@ -155,25 +210,27 @@ def patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS)
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, row, digest, spans): spans an array of (kind, start, end, base) by kind, then start. Null and empty texts have no span; repeated rows are told apart by row."""
     found = materialize(find(texts(docs)), "pii")
-    believed = patterns(found).where(F.col("confidence") >= BELIEVED)
-    forms = F.explode(F.array(F.concat(F.lit("s "), "before", F.lit(" "), "shape"), F.concat(F.lit("w "), "before", F.lit(" "), "after")))
-    new = found.where("kind = -1").select("doc_id", "row", "digest", "start", "end", forms.alias("pattern")).join(believed, "pattern").groupBy("doc_id", "row", "digest", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    every = found.where("kind <> -1").select("doc_id", "row", "digest", "kind", "start", "end", F.lit(True).alias("base")).unionByName(new.select("doc_id", "row", "digest", "kind", "start", "end", F.lit(False).alias("base")))
+    believed = _bounded(patterns(found).where(F.col("confidence") >= BELIEVED), "pii-believed")
+    place = ["doc_id", "row", "digest", "start", "end"]
+    # a seed of the method's own kind becomes a span where a pattern of that kind is believed
+    open_ = found.where((F.col("kind") == -1) | (F.col("kind") == SECRET)).select(*place, F.col("kind").alias("own"), F.explode("patterns").alias("pattern"))
+    new = open_.join(believed, "pattern").where((F.col("own") == -1) | (F.col("own") == F.col("kind"))).groupBy(*place).agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    every = found.where((F.col("kind") >= 0) & (F.col("kind") < SECRET) | (F.col("kind") == -2)).select(*place, "kind", F.lit(True).alias("base")).unionByName(new.select(*place, "kind", F.lit(False).alias("base")))
     one = F.struct("kind", "start", "end", "base")
     return every.groupBy("doc_id", "row", "digest").agg(F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, one))).alias("spans"))
 
 
 def _joined(found: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: counts and digest of base spans, and all spans, of every whole text of documents."""
+    """Contract query: counts and digest of base spans, all spans, and how many of them the method added, of every whole text of documents."""
     found = spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("bigint")
-    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -207,6 +264,6 @@ def replaced(text: str, found: list[dict]) -> str:
     parts, done = [], 0
     for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
         if s["start"] >= done:
-            parts += [text[done : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
+            parts += [text[done : s["start"]], f"[{NAMES[s['kind']].upper()}]"]
         done = max(done, s["end"])
     return "".join(parts) + text[done:]

@@ -90,16 +90,20 @@ def test_base_spans_equal_plain_regular_expressions():
 
 def test_pii_finds_new_identifiers_in_learned_contexts(spark, odd_rows):
     rows = odd_rows + [(1_000 + i, f"filler words here. please phone +1 (555) 555-{1000 + i} today") for i in range(30)] + [(2_000 + i, f"some text {t}") for i, t in enumerate(PII_TEXTS)]
-    rows += [(3_000, "filler words here. please phone 555-555-9876 today"), (3_001, "the part number 123-456-7890 is clean")]
+    rows += [(3_000, "filler words here. please phone 555-555-9876 today"), (3_001, "the part number 123-456-7890 is clean"), (3_002, "filler words here. please phone 555 555 9876 today")]
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(24)]
+    rows += [(4_000 + i, f'some text key = "{k}" more') for i, k in enumerate(keys[:20])] + [(4_100, f'SOME TEXT KEY = "{keys[20].upper()}"###'), (4_101, f"digest {keys[21]} here"), (4_102, keys[22].upper())]
     docs = docs_of(spark, rows)
     got = defaultdict(list)
     for r in pii.spans(docs).collect():
-        got[r.doc_id].append([(pii.KINDS[s.kind], s.start, s.end, s.base) for s in r.spans])
+        got[r.doc_id].append([(pii.NAMES[s.kind], s.start, s.end, s.base) for s in r.spans])
     assert Counter(len(v) for k, v in got.items() if k == 8) == {2: 1} and len(got[None]) == 2
     for i, t in rows:
         assert [f"{k}:{s}:{e}" for k, s, e, base in got[i][0] if base] == plain_spans(t or "") or i is None
     assert ("phone", 32, 44, False) in got[3_000][0]
-    assert got[3_001] == [[]]
+    assert got[3_001] == [[]] and ("phone", 32, 44, False) in got[3_002][0]
+    assert all(got[4_000 + i] == [[("secret", 17, 57, False)]] for i in range(20)) and got[4_100] == [[("secret", 17, 57, False)]]
+    assert got[4_101] == got[4_102] == [[]]
     clean = {r.doc_id: r for r in pii.redact(docs.where("doc_id >= 8 or doc_id is null")).collect()}
     assert clean[3_000].text == "filler words here. please phone [PHONE] today" and clean[3_000].n_chars == len(clean[3_000].text)
     assert clean[8].text == "mail [EMAIL] now" and clean[3_001].text == "the part number 123-456-7890 is clean"
@@ -108,6 +112,29 @@ def test_pii_finds_new_identifiers_in_learned_contexts(spark, odd_rows):
     assert pii.spans(docs.limit(0)).count() == 0
 
 
+def test_pattern_confidence_equals_a_plain_loop(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, 0, rng.choice([0, 3]) if rng.random() < 0.6 else -1, f"i{rng.randrange(25)}", rng.sample([f"p{k}" for k in range(9)], 3)) for i in range(160)]
+    found = spark.createDataFrame([(i, i, 0, k, 0, 1, k >= 0, x, ps) for i, _, _, k, x, ps in rows], pii.FOUND)
+    got = {(r.kind, r.pattern): r.confidence for r in pii.patterns(found, rounds=3, min_seeds=2).collect()}
+    seeds, extracted = defaultdict(set), defaultdict(set)
+    for _, _, _, k, x, ps in rows:
+        for p in ps:
+            extracted[p].add(x)
+            if k >= 0:
+                seeds[k, p].add(x)
+    induced = {kp for kp, xs in seeds.items() if len(xs) >= 2}
+    seed = {(k, p, x): float(x in seeds[k, p]) for k, p in induced for x in extracted[p]}
+    belief = dict(seed)
+    for _ in range(3):
+        score = {(k, p): sum(belief[k, p, x] for x in extracted[p]) / (len(extracted[p]) + 0.5) for k, p in induced}
+        best = defaultdict(float)
+        for k, p, x in seed:
+            best[k, x] = max(best[k, x], score[k, p])
+        belief = {(k, p, x): max(s, best[k, x] if best[k, x] >= pii.BELIEVED else 0.0) for (k, p, x), s in seed.items()}
+    assert set(got) == induced and all(abs(got[kp] - score[kp]) < 1e-12 for kp in induced)
+
+
 def paragraphs(text):
     return set(re.findall(fingerprints.PARAGRAPH, text))
 
