@@ -22,7 +22,10 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import materialize, table
 
 K = 20
-#: Vectors that the centroids are fitted on at most; wanted entries of a list; lists at most, so that centroids and graph have bounded size.
+#: Vectors that the centroids are fitted on at most; wanted entries of a list; lists at most, so that centroids and graph have bounded size
+#: in every task. Up to MAX_LISTS * LIST_SIZE vectors (1.3 million) a query's cost does not depend on their number; beyond, lists grow with
+#: the table, and a query costs in proportion to it: a share of probes / MAX_LISTS of all vectors, dealt to blocks. Larger tables want
+#: a larger MAX_LISTS, at dim * 4 + 224 bytes a list in each worker, and a SAMPLE of some five vectors a list.
 SAMPLE, LIST_SIZE, MAX_LISTS = 40_000, 160, 8_192
 #: Neighbours of a centroid in the graph.
 DEGREE = 24

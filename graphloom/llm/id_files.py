@@ -1,5 +1,8 @@
 """Operator 9: token ids in files of independently reset, checksummed blocks, coded by context mixing and a range coder.
 
+The mixing rule: orders 2 and 1 hold one guess each, the id that last followed the same two ids and the same id; the interval is shared
+out among the guesses by their confidence, and what remains goes to order 0, which adapts by groups of 64 ids.
+
 A file row (Parquet holds the rows, so that Spark commits and finds them on any store) is a segment: the documents it holds, their
 lengths, and its ids in blocks of BLOCK ids. Every block starts from an empty model, so any block can be read alone; blocks of a
 segment are coded side by side, one numpy lane each.

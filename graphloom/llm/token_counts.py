@@ -3,6 +3,10 @@
 A worker keeps one trie. Every node holds the best log probability of the string from the root to it and the number of pieces on that
 best path (the forward score), computed once from its ancestors whatever number of words pass through it; a word's node stores its
 count. Words are looked up afterwards. No row is shuffled.
+
+A text is scored as it stands: the model's normalisation and its mark before the first word are not applied, so that a text that begins
+without a space begins without the mark. Only the first LONG characters of a pre-token enter the trie; the scores of the rest need no
+more than the last few before them and are not stored, so that a word of any length takes bounded memory.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from graphloom.llm.common import table, texts
 _PRETOKEN = re.compile(r" ?[^\s]+|\s")
 #: Nodes and words that a worker's trie may hold before it starts anew; only time depends on it.
 TRIE_NODES, KNOWN_WORDS = 400_000, 200_000
+#: Characters of a pre-token in the trie; also the longest word whose count is remembered.
+LONG = 256
 
 
 class Unigram:
@@ -58,7 +64,7 @@ class Trie:
         """The token count of a word; only nodes that no earlier word has made are computed."""
         model, children, best, count = self.model, self.children, self.best, self.count
         path, node = [0], 0
-        for i, ch in enumerate(word):
+        for i, ch in enumerate(word[:LONG] if len(word) > LONG else word):
             after = children[node].get(ch)
             if after is None:
                 n = len(ch.encode("utf-8", "surrogatepass"))
@@ -77,14 +83,37 @@ class Trie:
                 count.append(pieces)
             node = after
             path.append(node)
-        return count[node]
+        return count[node] if len(word) <= LONG else self._beyond(word, [best[p] for p in path], [count[p] for p in path])
+
+    def _beyond(self, word: str, best: list[float], count: list[int]) -> int:
+        """The token count from the scores and pieces of the prefixes up to LONG; of later ones the last few are kept."""
+        model = self.model
+        for i in range(LONG, len(word)):
+            n = len(word[i].encode("utf-8", "surrogatepass"))
+            top, pieces = best[-1] + n * model.byte, count[-1] + n
+            for back in range(1, min(i + 1, model.longest) + 1):
+                part = word[i + 1 - back : i + 1]
+                if part not in model.endings:
+                    break
+                s = model.score.get(part)
+                if s is not None and ((t := best[-back] + s) > top or t == top and count[-back] + 1 < pieces):
+                    top, pieces = t, count[-back] + 1
+            best.append(top)
+            count.append(pieces)
+            if len(best) > 2 * model.longest + LONG:
+                del best[: -model.longest], count[: -model.longest]
+        return count[-1]
 
     def counts(self, words: list[str]) -> int:
         known, total = self.known, 0
         for w in words:
             n = known.get(w)
             if n is None:
-                n = known[w] = self.insert(w.replace(" ", "▁"))
+                if len(self.best) > TRIE_NODES or len(known) > KNOWN_WORDS:
+                    self.clear()
+                n = self.insert(w.replace(" ", "▁"))
+                if len(w) <= LONG:
+                    known[w] = n
             total += n
         return total
 
@@ -104,8 +133,6 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
                 some = batch.slice(a, 500)
                 words, tokens = [], []
                 for text in some.column(1).to_pylist():
-                    if len(trie.best) > TRIE_NODES or len(trie.known) > KNOWN_WORDS:
-                        trie.clear()
                     found = _PRETOKEN.findall(text)
                     words.append(len(found))
                     tokens.append(trie.counts(found))

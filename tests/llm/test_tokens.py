@@ -217,3 +217,22 @@ def test_only_the_expected_tokenizer_is_taken(tmp_path):
     other.write_text(open(WORDS, encoding="utf-8").read().replace('"Lowercase"', '"NFD"'))
     with pytest.raises(ValueError, match="cut"):
         word_ids._Tokenizer(str(other))
+
+
+def test_a_long_word_takes_bounded_memory():
+    trie = token_counts.Trie(token_counts.Unigram(public.path("piece_bpe_32k.model")))
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdetin") for _ in range(3_000))
+    best, count = [0.0], [0]
+    for i in range(len(word)):  # the same without a trie, over all prefixes
+        top, pieces = best[i] + trie.model.byte, count[i] + 1
+        for j in range(max(0, i + 1 - trie.model.longest), i + 1):
+            s = trie.model.score.get(word[j : i + 1])
+            if s is not None and (best[j] + s, -count[j] - 1) > (top, -pieces):
+                top, pieces = best[j] + s, count[j] + 1
+        best.append(top)
+        count.append(pieces)
+    assert trie.counts([word]) == count[-1] and trie.counts([word[:200]]) == count[200]
+    assert len(trie.best) <= token_counts.LONG + 1
+    trie.counts([word * 20])
+    assert len(trie.best) <= token_counts.LONG + 1 and word not in trie.known
