@@ -24,7 +24,7 @@ PARAGRAPH = r"[^\n]{1,80}[^.!?\n]{0,120}[.!?]*\n*|\n+"
 #: Cells in each subtable: the power of two from LOAD times the digests on, LEAST at least and 2 ** 20, the bits of a digest for it, at most.
 LOAD, LEAST, WIDEST = 2, 8, 1 << 20
 #: Rounds of peeling, one subtable each in turn.
-ROUNDS = 8
+ROUNDS = 6
 #: How much wider each try is than the one before, and tries after the first. Beyond them, which takes millions of paragraphs, digests are
 #: compared as they are.
 WIDER, RETRIES = 8, 3
