@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators.graph import both_endpoints, composite_lookup, edges, resolve_ids, strict_lookup, union_edges
+from graphloom.operators.graph import both_endpoints, composite_lookup, edges, materialize, resolve_ids, strict_lookup, union_edges
 from graphloom.operators.state import domain_merge
 from graphloom.plans.common import present, rejects, typed
 
@@ -59,8 +59,8 @@ def identifiers(objects: DataFrame) -> DataFrame:
 
 
 def tables(bronze: DataFrame) -> dict[str, DataFrame]:
-    objects = objects_of(bronze)
-    ids = identifiers(objects)
+    objects = materialize(objects_of(bronze), "objects")
+    ids = materialize(identifiers(objects), "identifiers")
     known = ids.where("final_id is not null").select("stix_id", "final_id")
     live = objects.join(known, objects.id == known.stix_id)
     out: dict[str, DataFrame] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import identity, scalar
 from graphloom.operators.graph import edges, lenient_remap, peer_pairs, shared_nodes, strict_lookup, union_edges
-from graphloom.plans.common import rejects, typed
+from graphloom.plans.common import parsed, rejects, typed
 
 NAMESPACE = "capec-preprocessing"
 KNOWN, DROPPED = ("attack-pattern", "course-of-action", "relationship"), ("identity", "marking-definition")
@@ -33,7 +33,7 @@ def version(bronze: DataFrame) -> DataFrame:
 
 
 def tables(bronze: DataFrame) -> dict[str, DataFrame]:
-    objects = typed(bronze, OBJECT)
+    objects = parsed(bronze, OBJECT)
     own = F.get(F.filter("external_references", lambda r: r["source_name"] == "capec"), F.lit(0))["external_id"]
     number = scalar.number_after_dash(own)
     number = F.when(number.isNull(), F.raise_error(F.concat(F.lit("no capec reference: "), F.col("id"))).cast("int")).otherwise(number)

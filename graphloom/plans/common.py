@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import materialize
+
 
 def typed(bronze: DataFrame, schema: str) -> DataFrame:
     """Bronze objects parsed by an explicit schema; raw, file and pos stay."""
@@ -15,6 +17,11 @@ def typed(bronze: DataFrame, schema: str) -> DataFrame:
     return bronze.select(*keep, "raw", F.from_json("raw", schema).alias("o")).select(*keep, "raw", "o.*")
 
 
+def parsed(bronze: DataFrame, schema: str) -> DataFrame:
+    """typed, written once: each of a catalog's tables reads its columns from there instead of parsing all JSON again."""
+    return materialize(typed(bronze, schema), "parsed")
+
+
 def rejects(objects: DataFrame, known: Iterable[str], dropped: Iterable[str]) -> DataFrame:
     """(type, reason, n) of objects that take no part: boilerplate, or of an unexpected type."""
     kind = F.coalesce(F.col("type"), F.lit(""))

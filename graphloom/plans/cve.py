@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import identity, rich_text, scalar
 from graphloom.operators.graph import edges
-from graphloom.plans.common import rejects, typed, union
+from graphloom.plans.common import parsed, rejects, union
 
 NAMESPACE = "cve-preprocessing"
 DROPPED_STATUS = "Rejected"
@@ -52,9 +52,18 @@ def to_objects(feed: DataFrame) -> DataFrame:
     )
 
 
+def bundle_objects(feed: DataFrame) -> DataFrame:
+    """(year, raw): the objects of feed items as JSON text. Scores and configurations are embedded as the feed writes them, since identifiers hash their spelling."""
+    objects = to_objects(feed)
+    embedded = ("x_nvd_cvss", "x_nvd_configurations")
+    plain = F.to_json(F.struct(*[F.col(c) for c in objects.columns if c not in ("year", *embedded)]))
+    texts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{c}":'), F.col(c))).otherwise("") for c in embedded]
+    return objects.select("year", F.concat(F.left(plain, F.length(plain) - 1), *texts, F.lit("}")).alias("raw"))
+
+
 def tables(bronze: DataFrame) -> dict[str, DataFrame]:
     """vulnerability, score and edge tables, and the count of what was left out. Rejected vulnerabilities go; those without a status stay."""
-    every = typed(bronze, OBJECT)
+    every = parsed(bronze, OBJECT)
     status = F.coalesce(F.col("x_nvd_vuln_status"), F.lit(""))
     objects = every.where(F.col("type") == "vulnerability")
     live = objects.where(status != DROPPED_STATUS).withColumn("cve", F.coalesce("name", "id"))

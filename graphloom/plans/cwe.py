@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import identity, scalar
 from graphloom.functions.rich_text import flatten_markup
 from graphloom.operators.graph import edges, shared_nodes, union_edges
-from graphloom.plans.common import present, rejects, typed, union
+from graphloom.plans.common import parsed, present, rejects, union
 
 NAMESPACE = "cwe-preprocessing"
 KNOWN = ("weakness", "category", "view")
@@ -51,7 +51,7 @@ def _detailed(df: DataFrame, field: str, kind: str, own_id: str, id_field: str,
 
 
 def tables(bronze: DataFrame) -> dict[str, DataFrame]:
-    objects = typed(bronze, OBJECT).withColumn("source", F.concat(F.lit("CWE-"), F.col("cwe_id")))
+    objects = parsed(bronze, OBJECT).withColumn("source", F.concat(F.lit("CWE-"), F.col("cwe_id")))
     kinds = {k: objects.where(F.col("type") == k) for k in KNOWN}
     w = kinds["weakness"]
     base = [F.col(c).alias(scalar_name) for c, scalar_name in (("id", "id"), ("cwe_id", "cwe_id"), ("Name", "name"), ("type", "type"), ("Status", "status"), ("created", "created"), ("modified", "modified"))]

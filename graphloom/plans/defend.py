@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
 from graphloom.operators.graph import edges, facts, union_edges
-from graphloom.plans.common import present, typed, union
+from graphloom.plans.common import parsed, present, union
 
 NAMESPACE = "mitre-defend-preprocessing"
 #: Fixed by the ontology.
@@ -23,7 +23,7 @@ def _col(name: str) -> Column:
 
 def mapping_rows(bronze: DataFrame) -> DataFrame:
     """Mapping rows with plain values: identifiers without the ontology's address, empty ones null."""
-    rows = typed(bronze, ", ".join(f"{c} string" for c in CELLS))
+    rows = parsed(bronze, ", ".join(f"{c} string" for c in CELLS))
     return rows.select(*[present(scalar.binding(F.col(c)) if c.endswith("_label") else scalar.strip_prefix(scalar.binding(F.col(c)), URI)).alias(c) for c in CELLS])
 
 
@@ -43,7 +43,7 @@ def mined(rows: DataFrame) -> DataFrame:
 
 def tables(technique: DataFrame, tactic: DataFrame, artifact: DataFrame, weakness: DataFrame, mapping: DataFrame) -> dict[str, DataFrame]:
     """Bronze of the five domains to technique, tactic, artifact and relationship tables."""
-    t, c, a, w = (typed(df, ENTITY).withColumn("own", scalar.strip_prefix(_col("@id"), "d3f:")) for df in (technique, tactic, artifact, weakness))
+    t, c, a, w = (parsed(df, ENTITY).withColumn("own", scalar.strip_prefix(_col("@id"), "d3f:")) for df in (technique, tactic, artifact, weakness))
     aliases = lambda *names: scalar.none_if_empty(scalar.keep_first(F.concat(*[scalar.strings(_col(n)) for n in names]))).alias("aliases")
     number = lambda n: scalar.literal_value(_col(n)).cast("int")
     out = {

@@ -39,7 +39,7 @@ def _duck_edge(namespace: str, source: str, kind: str, target: str, extra: str =
     return "'relationship--'||" + _duck_uuid5(f"('{namespace}:'||{source}||'|'||{kind}||'|'||{target}{extra})")
 
 
-# ---- snapshots: events are versions of users; even and odd event_ids are two snapshots ----
+# ---- snapshots: events are versions of users; events with even and with odd event_ids are two snapshots ----
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,11 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
-    return state.latest_wins(_versions(spark, sf_dir).where(F.col("event_id") % 3 == odd), "user_id", "ts", "event_id")
+    return state.latest_wins(_versions(spark, sf_dir).where(F.col("event_id") % 2 == odd), "user_id", "ts", "event_id")
 
 
 _V = "(SELECT user_id, ts, event_id, event_type, value FROM events)"
-_SNAP = "(SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_id % 3 = {} GROUP BY user_id)"
+_SNAP = "(SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_id % 2 = {} GROUP BY user_id)"
 _OLD, _NEW = _SNAP.format(0), _SNAP.format(1)
 
 
@@ -119,6 +119,20 @@ def first_seen_stamp(spark, sf_dir):  # noqa: ANN001, ANN201
     return state.carry_first_seen(_snapshot(spark, sf_dir, 1).select("user_id"), old, "user_id", "first_seen", F.lit("2030-01-01"))
 
 
+_TEXT_TIME = "date_trunc(CASE WHEN event_id % 3 = 0 THEN 'second' ELSE 'millisecond' END, ts)"
+
+
+@query(f"SELECT user_id, arg_max(event_id, ({_TEXT_TIME}, event_id)) AS event_id, strftime(max({_TEXT_TIME}), '%Y-%m-%dT%H:%M:%S') AS newest FROM events GROUP BY user_id")
+def text_time_versions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Text times without a fraction, with one, and with an offset order by value; an empty modified time falls back on the created one."""
+    at, odd = F.col("ts"), F.col("event_id") % 3
+    fmt = "yyyy-MM-dd'T'HH:mm:ss"
+    text = F.when(odd == 0, F.date_format(at, fmt + "'Z'")).when(odd == 1, F.date_format(at, fmt + ".SSS'Z'")).otherwise(F.concat(F.date_format(at + F.expr("INTERVAL 2 HOURS"), fmt + ".SSS"), F.lit("+02:00")))
+    df = _t(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, text).otherwise("").alias("modified"), F.when(F.col("event_id") % 2 == 1, text).alias("created"))
+    best = state.latest_wins(df, "user_id", ("modified", "created"), "event_id")
+    return best.select("user_id", "event_id", F.date_format(state.version_time(best, ("modified", "created")), fmt).alias("newest"))
+
+
 @query("SELECT coalesce(nullif(event_type, 'view'), 'unknown') AS type, count(*) AS n FROM events GROUP BY 1")
 def type_counts(spark, sf_dir):  # noqa: ANN001, ANN201
     """A1."""
@@ -144,23 +158,23 @@ def cross_bundle_merge(spark, sf_dir):  # noqa: ANN001, ANN201
     return state.domain_merge(df, "user_id", "ts", "event_id", "domains").select("user_id", F.array_join("domains", ",").alias("domains"), "ts", "event_id")
 
 
-@query("SELECT extract(year FROM o_orderdate)::INT AS year, count(*) AS added, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed FROM orders GROUP BY 1")
+@query("SELECT extract(year FROM o_orderdate)::INT AS shard, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY ROLLUP (1)")
 def shard_totals(spark, sf_dir):  # noqa: ANN001, ANN201
-    """A6, A10."""
-    return _t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("added"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
+    """Totals by shard and over all."""
+    return state.shard_totals(_t(spark, sf_dir, "orders"), F.year("o_orderdate"), closed=F.col("o_orderstatus") == "F", keys=F.col("o_custkey"))
 
 
-@query("SELECT user_id, min(ts) FILTER (WHERE event_type = 'signup') AS submitted, coalesce(min(ts) FILTER (WHERE event_type = 'signup'), min(ts)) AS created, max(ts) AS modified FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(min(ts) FILTER (WHERE event_type = 'signup'), min(ts)) AS created, max(ts) AS modified FROM events GROUP BY user_id")
 def history_dates(spark, sf_dir):  # noqa: ANN001, ANN201
-    """A11."""
-    first = F.min(F.when(F.col("event_type") == "signup", F.col("ts")))
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(first.alias("submitted"), F.coalesce(first, F.min("ts")).alias("created"), F.max("ts").alias("modified"))
+    """First submission or else first change, last change."""
+    return state.history_dates(_t(spark, sf_dir, "events"), "user_id", "ts", "event_type", "signup")
 
 
-@query("SELECT event_type, arg_min(value, event_id) FILTER (WHERE value > 50) AS first_large FROM events GROUP BY event_type")
+@query("SELECT event_type, arg_min(value, event_id) FILTER (WHERE value > 50) AS value FROM events GROUP BY event_type")
 def first_non_null(spark, sf_dir):  # noqa: ANN001, ANN201
     """A12."""
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("value", F.when(F.col("value") > 50, F.col("event_id"))).alias("first_large"))
+    stated = _t(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") > 50, F.col("value")))
+    return state.first_stated(stated, "value", "event_id", "event_type")
 
 
 # ---- edges, nodes and joins: customers place orders, orders contain parts ----
@@ -193,12 +207,12 @@ def typed_edge_histogram(spark, sf_dir):  # noqa: ANN001, ANN201
     return graph.histogram(graph.union_edges(_placed(spark, sf_dir), graph.edges(items, "items", F.col("s"), "contains", F.col("t"))), nodes).where("source_type is not null and target_type is not null")
 
 
-@query(f"SELECT 'state--'||{_duck_uuid5('(' + chr(39) + 'items:state:' + chr(39) + '||key)')} AS id, l_returnflag, l_linestatus, line FROM (SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 'private|'||l_orderkey||'|'||l_linenumber||'|'||l_returnflag ELSE l_returnflag||'|'||l_linestatus END AS key, l_returnflag, l_linestatus, CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS line FROM lineitem WHERE l_quantity > 45)")
+@query(f"SELECT 'state--'||{_duck_uuid5('(' + chr(39) + 'items:state:' + chr(39) + '||key)')} AS id, l_returnflag, l_linestatus, line FROM (SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 'private|'||l_orderkey||'|'||l_linenumber||'|'||l_returnflag ELSE l_returnflag||'|'||l_linestatus END AS key, l_returnflag, l_linestatus, CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS line FROM lineitem)")
 def shared_node_dedupe(spark, sf_dir):  # noqa: ANN001, ANN201
     """Shared node with a natural key, private node by owner and position without."""
     private = F.col("l_linestatus") == "O"
     key = F.when(private, F.concat_ws("|", F.lit("private"), "l_orderkey", "l_linenumber", "l_returnflag")).otherwise(F.concat_ws("|", "l_returnflag", "l_linestatus"))
-    items = _t(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    items = _t(spark, sf_dir, "lineitem")
     return graph.shared_nodes(items.select(identity.node_id("items", "state", key).alias("id"), "l_returnflag", "l_linestatus", F.when(private, F.col("l_linenumber")).alias("line")))
 
 
@@ -241,7 +255,9 @@ def double_endpoint_join(spark, sf_dir):  # noqa: ANN001, ANN201
 def composite_key_join(spark, sf_dir):  # noqa: ANN001, ANN201
     """J4."""
     items = _t(spark, sf_dir, "lineitem")
-    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(items.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "n")
+    pairs = items.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    found = graph.composite_lookup(items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], pairs, ["l_partkey", "l_suppkey"], "n", "n", "pair")
+    return found.select("l_orderkey", "l_linenumber", "n")
 
 
 @query("WITH n AS (SELECT 'customer--'||c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'order--'||o_orderkey FROM orders WHERE o_orderstatus <> 'P'), e AS (SELECT 'source' AS endpoint, 'customer--'||o_custkey AS ref FROM orders UNION ALL SELECT 'target', 'order--'||o_orderkey FROM orders) SELECT endpoint, 'placed' AS relationship_type, count(DISTINCT ref) AS missing, count(*) AS edges FROM e WHERE ref NOT IN (SELECT id FROM n) GROUP BY endpoint")
@@ -310,25 +326,84 @@ def two_sided_relation(spark, sf_dir):  # noqa: ANN001, ANN201
     return links.reconciled(forward, backward).groupBy("stated").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey AS id, count(DISTINCT l_partkey) AS n, array_to_string(list_sort(list_distinct(list(l_partkey)))[1:3], ',') AS lowest FROM lineitem GROUP BY l_suppkey")
+# ---- relations: suppliers are groups, customers campaigns, parts tools and malware, orders techniques; lineitems link them ----
+
+_LINKS = """(SELECT DISTINCT 'intrusion-set--'||l_suppkey AS s, 'uses' AS k, CASE WHEN l_partkey % 2 = 0 THEN 'tool--' ELSE 'malware--' END||l_partkey AS t FROM lineitem WHERE l_linenumber = 1
+  UNION SELECT DISTINCT 'campaign--'||o_custkey, 'uses', CASE WHEN l_partkey % 2 = 0 THEN 'tool--' ELSE 'malware--' END||l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 2
+  UNION SELECT 'campaign--'||c_custkey, 'attributed-to', 'intrusion-set--'||(c_custkey % 10) FROM customer
+  UNION SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'tool--' ELSE 'malware--' END||l_partkey, 'uses', 'attack-pattern--'||(l_orderkey % 40) FROM lineitem WHERE l_linenumber = 3
+  UNION SELECT 'attack-pattern--'||n_nationkey, 'revoked-by', 'attack-pattern--'||(n_nationkey + 1) FROM nation)"""
+_USES = f"SELECT s AS id, t AS related_id FROM {_LINKS} WHERE s LIKE 'intrusion-set--%' UNION SELECT a.t, u.t FROM {_LINKS} a JOIN {_LINKS} u ON u.s = a.s AND u.k = 'uses' WHERE a.k = 'attributed-to'"
+_LIVE_END = "NOT (related_id LIKE 'tool--%0' OR related_id LIKE 'malware--%1')"
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(objects, links): those that end in 0 among tools and in 1 among malware are revoked."""
+    items, n = _t(spark, sf_dir, "lineitem"), lambda kind, c: F.concat(F.lit(f"{kind}--"), c)
+    software = F.concat(F.when(F.col("l_partkey") % 2 == 0, "tool--").otherwise("malware--"), F.col("l_partkey"))
+    link = lambda df, s, k, t: df.select(s.alias("source_ref"), F.lit(k).alias("relationship_type"), t.alias("target_ref")).distinct()
+    orders, customers, nations = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    parts = [
+        link(items.where("l_linenumber = 1"), n("intrusion-set", F.col("l_suppkey")), "uses", software), link(items.where("l_linenumber = 2").join(orders, F.col("l_orderkey") == F.col("o_orderkey")), n("campaign", F.col("o_custkey")), "uses", software),
+        link(customers, n("campaign", F.col("c_custkey")), "attributed-to", n("intrusion-set", F.col("c_custkey") % 10)), link(items.where("l_linenumber = 3"), software, "uses", n("attack-pattern", F.col("l_orderkey") % 40)),
+        link(nations, n("attack-pattern", F.col("n_nationkey")), "revoked-by", n("attack-pattern", F.col("n_nationkey") + 1)),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    none = F.lit(False)
+    every = every.withColumns({"id": F.concat_ws("|", "source_ref", "relationship_type", "target_ref"), "revoked": none, "x_mitre_deprecated": none})
+    revoked = F.col("id").rlike("^(tool--[0-9]*0|malware--[0-9]*1|attack-pattern--(0|1))$")
+    objects = every.select(F.explode(F.array("source_ref", "target_ref")).alias("id")).distinct().select("id", F.split("id", "--")[0].alias("type"), revoked.alias("revoked"), none.alias("x_mitre_deprecated"))
+    return objects, every
+
+
+@query(f"SELECT id, count(*) AS n, array_to_string(list_sort(list(related_id))[1:3], ',') AS lowest FROM (SELECT DISTINCT id, related_id FROM ({_USES}) WHERE {_LIVE_END}) GROUP BY id")
 def collected_relations(spark, sf_dir):  # noqa: ANN001, ANN201
-    """J17, A14."""
-    pairs = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("related_id"), F.lit("supplies").alias("relationship"))
-    return recipes.collected(pairs).select("id", F.size("related").cast("bigint").alias("n"), F.array_join(F.transform(F.slice("related", 1, 3), lambda r: r["related_id"].cast("string")), ",").alias("lowest"))
+    """Software that groups use, themselves or in campaigns attributed to them, collected by group."""
+    pairs = recipes.relation(*_linked(spark, sf_dir), "group uses software").select("id", "related_id", F.lit("r").alias("relationship"))
+    return recipes.collected(pairs).select("id", F.size("related").cast("bigint").alias("n"), F.array_join(F.transform(F.slice("related", 1, 3), lambda r: r["related_id"]), ",").alias("lowest"))
+
+
+@query(f"SELECT DISTINCT t AS id, s AS related_id FROM {_LINKS} WHERE k = 'uses' AND s LIKE 'campaign--%'")
+def reverse_relations(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Campaigns that use a software; only the far end is asked to be live."""
+    return recipes.relation(*_linked(spark, sf_dir), "campaign uses software", reverse=True).select("id", "related_id").distinct()
 
 
-@query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(f"SELECT DISTINCT u.id, u.related_id AS via, x.t AS related_id FROM (SELECT DISTINCT id, related_id FROM ({_USES}) WHERE {_LIVE_END}) u JOIN {_LINKS} x ON x.s = u.related_id AND x.k = 'uses' WHERE x.t NOT IN ('attack-pattern--0', 'attack-pattern--1')")
+def relation_paths(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Techniques of the software that groups use."""
+    return recipes.relation_path(*_linked(spark, sf_dir), "group uses software", "software uses technique")
+
+
+@query("SELECT 'attack-pattern--'||n_nationkey AS revoked_id, 'attack-pattern--'||(n_nationkey + 1) AS id FROM nation WHERE n_nationkey IN (1, 5) UNION ALL SELECT 'attack-pattern--99', NULL")
+def revoking_objects(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What replaces a revoked object, if it is live."""
+    objects, every = _linked(spark, sf_dir)
+    asked = ["attack-pattern--0", "attack-pattern--1", "attack-pattern--5", "attack-pattern--99"]
+    found = [recipes.revoking_object(objects, every, i).select(F.lit(i).alias("revoked_id"), "id") for i in asked]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.unionByName(spark.createDataFrame([("attack-pattern--99", None)], "revoked_id string, id string"))
+
+
+@query("SELECT 'm'||r_regionkey AS matrix_id, r_name AS matrix, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey DESC) - 1 AS pos, 'n'||n_nationkey AS tactic_id, n_name AS tactic FROM region JOIN nation ON n_regionkey = r_regionkey")
 def ordered_members(spark, sf_dir):  # noqa: ANN001, ANN201
     """Members in the order of their references."""
-    refs = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("refs")).select("n_regionkey", F.posexplode("refs").alias("pos", "n_nationkey"))
-    named = refs.join(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return named.groupBy("r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n_name"))), lambda x: x["n_name"]), ",").alias("members"))
+    nations = _t(spark, sf_dir, "nation")
+    refs = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey"), asc=False).alias("refs"))
+    matrices = _t(spark, sf_dir, "region").join(refs, F.col("r_regionkey") == F.col("n_regionkey")).select(F.concat(F.lit("m"), F.col("r_regionkey")).alias("id"), F.lit("x-mitre-matrix").alias("type"), F.col("r_name").alias("name"), F.transform("refs", lambda n: F.concat(F.lit("n"), n)).alias("tactic_refs"))
+    tactics = nations.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.lit("x-mitre-tactic").alias("type"), F.col("n_name").alias("name"), F.lit(None).cast("array<string>").alias("tactic_refs"))
+    return recipes.tactics_in_order(matrices.unionByName(tactics)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("SELECT DISTINCT l_returnflag, l_shipmode FROM (SELECT l_returnflag, l_linestatus AS l_shipmode FROM lineitem WHERE l_quantity IS NOT NULL)")
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> 'A' UNION SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag = 'A' AND l_discount > 0.02")
 def distinct_tuples(spark, sf_dir):  # noqa: ANN001, ANN201
-    """A7, O3."""
-    return _t(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linestatus").alias("l_shipmode")).dropna().distinct()
+    """Each fact once, without rows that lack a part of it."""
+    flag = F.when((F.col("l_returnflag") != "A") | (F.col("l_discount") > 0.02), F.col("l_returnflag"))
+    return graph.facts(_t(spark, sf_dir, "lineitem").withColumn("l_returnflag", flag), "l_returnflag", "l_linestatus")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F') AND NOT (o_orderpriority = '1-URGENT')")
@@ -338,15 +413,35 @@ def revoked_filter(spark, sf_dir):  # noqa: ANN001, ANN201
     return recipes.active(flagged).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_type IS NOT NULL AND contains(lower(p_name), 'e') AND p_size > 25 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#21')")
+_OBJ = "(SELECT 'o'||p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'tool' WHEN 2 THEN 'malware' ELSE 'intrusion-set' END AS type, p_name AS name, p_brand AS brand, p_size AS size, p_partkey AS k, p_type AS d FROM part)"
+_RECIPES = {
+    "id": "id = 'o7'", "code": "k % 11 = 3", "typed code": "k % 11 = 3 AND type = 'tool'", "name": "type = 'tool' AND name = 'small ring'", "alias": "type = 'intrusion-set' AND brand = 'Brand#2'", "type": "type IN ('tool')",
+    "software": "type IN ('tool', 'malware')", "techniques": "type = 'attack-pattern' AND size % 8 <> 0", "subtechniques": "type = 'attack-pattern' AND size % 8 = 0", "content": "type = 'attack-pattern' AND contains(lower(d), 'on')",
+    "platform": "type = 'attack-pattern' AND size > 25", "tactic": "type = 'attack-pattern' AND k % 3 = 1", "created": "k % 28 + 1 > 14", "modified": "k % 28 + 1 > 20",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS recipe, id FROM {_OBJ} WHERE {where}" for name, where in _RECIPES.items()))
 def recipe_filters(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Content, platform and type predicates over parts as objects."""
-    objects = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("description"), F.array(F.when(F.col("p_size") > 25, "large").otherwise("small")).alias("x_mitre_platforms"))
-    found = None
-    for brand in ("Brand#11", "Brand#12", "Brand#21"):
-        part = recipes.by_platform(recipes.by_content(objects, "E", brand), "large", brand).select("id")
-        found = part if found is None else found.unionByName(part)
-    return found
+    """Each recipe over parts as objects."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 4 == 0, "attack-pattern").when(size % 4 == 1, "tool").when(size % 4 == 2, "malware").otherwise("intrusion-set")
+    phase = lambda chain, name: F.struct(F.lit(chain).alias("kill_chain_name"), F.lit(name).alias("phase_name"))
+    day = F.format_string("2020-01-%02dT00:00:00.000Z", k % 28 + 1)
+    o = _t(spark, sf_dir, "part").select(
+        F.concat(F.lit("o"), k).alias("id"), kind.alias("type"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.array(F.struct(F.lit("mitre-attack").alias("source_name"), F.concat(F.lit("T"), k % 11).alias("external_id"))).alias("external_references"),
+        F.when(k % 3 == 1, F.array(phase("mitre-attack", "impact"))).otherwise(F.array(phase("other", "impact"))).alias("kill_chain_phases"), F.array(F.when(size > 25, "Large").otherwise("Small")).alias("x_mitre_platforms"), (size % 8 == 0).alias("x_mitre_is_subtechnique"), F.col("p_type").alias("description"), day.alias("created"), day.alias("modified"),
+    )
+    found = {
+        "id": recipes.by_stix_id(o, "o7"), "code": recipes.by_attack_id(o, "T3"), "typed code": recipes.by_attack_id(o, "T3", "tool"), "name": recipes.by_name(o, "tool", "small ring"), "alias": recipes.by_alias(o, "Brand#2"), "type": recipes.by_type(o, "tool"),
+        "software": recipes.software(o), "techniques": recipes.techniques(o, "techniques"), "subtechniques": recipes.techniques(o, "subtechniques"), "content": recipes.by_content(o, "ON"),
+        "platform": recipes.by_platform(o, "Large"), "tactic": recipes.by_tactic(o, "impact"), "created": recipes.since(o, "2020-01-14", "created"), "modified": recipes.since(o, "2020-01-20"),
+    }
+    parts = [df.select(F.lit(name).alias("recipe"), "id") for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---- scalar functions ----
@@ -354,7 +449,7 @@ def recipe_filters(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events")
 def json_prop_extract(spark, sf_dir):  # noqa: ANN001, ANN201
-    """S14, F14, F16."""
+    """Objects parsed by an explicit schema."""
     return common.typed(_t(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw")), "k int").select("event_id", "k")
 
 
@@ -402,10 +497,11 @@ def array_union_keep_first(spark, sf_dir):  # noqa: ANN001, ANN201
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(scalar.keep_first(F.concat(a, b)), ",").alias("items"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'CWE-'||c_custkey ELSE 'CWE-'||c_custkey END AS cwe FROM customer")
+@query("SELECT c_custkey, 'CWE-'||regexp_extract(mixed, '[0-9]+') AS cwe FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN ' cwe-'||c_custkey ELSE 'CWE-'||c_custkey||' ' END AS mixed FROM customer)")
 def id_normalization(spark, sf_dir):  # noqa: ANN001, ANN201
     """F38, E13, F13."""
-    mixed = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit(" cwe-"), F.col("c_custkey").cast("string")))
+    key = F.col("c_custkey").cast("string")
+    mixed = F.when(F.col("c_custkey") % 3 == 0, key).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" cwe-"), key)).otherwise(F.concat(F.lit("CWE-"), key, F.lit(" ")))
     return _t(spark, sf_dir, "customer").select("c_custkey", scalar.normalized_id(mixed, "CWE").alias("cwe"))
 
 
@@ -437,22 +533,26 @@ def list_seed_text(spark, sf_dir):  # noqa: ANN001, ANN201
     return turns.select("conv_id", "role", identity.python_list(F.col("turns")).alias("listed"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+@query("SELECT doc_id, sha256('{\"lang\": \"'||lang||'\", \"n_chars\": '||n_chars||', \"source\": \"'||source||'\"}') AS hash FROM documents")
 def content_digest(spark, sf_dir):  # noqa: ANN001, ANN201
-    """F2."""
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    """the hash of a record's canonical JSON."""
+    return _t(spark, sf_dir, "documents").select("doc_id", identity.content_hash(F.to_json(F.struct("source", "n_chars", "lang"))).alias("hash"))
 
 
-@query("SELECT event_id, sha256(props) AS hash FROM events")
+@query("SELECT event_id, sha256('{\"a\": {\"b\": [1, \"x\"], \"z\": '||user_id||'}, \"k\": '||(props->>'$.k')||'}') AS hash FROM events")
 def canonical_json_hash(spark, sf_dir):  # noqa: ANN001, ANN201
-    """F3."""
-    return _t(spark, sf_dir, "events").select("event_id", identity.content_hash(F.col("props")).alias("hash"))
+    """keys in any order and any spacing give one hash."""
+    user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    one = F.concat(F.lit('{"k":'), k, F.lit(' ,  "a":{"z":'), user, F.lit(',"b":[1,"x"]}}'))
+    other = F.concat(F.lit('{"a": {"b": [ 1, "x" ], "z": '), user, F.lit('},\n"k": '), k, F.lit("}"))
+    return _t(spark, sf_dir, "events").select("event_id", identity.content_hash(F.when(F.col("event_id") % 2 == 0, one).otherwise(other)).alias("hash"))
 
 
-@query()
+@query("SELECT page_id, url||chr(10)||chr(10)||'- '||url||CASE WHEN h = '' THEN '' ELSE chr(10)||'- '||h END AS text FROM (SELECT page_id, url, regexp_replace(html, '^\\s+|\\s+$', '', 'g') AS h FROM pages)")
 def markup_flatten(spark, sf_dir):  # noqa: ANN001, ANN201
-    """recursive; tests compare it with hand-computed results."""
-    return _t(spark, sf_dir, "pages").select("page_id", rich_text.flatten_markup(F.to_json(F.struct(F.col("url").alias("p"), F.struct(F.array("url", "html").alias("li")).alias("ul")))).alias("text"))
+    """paragraphs, list items, elements without text."""
+    markup = F.struct(F.col("url").alias("p"), F.lit("x").alias("br"), F.struct(F.array("url", "html").alias("li")).alias("ul"))
+    return _t(spark, sf_dir, "pages").select("page_id", rich_text.flatten_markup(F.to_json(markup)).alias("text"))
 
 
 @query("SELECT p_brand AS id, min(o) AS created, max(o) AS modified, count(*) AS n, arg_max(v, o) AS newest FROM (SELECT p_brand, p_partkey AS o, (p_size || '.' || p_partkey) AS v FROM part) GROUP BY p_brand")
@@ -462,28 +562,22 @@ def collection_index(spark, sf_dir):  # noqa: ANN001, ANN201
     return sinks.collection_index(rows).select("id", "created", "modified", F.size("versions").cast("bigint").alias("n"), F.concat(F.split(F.col("versions")[0]["version"], "\\.")[1], F.lit("."), F.split(F.col("versions")[0]["version"], "\\.")[0]).alias("newest"))
 
 
-@query("SELECT 'customer--'||o_custkey AS subject_id, 'placed' AS predicate, 'order--'||o_orderkey AS object_id, 'orders' AS source FROM orders")
+@query(f"SELECT source_ref AS subject_id, 'placed' AS predicate, target_ref AS object_id, 'orders' AS source, '{{\"id\":\"'||id||'\",\"priority\":\"'||priority||'\"}}' AS properties FROM ({_PLACED})")
 def loader_contract(spark, sf_dir):  # noqa: ANN001, ANN201
-    """K12."""
-    return links.kg_relationships(_placed(spark, sf_dir), "orders").drop("properties")
+    """Subject, predicate, object, source, and all other fields as JSON."""
+    return links.kg_relationships(_placed(spark, sf_dir), "orders")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_custkey < 50")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
 def bundle_sort(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Places in the bundle order of one small catalog."""
-    from pyspark.sql.window import Window
-
-    objects = _t(spark, sf_dir, "orders").where("o_custkey < 50").select("o_orderkey", F.col("o_orderpriority").alias("type"), F.lit("n").alias("name"), F.col("o_orderkey").alias("id"))
-    return objects.select("o_orderkey", F.row_number().over(Window.orderBy(*sinks.bundle_order("attack"))).cast("bigint").alias("place"))
+    """Places in the bundle order, by ranges of it."""
+    objects = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"), F.lit("n").alias("name"), F.col("o_orderkey").alias("id"))
+    return sinks.in_order(objects, sinks.bundle_order("attack")).select("o_orderkey", "place")
 
 
-@query("SELECT (SELECT count(*) FROM events) AS rows, true AS same_in_any_order, true AS differs_without_a_row")
+@query("SELECT (SELECT count(*) FROM events) AS rows, NOT EXISTS (SELECT * FROM (SELECT * FROM events ORDER BY value) EXCEPT ALL SELECT * FROM events) AS same_in_any_order, EXISTS (SELECT * FROM events EXCEPT ALL SELECT * FROM events WHERE event_id > 0) AS differs_without_a_row")
 def table_equality(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Order-insensitive content fingerprints."""
+    """Order-insensitive equality of states."""
     events = _t(spark, sf_dir, "events")
-    every = identity.table_fingerprint(events).select("rows", F.struct("rows", "hash", "total").alias("a"))
-    shuffled = identity.table_fingerprint(events.orderBy("value")).select(F.struct("rows", "hash", "total").alias("b"))
-    fewer = identity.table_fingerprint(events.where("event_id > 0")).select(F.struct("rows", "hash", "total").alias("c"))
-    one = F.lit(1).alias("one")
-    joined = every.withColumn("one", one).join(shuffled.withColumn("one", one), "one").join(fewer.withColumn("one", one), "one")
-    return joined.select("rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") != F.col("c")).alias("differs_without_a_row"))
+    same, fewer = state.same_state(events, events.orderBy("value")), state.same_state(events, events.where("event_id > 0"))
+    return events.agg(F.count("*").alias("rows")).select("rows", F.lit(same).alias("same_in_any_order"), F.lit(not fewer).alias("differs_without_a_row"))
\ No newline at end of file

@@ -107,8 +107,7 @@ def _cve(spark: SparkSession, root: str, o: Options) -> dict:
         landed = page if landed is None else landed.unionByName(page)
     if landed is None:
         landed = spark.createDataFrame([], "pos bigint, raw string")
-    objects = cve.to_objects(landed)
-    made = materialize(objects.select("year", F.to_json(F.struct(*[F.col(c) for c in objects.columns if c != "year"])).alias("raw")).withColumn("pos", F.monotonically_increasing_id()), "objects")
+    made = materialize(cve.bundle_objects(landed).withColumn("pos", F.monotonically_increasing_id()), "objects")
     years = [r.year for r in made.select("year").distinct().orderBy("year").collect()]  # some thirty
     if o.full and not o.dry_run:
         _drop_others(spark, f"{root}/records", {str(y) for y in years})

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from graphloom import queries
+from graphloom import catalog_queries, queries, source_queries  # noqa: F401 (they register their queries)
 
 SF = Path("/root/testdata/sf0.001")
 
