@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import identity, rich_text
-from graphloom.operators import graph
+from graphloom.functions import identity
+from graphloom.operators import graph, links
 from graphloom.plans import attack, capec, cve, cwe, defend
 from graphloom.queries import _duck_edge, _duck_uuid5, _t, query
 
@@ -455,3 +455,53 @@ def record_stamps(spark, sf_dir):  # noqa: ANN001, ANN201
     n, own = "cast(o_orderkey % 50 as string)", "'o'||cast(o_orderkey % 7 as string)"
     text = f"""CASE WHEN o_orderkey % 50 % 2 = 0 THEN '{{"n":'||{n}||',"@id":"x'||{own}||'","_seen":"'||cast(o_orderkey as string)||'"}}' WHEN o_orderkey % 3 = 0 THEN '{{"own":{{"b":"'||{own}||'","a":1}},"n":"'||{n}||'"}}' ELSE '{{"n":"'||{n}||'","own":{{"a":1,"b":"'||{own}||'"}},"_x":0}}' END"""
     return defend.stamped(_bronze(spark, sf_dir, "orders", "o_orderkey", text)).select("key", "content_hash")
+
+
+# ---- the graph across catalogs ----
+
+_PAIRS = ", ".join(f"({_lit(s)}, {_lit(k)}, {_lit(v)})" for (s, k), v in links.LABELS.items())
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN p_size % 30 < {len(links.LABELS)} THEN l.label ELSE 'other' END AS label, 'x' AS source, p_name AS name, '{{\"size\":'||p_size||'}}' AS properties FROM part LEFT JOIN (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_PAIRS}) t(source, kind, label)) l ON l.i = p_size % 30")
+def graph_entities(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The loader's entities, with the label of each catalog's type."""
+    out = None
+    for i, (source, kind) in enumerate([*links.LABELS, ("cve", "other")]):
+        here = F.col("p_size") % 30 == i if i < len(links.LABELS) else F.col("p_size") % 30 >= i
+        nodes = _t(spark, sf_dir, "part").where(here).select(F.col("p_partkey").alias("id"), F.lit(kind).alias("type"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+        one = links.kg_entities(nodes, source).withColumn("source", F.lit("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT source_ref, relationship_type, target_ref, CASE WHEN regexp_full_match(target_ref, '.*[02468]') THEN 'high' ELSE 'low' END AS confidence FROM (SELECT DISTINCT 'd'||doc_id AS source_ref, 'MENTIONS' AS relationship_type, unnest(regexp_extract_all(text, '\\+1 \\([0-9]{3}\\) 555')) AS t, 'CVE-2020-'||t[5:7]||'0'||(doc_id % 10) AS target_ref FROM documents)")
+def mention_edges(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Identifiers that free text mentions, apart from structured edges, with confidence by whether the target is known."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"\+1 \([0-9]{3}\) 555"), F.lit(0)), lambda t: F.concat(F.lit("see CVE-2020-"), F.substring(t, 5, 3), F.lit("0"), F.col("doc_id") % 10, F.lit(".")))
+    nodes = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.array_join(found, " ").alias("text"))
+    known = spark.range(10_000).where("id % 2 = 0").select(F.format_string("CVE-2020-%05d", "id").alias("id"))
+    every = spark.range(100_000).where("id % 2 = 0").select(F.format_string("CVE-2020-%05d", "id").alias("id"))
+    return links.mention_edges(nodes, "text", known=known.unionByName(every)).select("source_ref", "relationship_type", "target_ref", "confidence")
+
+
+@query(
+    "WITH v AS (SELECT 'CVE-2020-'||(1000 + c_custkey) AS cve, 'CWE-'||(c_custkey % 12) AS cwe FROM customer), w AS (SELECT 'CWE-'||n_nationkey AS cwe, 'Art'||(n_nationkey % 4) AS art FROM nation UNION SELECT 'CWE-'||n_nationkey, 'Art9' FROM nation), c AS (SELECT DISTINCT 'Tech'||(o_custkey % 3) AS def, 'T'||(1000 + o_orderkey % 7) AS tech, 'Art'||(o_orderkey % 6) AS art FROM orders), m AS (SELECT DISTINCT 'S'||s_suppkey AS malware, 'T'||(1000 + s_suppkey % 9) AS tech FROM supplier) SELECT DISTINCT v.cve, v.cwe, w.art AS artifact, c.def AS defence, c.tech AS technique, m.malware FROM v JOIN w USING (cwe) JOIN c ON c.art = w.art JOIN m ON m.tech = c.tech"
+)
+def five_source_traversal(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Vulnerability, weakness, artifact, defence, technique and malware."""
+    e = lambda df, s, k, t, o=None: df.select(s.alias("source_ref"), F.lit(k).alias("relationship_type"), t.alias("target_ref"), (F.lit(None).cast("string") if o is None else o).alias("off_artifact"))
+    p = lambda text, c: F.concat(F.lit(text), c)
+    customers, nations, orders, suppliers = (_t(spark, sf_dir, n) for n in ("customer", "nation", "orders", "supplier"))
+    name = p("CVE-2020-", 1000 + F.col("c_custkey"))
+    vulnerable = e(customers, name, "related-to", F.when(F.col("c_custkey") % 2 == 0, p("CWE-", F.col("c_custkey") % 12)).otherwise((F.col("c_custkey") % 12).cast("string")))
+    weak = e(nations, p("CWE-", F.col("n_nationkey")), "weakness_of", p("Art", F.col("n_nationkey") % 4)).unionByName(e(nations, p("CWE-", F.col("n_nationkey")), "may_be_weakness_of", F.lit("Art9")))
+    counters = e(orders, p("Tech", F.col("o_custkey") % 3), "counters", p("T", 1000 + F.col("o_orderkey") % 7), p("Art", F.col("o_orderkey") % 6))
+    uses = e(suppliers, p("S", F.col("s_suppkey")), "uses", p("T", 1000 + F.col("s_suppkey") % 9))
+    return links.five_source_paths(vulnerable, weak.unionByName(counters), uses, customers.select(name.alias("id")))
+
+
+@query(f"SELECT c_custkey, {_duck_uuid5('c_name')} AS id, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, 'base_score' AS snake FROM customer")
+def sql_functions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The registered SQL functions."""
+    identity.register(spark)
+    return _t(spark, sf_dir, "customer").selectExpr("c_custkey", "graph_uuid5(c_name) AS id", "graph_slug(c_name) AS slug", "graph_snake_case('baseScore') AS snake")

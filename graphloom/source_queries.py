@@ -185,3 +185,31 @@ def diff_lists(spark, sf_dir):  # noqa: ANN001, ANN201
     old, new = (state.latest_wins(_versions(spark, sf_dir, i).withColumn("key", F.col("key").cast("bigint")), "key", "modified", "pos") for i in (0, 1))
     found = state.listed(state.diff(old, new, "key", "modified"))
     return found.select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("added", "modified", "removed")])
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one JSON list of all orders' keys."""
+    folder = _folder(spark, "listing")
+    one = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('{"k":'), k, F.lit("}"))), ","), F.lit("]"))
+    text = _t(spark, sf_dir, "orders").agg(one.alias("value")).first().value
+    p, fs = sinks._fs(spark, f"{folder}/listing.json")
+    out = fs.create(p)
+    out.writeBytes(text)
+    out.close()
+    return folder
+
+
+@query("SELECT 'feed' AS source, count(*) AS objects, sum(o_orderkey)::BIGINT AS keys, max(o_orderkey) AS last FROM orders UNION ALL SELECT 'capped', count(*), sum(o_orderkey)::BIGINT, max(o_orderkey) FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 1000) UNION ALL SELECT 'collection', count(*), sum(o_orderkey)::BIGINT, max(o_orderkey) FROM orders")
+def paged_sources(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The feed page by page, whole and up to a number of pages, and a collection by its cursor."""
+    from graphloom.sources import rest
+
+    rest.register(spark)
+    folder = _listing(spark, sf_dir)
+    options = {"transport": "graphloom.sources.replay:get", "pageSize": "500", "quotaSeconds": "0.01"}
+    feed = spark.read.format("offset_pages").options(url=f"replay:{folder}", **options).load()
+    capped = spark.read.format("offset_pages").options(url=f"replay:{folder}", maxPages="2", **options).load()
+    collection = spark.read.format("cursor_pages").options(url=f"replay:{folder}/objects", transport=options["transport"], limit="700").load()
+    k = F.get_json_object("raw", "$.k").cast("bigint")
+    tell = lambda df, name: df.select(F.lit(name).alias("source"), k.alias("k"), "pos").agg(F.first("source").alias("source"), F.count("*").alias("objects"), F.sum("k").alias("keys"), F.max_by("k", "pos").alias("last"))
+    return tell(feed, "feed").unionByName(tell(capped, "capped")).unionByName(tell(collection, "collection"))

@@ -188,7 +188,8 @@ class _CursorReader(DataSourceReader):
             nxt = body.get("next")
             if not body.get("more") or not nxt or pages == self.cap:
                 return
-            url = nxt if str(nxt).startswith("http") else urllib.parse.urljoin(self.url, nxt) if str(nxt).startswith("/") else f"{self.url}?{urllib.parse.urlencode({'next': nxt})}"
+            keep = {"limit": self.size} if self.size else {}
+            url = nxt if str(nxt).startswith("http") else urllib.parse.urljoin(self.url, nxt) if str(nxt).startswith("/") else f"{self.url}?{urllib.parse.urlencode({**keep, 'next': nxt})}"
 
 
 class CursorPages(DataSource):
