@@ -25,7 +25,9 @@ from graphloom.llm.common import Memo, bounded_batches, column, fresh, materiali
 WORDS, SIMILARITY = 5, 0.8
 #: Samples in a band and bands: a pair of similarity 0.8 shares a band key with probability 1 - (1 - 0.8^3)^10 = 0.9992.
 ROWS, BANDS = 3, 10
-#: Cells of the sketch of document frequencies; its size does not depend on the corpus.
+#: Cells of the sketch of document frequencies, a power of two. A cell also counts other shingles; their mean number, distinct shingles of all
+#: documents over CELLS, is taken off, and what is left of the error is its spread, the root of that number. Some 100 million distinct
+#: shingles leave a spread of 10; larger corpora want more cells, at 4 bytes each in every worker.
 CELLS = 1 << 20
 #: The weight of a shingle is tf * (FLOOR + (1 - FLOOR) * idf / largest idf), so that a large group's common shingles still count.
 FLOOR = 0.7
@@ -71,25 +73,25 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(total), return_counts=True)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, size: int = CELLS) -> tuple[np.ndarray, int]:
     """In how many documents each cell's shingles occur, over all documents, and the number of documents.
 
-    Every partition counts into CELLS counters; their sum is merged in two steps by chunk. Only the merged sketch, of fixed size, reaches the driver.
+    Every partition counts into `size` counters; their sum is merged in two steps by chunk. Only the merged sketch, of fixed size, reaches the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(CELLS, np.int64), 0
+        cells, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for a in range(0, batch.num_rows, 1_000):
                 parts = [shingles(t)[0] for t in batch.column(0).slice(a, 1_000).to_pylist()]
-                cells += np.bincount((np.concatenate(parts) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount((np.concatenate(parts) & _U(size - 1)).astype(np.int64), minlength=size)
         if n:
             from pyspark import TaskContext
 
             context = TaskContext.get()
             salt = context.partitionId() % 16 if context else 0
-            step = CELLS // _CHUNKS
+            step = size // _CHUNKS
             data = [zlib.compress(cells[i * step : (i + 1) * step].astype("<i8").tobytes(), 1) for i in range(_CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([salt] * _CHUNKS, pa.int32()), pa.array([n] * _CHUNKS, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "salt", "n", "cells"])
 
@@ -101,7 +103,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     merged = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     got = sorted(merged.collect(), key=lambda r: r.chunk)
     if not got:
-        return np.zeros(CELLS, np.int64), 0
+        return np.zeros(size, np.int64), 0
     return np.concatenate([np.frombuffer(zlib.decompress(r.cells), "<i8") for r in got]), got[0].n
 
 
@@ -132,7 +134,7 @@ class Sampler:
         h = np.concatenate([docs[i][0] for i in full])
         sizes = np.array([len(docs[i][0]) for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        w = np.concatenate([docs[i][1] for i in full]) * self.weight[(h & _U(CELLS - 1)).astype(np.int64)]
+        w = np.concatenate([docs[i][1] for i in full]) * self.weight[(h & _U(len(self.weight) - 1)).astype(np.int64)]
         log_w = np.log(w).astype(np.float32)
         keys = np.zeros((len(full), BANDS), _U)
         for k, seed in enumerate(self.seeds):
@@ -156,7 +158,7 @@ class Sampler:
 def similarity(a: bytes | pa.Buffer, b: bytes | pa.Buffer, weight: np.ndarray) -> float:
     """Weighted Jaccard of two feature strings: per shingle the smaller tf weight over the larger; 1 for two texts without shingles."""
     (ha, ca), (hb, cb) = (np.frombuffer(f, "<u4").reshape(2, -1) for f in (a, b))
-    wa, wb = weight[ha & (CELLS - 1)], weight[hb & (CELLS - 1)]
+    wa, wb = weight[ha & (len(weight) - 1)], weight[hb & (len(weight) - 1)]
     total = float((ca * wa).sum(dtype=np.float64) + (cb * wb).sum(dtype=np.float64))
     if not len(ha) or not len(hb):
         return 0.0 if total else 1.0
@@ -188,19 +190,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) -> DataFrame:
     """(doc_id, class_id) for each row of docs: class_id is the smallest doc_id among the rows it is linked with, directly or through others.
 
     Equal texts, empty ones included, are linked; null text counts as empty. Rows with one doc_id are one document, and so all texts of
     that doc_id are linked. Null doc_ids are compared with nothing and have class_id null. Links join texts with weighted Jaccard
-    similarity of at least `similar`.
+    similarity of at least `similar`. cells: the size of the sketch of document frequencies.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    cells, n = document_frequencies(base)
-    weight = spark.sparkContext.broadcast(weights(cells, n))
+    weight = spark.sparkContext.broadcast(weights(*document_frequencies(base, cells)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(weight.value)
@@ -247,7 +248,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             for node, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, n = np.frombuffer(f.as_buffer(), "<u4").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.astype(np.int64)), pa.array(n * weight.value[h & (CELLS - 1)].astype(np.float64))], names=["node", "h", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.astype(np.int64)), pa.array(n * weight.value[h & (len(weight.value) - 1)].astype(np.float64))], names=["node", "h", "w"])
 
     def bounded(buckets: DataFrame) -> DataFrame:
         """Buckets with each node's weight and the weight of its shingles that other nodes of any bucket have too: no overlap can be larger.

@@ -72,6 +72,60 @@ def test_long_texts_are_scored_in_slices_as_if_whole(words, monkeypatch):
         assert np.allclose(row[: quality.DIM], plain, atol=1e-6)
 
 
+def test_word_vectors_equal_plain_sums(words, monkeypatch):
+    rng = random.Random(4)
+    docs = [textfeat.word_hashes(" ".join(rng.choice(words[:40]) for _ in range(n))) for n in (1, 30, 2, 60, 0)]
+    places, signs = quality.index_vectors()
+    index = lambda b: sum((np.eye(quality.DIM)[p] * s for p, s in zip(places[b], signs[b], strict=True)), np.zeros(quality.DIM))
+    sums = {}
+    for d in docs:
+        buckets = [int(h) & 0xFFFF for h in d]
+        for i, b in enumerate(buckets):
+            total = sums.setdefault(b, np.zeros(quality.DIM))
+            for j in range(max(0, i - quality.WINDOW), min(len(buckets), i + quality.WINDOW + 1)):
+                if j != i:
+                    total += index(buckets[j])
+    seen = {b: v for b, v in sums.items() if v.any()}
+    centre = np.mean(list(seen.values()), axis=0)
+    for size in (100_000, 4):  # in one slice and in many
+        monkeypatch.setattr(quality, "_SLICE", size)
+        got = quality.word_vectors(docs)
+        for b, v in seen.items():
+            v = v - centre
+            assert np.allclose(got[b], v / max(np.linalg.norm(v), 1e-9), atol=1e-5)
+        other = next(b for b in range(quality.BUCKETS) if b not in sums)
+        own = index(other) - centre
+        assert np.allclose(got[other], own / np.linalg.norm(own), atol=1e-5)
+
+
+def test_a_training_step_follows_the_gradient(words):
+    rng = random.Random(5)
+    docs = [textfeat.word_hashes(" ".join(rng.choice(words) for _ in range(n))) for n in (5, 9, 3, 12)]
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 1.0, 1.0])
+
+    def loss(model):
+        z = model.logits(docs)
+        return float(np.mean(weight * (np.logaddexp(0, z) - y * z)))
+
+    before, after = toxicity.Cnn.start(), toxicity.Cnn.start()
+    after.step(docs, y, weight, {}, 1e-3)
+    checked = 0
+    for name, at in [("out", (k,)) for k in range(0, 48, 5)] + [("bias", (k,)) for k in range(0, 48, 5)] + [("filters", (w, 0, i, j)) for w in range(3) for i in range(0, toxicity.DIM, 7) for j in range(0, toxicity.FILTERS, 5)]:
+        of = lambda m: m.filters[at[0]] if name == "filters" else getattr(m, name)  # noqa: B023, E731
+        place = at[1:] if name == "filters" else at
+        moved = float(of(after)[place] - of(before)[place])
+        model = toxicity.Cnn.start()
+        values = of(model)
+        values[place] += 1e-2
+        up = loss(model)
+        values[place] -= 2e-2
+        slope = (up - loss(model)) / 2e-2
+        if abs(slope) > 2e-3:
+            assert moved * slope < 0, (name, at, moved, slope)
+            checked += 1
+    assert checked > 15 and loss(after) < loss(before)
+
+
 def test_convolution_equals_plain_loops(words):
     docs = [textfeat.word_hashes(" ".join(words[:9]))]
     cnn = toxicity.Cnn.start()
