@@ -82,9 +82,10 @@ def composite_lookup(df: DataFrame, refs: Sequence[str], ids: DataFrame, keys: S
     return _replaced(df.join(right, same, "left"), df.columns, out, F.when(known & column(names[-1]).isNull(), missing).otherwise(column(names[-1])))
 
 
-def facts(df: DataFrame, *columns: str) -> DataFrame:
-    """Each combination of these columns once, without those that lack one. Edges made of them are emitted in the order of the combination where an order is asked for."""
-    return df.select(*map(column, columns)).dropna().distinct()
+def facts(df: DataFrame, *columns: str, ordered: bool = False) -> DataFrame:
+    """Each combination of these columns once, without those that lack one; ordered: in ascending order, in which a catalog's edges are emitted."""
+    found = df.select(*map(column, columns)).dropna().distinct()
+    return found.orderBy(*map(column, columns)) if ordered else found
 
 
 def peer_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

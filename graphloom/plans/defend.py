@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.operators.graph import edges, facts, union_edges
+from graphloom.operators import graph
+from graphloom.operators.graph import edges, union_edges
 from graphloom.plans.common import parsed, present, union
 
 NAMESPACE = "mitre-defend-preprocessing"
@@ -27,8 +30,9 @@ def mapping_rows(bronze: DataFrame) -> DataFrame:
     return rows.select(*[present(scalar.binding(F.col(c)) if c.endswith("_label") else scalar.strip_prefix(scalar.binding(F.col(c)), URI)).alias(c) for c in CELLS])
 
 
-def mined(rows: DataFrame) -> DataFrame:
-    """Edges from mapping rows: each fact once, however many rows trace it. Facts are distinct by label; two labels with one slug stay two edges."""
+def mined(rows: DataFrame, ordered: bool = False) -> DataFrame:
+    """Edges from mapping rows: each fact once, however many rows trace it. Facts are distinct by label; two labels with one slug stay two edges. ordered: emitted in the order of their facts."""
+    facts = partial(graph.facts, ordered=ordered)
     acts = facts(rows, "def_tech", "def_artifact_rel_label", "def_artifact")
     enables = facts(rows, "def_tech", "def_tactic")
     offends = facts(rows, "off_tech", "off_artifact_rel_label", "off_artifact")

@@ -401,9 +401,9 @@ def ordered_members(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> 'A' UNION SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag = 'A' AND l_discount > 0.02")
 def distinct_tuples(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Each fact once, without rows that lack a part of it."""
+    """Each fact once, in order, without rows that lack a part of it."""
     flag = F.when((F.col("l_returnflag") != "A") | (F.col("l_discount") > 0.02), F.col("l_returnflag"))
-    return graph.facts(_t(spark, sf_dir, "lineitem").withColumn("l_returnflag", flag), "l_returnflag", "l_linestatus")
+    return graph.facts(_t(spark, sf_dir, "lineitem").withColumn("l_returnflag", flag), "l_returnflag", "l_linestatus", ordered=True)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F') AND NOT (o_orderpriority = '1-URGENT')")
