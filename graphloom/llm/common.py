@@ -9,6 +9,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,19 @@ class Memo(dict):
             self.clear()
 
 
+@lru_cache(maxsize=1)
+def thrift() -> None:
+    """Have this process give large arrays back to the system as soon as they are freed, where its C library can: memory of one stage is not held through the next."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:
+        for what, value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            option(what, value)
+
+
 def use(memo: object) -> None:
     """The calling task works with this memo, a Memo or what else has clear() and a length: all others of the worker are emptied, and what they held goes back to the system."""
+    thrift()
     if not any(m is memo for m in _memos):
         _memos.append(memo)
     stale = [m for m in _memos if m is not memo and len(m)]

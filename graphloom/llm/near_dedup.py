@@ -34,6 +34,9 @@ FLOOR = 0.7
 #: Rounds of centres before what is left of a bucket is compared pair by pair. The last round's centres are nodes already linked, if there
 #: are any, since open nodes are most often near one of these.
 ROUNDS = 3
+#: A bucket is crowded while the nodes outside its largest class times all its nodes are more than this many pairs; then these nodes are first
+#: compared with CENTRES nodes of that class, up to SETTLING times, which links most of them. What is left is still compared pair by pair.
+CROWD, CENTRES, SETTLING = 20_000, 16, 4
 
 _CHUNKS = 32
 _M64 = (1 << 64) - 1
@@ -80,6 +83,7 @@ def document_frequencies(docs: DataFrame, size: int = CELLS) -> tuple[np.ndarray
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_words)
         cells, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -234,6 +238,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
     described = materialize(one.select("node", "text").mapInArrow(describe, "node bigint, f binary"), "features")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_words)
         for batch in batches:
             # as views of the batch: a pair's features are not copied
             s = [similarity(a.as_buffer(), b.as_buffer(), weight.value) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
@@ -245,6 +250,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
         return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(compare, "a bigint, b bigint, s double"), name)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_words)
         for batch in batches:
             for node, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, n = np.frombuffer(f.as_buffer(), "<u4").reshape(2, -1)
@@ -283,13 +289,25 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
         active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *kept, f"d{i}"), "buckets")
         if i == 0:
             active = bounded(active)
-    # nodes that links already connect need no further comparison
-    so_far = components(links)
-    active = active.join(active.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "node").join(so_far, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    active = materialize(active, "buckets")
-    # of two nodes of different classes at least one is outside the bucket's largest class; buckets of one class have no such node
-    largest = active.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    active = materialize(active.join(largest, "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
+    for settling in range(SETTLING + 1):
+        # nodes that links already connect need no further comparison; of two nodes of different classes at least one is outside the
+        # bucket's largest class; buckets of one class have no such node
+        classed = materialize(active.join(components(links), "node", "left").withColumn("class", F.coalesce("class", "node")), "buckets")
+        largest = classed.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+        told = materialize(classed.join(materialize(largest, "largest"), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
+        crowded = told.groupBy("key").agg((F.count("*") * F.count_if("minor")).alias("pairs")).where(F.col("pairs") > CROWD).select("key")
+        crowded = materialize(crowded, "crowded")
+        if settling == SETTLING or crowded.isEmpty():
+            break
+        told = materialize(told.join(crowded, "key", "left_semi").select("key", "node", "minor"), "crowd")
+        centres = told.where(~F.col("minor")).groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("share")).agg(F.min_by("node", F.xxhash64("node", F.lit(settling))).alias("b"))
+        pairs = told.where("minor").select("key", F.col("node").alias("a")).join(materialize(centres.select("key", "b"), "centres"), "key")
+        new = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified").where(F.col("s") >= similar).select("a", "b")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+    active = classed.join(classed.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "node")
+    active = materialize(active.join(materialize(largest, "largest"), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
     one = active.where("minor").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("common").alias("ca"), F.col("keys").alias("ka"), F.col("class").alias("class_a"), *(F.col(d).alias(f"{d}_a") for d in told_d))
     other = active.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("minor").alias("other"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("keys").alias("kb"), F.col("class").alias("class_b"), *(F.col(d).alias(f"{d}_b") for d in told_d))
     # similarity is at most overlap / (both weights - overlap), and the overlap at most either node's common weight

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column, fresh, map_whole_rows, materialize, table, texts
+from graphloom.llm.common import column, fresh, map_whole_rows, materialize, table, texts, use
 
 #: Kinds of the base rules, and one that only the method has.
 KINDS = ("email", "ip", "card", "phone")
@@ -48,6 +48,10 @@ _GROUP = re.compile(r"[+(]?[0-9][0-9()./-]*")
 _MIXED = re.compile(r"[^\W_]+")
 
 
+#: This operator has no cache; its tasks empty those of others.
+_none: dict = {}
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, free = text.find("@"), 0
     while at >= 0:
@@ -167,6 +171,7 @@ def find(docs: DataFrame) -> DataFrame:
     """Seeds and candidates of every whole text, a row each; and one row with kind -2 for each document, so that documents without any stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_none)
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -246,6 +251,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(_none)
         for batch in batches:
             cols = batch.columns[:-1]
             marks = batch.column(batch.num_columns - 1).to_pylist()

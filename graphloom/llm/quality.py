@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textfeat
-from graphloom.llm.common import release, table, texts
+from graphloom.llm.common import release, table, texts, thrift
 from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid
 
 #: Words share this many vectors by hash; an index vector has NONZERO entries of +1 or -1 among DIM.
@@ -19,7 +19,7 @@ BUCKETS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 16, 48, 4, 2, 32
 MAX_ROWS, MAX_WORDS = 9_000, 20_000
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
-_SLICE = 100_000
+_SLICE = 25_000
 
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
     slices, n = [[]], 0
     for d in docs:
         n += len(d)
-        if n > _SLICE * 10:  # bounded memory: documents by the slice
+        if n > _SLICE * 40:  # bounded memory: documents by the slice
             slices.append([])
             n = len(d)
         slices[-1].append(d)
@@ -141,6 +141,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str] | None = None, ep
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
+    thrift()
     model = fit(*labelled(docs, labels, "quality", HELD_OUT, max_rows, kind="<u2"))
     release()
     return model

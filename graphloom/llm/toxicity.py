@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textfeat
-from graphloom.llm.common import release, table, texts
+from graphloom.llm.common import release, table, texts, thrift
 from graphloom.llm.textfeat import fit_temperature, held_out_column, labelled, score, sigmoid
 
 #: A word's embedding joins parts from three hashed tables: of the whole word, of its first four and of its first seven letters.
@@ -20,7 +20,7 @@ DIM = TABLES * PART
 MAX_ROWS, MAX_WORDS = 9_000, 20_000
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
-_SLICE = 60_000
+_SLICE = 30_000
 _PAD = max(WIDTHS) - 1
 
 
@@ -173,6 +173,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str], epochs: int = 6,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Cnn:
+    thrift()
     model = fit(*labelled(docs, labels, "toxic", HELD_OUT, max_rows))
     release()
     return model

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from fixtures_llm import docs_of, extras_kept
 from pyspark.sql import functions as F
 
@@ -193,15 +194,15 @@ def test_fingerprints_of_repeated_rows_one_row_and_none(spark):
     assert fingerprints.fingerprints(docs_of(spark, [])).count() == 0
 
 
-def test_near_duplicates_equal_brute_force(spark, odd_rows, some_rows, words):
-    import random
-
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 0])
+def test_near_duplicates_equal_brute_force(spark, odd_rows, some_rows, words, crowd, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = random.Random(8)
     rows = list(odd_rows) + some_rows[:40]
     base = [rng.choice(words) for _ in range(300)]
-    for k in range(60):  # a large group of near copies of one text
+    for k in range(60):  # a large group of near copies of one text, some farther from one another than near copies are
         copy = list(base)
-        for _ in range(2):
+        for _ in range(2 if k < 40 else 8):
             copy[rng.randrange(300)] = rng.choice(words)
         rows.append((1_000 + k, " ".join(copy)))
     for k, (_, t) in enumerate(some_rows[40:60]):
@@ -229,7 +230,7 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows, some_rows, words):
                 ra, rb = find(a), find(b)
                 parent[max(ra, rb)] = min(ra, rb)
     assert {i: c for i, c in got.items() if i is not None} == {i: find(i) for i in ids}
-    assert len({got[1_000 + k] for k in range(60)}) == 1
+    assert len({got[1_000 + k] for k in range(40)}) == 1
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and extras_kept(kept)
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(find(i) for i in ids))
