@@ -35,6 +35,8 @@ BOUNDARY, COPIES = 1.12, 4
 REACH, PROBES = 1.35, 64
 #: Queries of the calibration, and the share of their true neighbours that the lists read must hold.
 TRIALS, RECALL = 256, 0.995
+#: Of a query's lists so many, its nearest, are read first; from the others only what may be among the answers then is returned.
+FIRST = 16
 #: Entries of a list, or of its queries, in one block.
 BLOCK = 2_048
 
@@ -230,15 +232,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
                 keep[:, PROBES:] = False
                 keep[:, : max(1, probes)] = True
                 r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r))], names=["list", "query", "v"])
-
-    sought = materialize(kinds.mapInArrow(ask, "list int, query bigint, v array<float>"), "ann-sought")
-    # at most MAX_LISTS rows each
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(sought.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list")
-    blocks = F.broadcast(materialize(blocks, "ann-blocks"))
-    left = posted.join(blocks, "list").select("list", F.pmod(F.xxhash64("entry"), "v_blocks").cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "entry", "v")
-    right = sought.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), F.pmod(F.xxhash64("query"), "q_blocks").cast("int").alias("qb"), "query", "v")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r)), pa.array(c < FIRST)], names=["list", "query", "v", "first"])
 
+    sought = materialize(kinds.mapInArrow(ask, "list int, query bigint, v array<float>, first boolean"), "ann-sought")
     def compare(entry_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         names = ["query", "entry", "score"]
         kinds_of = [pa.int64(), pa.int64(), pa.float64()]
@@ -248,15 +244,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         order = np.argsort(ids)
         ids = ids[order]
         x = _matrix(entry_rows.column("v").combine_chunks(), dim)[order].astype(np.float64)
-        asks = query_rows.column("query").to_numpy()
+        asks, known = query_rows.column("query").to_numpy(), query_rows.column("least").to_numpy()
         q = _matrix(query_rows.column("v").combine_chunks(), dim).astype(np.float64)
         most = min(k + 1, len(ids))
         out = []
         for a in range(0, len(asks), 256):
             rough = q[a : a + 256] @ x.T
             # all that may be among the first k + 1 once scores are summed in one fixed order
-            least = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most] - 1e-9 * (1 + np.abs(rough).max(axis=1))
-            r, c = np.nonzero(rough >= least[:, None])
+            least = np.maximum(np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most], known[a : a + 256])
+            r, c = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(rough).max(axis=1)))[:, None])
             out.append((asks[a + r], ids[c], np.add.reduce(q[a + r] * x[c], axis=1)))
         query, entry, score = (np.concatenate(p) for p in zip(*out, strict=True))
         order = np.lexsort((entry, -score, query))
@@ -267,8 +263,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         return pa.table([pa.array(query[keep]), pa.array(entry[keep]), pa.array(score[keep])], names=names)
 
     key = ["list", "vb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query bigint, entry bigint, score double")
-    found = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
+
+    def read(part: DataFrame) -> DataFrame:
+        """(query, entry, score) from the lists of part: (list, query, v, least), least being a score that entries must reach."""
+        # at most MAX_LISTS rows
+        blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(part.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list")
+        blocks = F.broadcast(materialize(blocks, "ann-blocks"))
+        left = posted.join(blocks, "list").select("list", F.pmod(F.xxhash64("entry"), "v_blocks").cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "entry", "v")
+        right = part.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), F.pmod(F.xxhash64("query"), "q_blocks").cast("int").alias("qb"), "query", "v", "least")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query bigint, entry bigint, score double")
+        return materialize(found.groupBy("query", "entry").agg(F.max("score").alias("score")), "ann-found")
+
+    near = read(sought.where("first").select("list", "query", "v", F.lit(float("-inf")).alias("least")))
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == k + 1)
+    rest = sought.where("not first").join(ranked.select("query", F.col("score").alias("reached")), "query", "left")
+    far = read(materialize(rest.select("list", "query", "v", F.coalesce("reached", F.lit(float("-inf"))).alias("least")), "ann-rest"))
+    found = near.unionByName(far).groupBy("query", "entry").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     kept = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).join(entries.select("entry", "ids"), "entry")
     nearest = kept.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
