@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,9 +160,18 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except (Py4JError, OSError, AttributeError):  # the session has ended before: the folder's own retention then applies
+        return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: what several results need is computed once, and a lost executor costs a re-read."""
+    """df written to the shared folder and read back: what several results need is computed once, and a lost executor costs a re-read. The table goes when the driver ends."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,10 @@ from graphloom.streaming import incremental
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{graph.shared_folder(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{graph.shared_folder(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(graph._remove, spark, path)
+    return path
 
 
 def _landed(objects: DataFrame, group: str, member: str = "objects") -> DataFrame:
