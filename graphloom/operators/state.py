@@ -27,7 +27,7 @@ def version_time(df: DataFrame, time: Time, now: Column | None = None) -> Column
     """The time that orders versions of df's rows. Of several columns those that df lacks are passed over."""
     names = [time] if isinstance(time, str) else [t for t in time if t in df.columns]
     read = [F.to_timestamp(F.nullif(F.trim(column(n)), F.lit(""))) if isinstance(df.schema[n].dataType, T.StringType) else column(n) for n in names]
-    return F.coalesce(*read, *([] if now is None else [now.cast("timestamp")]))
+    return F.coalesce(*(read or [F.lit(None).cast("timestamp")]), *([] if now is None else [now.cast("timestamp")]))
 
 
 def _row(df: DataFrame) -> Column:

@@ -190,7 +190,7 @@ _PLACED = f"SELECT {_duck_edge('orders', 's', chr(39) + 'placed' + chr(39), 't',
 
 @query(_PLACED)
 def deterministic_edges(spark, sf_dir):  # noqa: ANN001, ANN201
-    """F1, G1-G29."""
+    """an edge whose identity hashes its ends, its kind and an attribute."""
     return _placed(spark, sf_dir)
 
 
@@ -507,7 +507,7 @@ def id_normalization(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract(millisecond FROM ts)::INT % 1000)::VARCHAR, 3, '0') || 'Z' AS stamp FROM events")
 def timestamp_format(spark, sf_dir):  # noqa: ANN001, ANN201
-    """F4-F7."""
+    """parsed and formatted timestamps."""
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return _t(spark, sf_dir, "events").select("event_id", scalar.format_timestamp(scalar.parse_timestamp(F.concat(text, F.lit("Z")))).alias("stamp"))
 
@@ -521,7 +521,7 @@ def sentinel_null(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT event_type, coalesce(map {'click': 'interaction', 'view': 'interaction', 'purchase': 'sale'}[event_type], event_type) AS label, count(*) AS n FROM events GROUP BY ALL")
 def label_override(spark, sf_dir):  # noqa: ANN001, ANN201
-    """P5, E12, F24, F25."""
+    """P5: labels by a literal table."""
     label = F.coalesce(scalar.mapped(F.col("event_type"), {"click": "interaction", "view": "interaction", "purchase": "sale"}), F.col("event_type"))
     return _t(spark, sf_dir, "events").groupBy("event_type", label.alias("label")).agg(F.count("*").alias("n"))
 
