@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,11 +161,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str, table: str | None = None) -> None:
     try:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except (Py4JError, OSError, AttributeError):  # the session has ended before: the folder's own retention then applies
+    except (Py4JError, PySparkException, OSError, AttributeError):  # the session has ended before: the folder's own retention then applies
         return
 
 
@@ -179,20 +182,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def reachable(edge_table: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, node, hops): every node that starts reach along edges and the least number of hops; cycles end because known pairs are not taken again. With max_hops, only those within so many hops.
 
-    One join a hop against the frontier of new pairs; each hop's result is written to the checkpoint folder, so that the plan does not grow.
+    Known pairs lie in a table bucketed by (start, node) and partitioned by hop: a hop reads its frontier from the last partition, shuffles
+    only what that leads to, and leaves out what is known where that lies. A lost executor costs a re-read.
     """
-    shared_folder(edge_table.sparkSession)
+    spark = edge_table.sparkSession
+    table, path = f"graphloom_reached_{uuid.uuid4().hex}", f"{shared_folder(spark).rstrip('/')}/graphloom/reached-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path, table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def keep(pairs: DataFrame, hop: int) -> DataFrame:
+        found = pairs.select("start", "node", F.lit(hop).alias("hops"))
+        found.write.format("parquet").mode("append").option("path", path).partitionBy("hops").bucketBy(buckets, "start", "node").saveAsTable(table)
+        return spark.table(table)
+
     steps = edge_table.select(F.col("source_ref").alias("node"), F.col("target_ref").alias("next")).distinct()
-    known = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
-    frontier = known
+    known = keep(starts.select(F.col("node").alias("start"), "node").distinct(), 0)
     hop = 0
     while max_hops is None or hop < max_hops:
+        ahead = known.where(F.col("hops") == hop).join(steps, "node").select("start", F.col("next").alias("node")).distinct()
         hop += 1
-        frontier = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct().join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
-        if frontier.isEmpty():
+        known = keep(ahead.join(known.select("start", "node"), ["start", "node"], "left_anti"), hop)
+        if known.where(F.col("hops") == hop).isEmpty():
             break
-        known = known.unionByName(frontier)
-    return known
+    return known.select("start", "node", "hops")
 
 
 def reachable_sql(edges_view: str, starts_view: str, max_hops: int = 6) -> str:
