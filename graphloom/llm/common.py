@@ -133,9 +133,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back, so that a lost executor costs a re-read and not a recomputation."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back, so that a lost executor costs a re-read and not a recomputation.
+
+    narrow: df holds ids and numbers only, and so is written by an eighth of the shuffle's tasks, each into one file, instead of many tiny ones.
+    """
     path = scratch_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(max(1, tasks(df.sparkSession) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

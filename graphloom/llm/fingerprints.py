@@ -13,6 +13,8 @@ Cells are rows keyed by document; every step is a partial aggregation within the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,18 +141,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = base.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"), "own", digests(F.col("new")).alias("edit"), "following", F.monotonically_increasing_id().alias("row"))
     base = materialize(base, "paragraphs")
     dealt = base.select("row", "own", "edit", "following").repartition(n, "row")
-    done = materialize(difference(_jobs(dealt, 0)).withColumn("tries", F.lit(0)), "difference")
+    tried = [materialize(difference(_jobs(dealt, 0)).withColumn("tries", F.lit(0)), "difference")]
     for tries in range(1, RETRIES + 1):
         # few rows: a document that two digests of one cell in every subtable keep from peeling
-        open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
+        open_rows = tried[-1].where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
         again = base.select("row", "own", "edit", "following").join(open_rows, "row").repartition(n, "row")
-        done = materialize(done.where("differing is not null").unionByName(difference(_jobs(again, tries, open_only=True)).withColumn("tries", F.lit(tries))), "difference")
+        tried.append(materialize(difference(_jobs(again, tries, open_only=True)).withColumn("tries", F.lit(tries)), "difference", narrow=True))
     # what no size has peeled is counted from the digests themselves
-    open_rows = done.where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
+    open_rows = tried[-1].where("differing is null").groupBy("row").agg(F.collect_set("pair").alias("open"))
     left = _jobs(base.join(open_rows, "row"), RETRIES, open_only=True)
     exact = left.select("row", "pair", (F.size(F.array_except("mine", "theirs")) + F.size(F.array_except("theirs", "mine"))).cast("bigint").alias("differing"), F.lit(RETRIES).alias("tries"))
     of = lambda pair, c: F.max(F.when(F.col("pair") == pair, F.col(c)))
-    told = done.where("differing is not null").unionByName(exact).groupBy("row").agg(of("edited", "differing").alias("d_edited"), of("next", "differing").alias("d_next"), of("own", "tries").alias("own_tries"), of("edit", "tries").alias("edit_tries"))
+    peeled = reduce(DataFrame.unionByName, [t.where("differing is not null") for t in tried])
+    told = peeled.unionByName(exact).groupBy("row").agg(of("edited", "differing").alias("d_edited"), of("next", "differing").alias("d_next"), of("own", "tries").alias("own_tries"), of("edit", "tries").alias("edit_tries"))
     wide = lambda of: width(F.size(of)) * F.pow(F.lit(float(WIDER)), F.coalesce(f"{of}_tries", F.lit(0)))
     sized = lambda of: F.least(wide(of), F.lit(float(WIDEST))).cast("bigint").alias(f"{of}_width")
     marks = fingerprint(dealt.join(told.select("row", "own_tries", "edit_tries"), "row", "left").select("row", "own", "edit", sized("own"), sized("edit")))

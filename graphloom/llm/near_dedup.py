@@ -181,13 +181,13 @@ def features(text: str) -> bytes:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, class): the smallest node that links (a, b) connect each node with; smallest neighbours and pointer jumps until nothing changes."""
-    edges = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("class")).withColumnRenamed("a", "node"), "labels")
+    edges = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", narrow=True)
+    labels = materialize(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("class")).withColumnRenamed("a", "node"), "labels", narrow=True)
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("class").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
-        step = materialize(step.join(jump, "class", "left").select("node", "old", F.least("class", F.coalesce("further", "class")).alias("class")), "labels")
+        step = materialize(step.join(jump, "class", "left").select("node", "old", F.least("class", F.coalesce("further", "class")).alias("class")), "labels", narrow=True)
         changed = step.where(F.col("old") != F.col("class")).limit(1).count()
         labels = step.select("node", "class")
         if not changed:
@@ -222,8 +222,8 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
     copies = materialize(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "copies")
     keyed = copies.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     # a written side of a join lets Spark split a crowded key over tasks
-    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
-    active = materialize(keyed.join(crowded, "key").withColumn("open", F.lit(True)), "buckets")
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded", narrow=True)
+    active = materialize(keyed.join(crowded, "key").withColumn("open", F.lit(True)), "buckets", narrow=True)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(_words)
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
         rows = materialize(rows, "spread")
         own = rows.groupBy("h").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1").groupBy("node").agg(F.sum("w").alias("own"))
         sized = rows.groupBy("node").agg(F.sum("w").alias("weight")).join(own, "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common"))
-        return materialize(buckets.join(sized.where(F.col("common") >= similar * F.col("weight") - 1e-6), "node"), "buckets")
+        return materialize(buckets.join(sized.where(F.col("common") >= similar * F.col("weight") - 1e-6), "node"), "buckets", narrow=True)
 
     links, told_d = None, []
     gap = 1 - similar
@@ -274,40 +274,40 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
             centre = active.where("open").groupBy("key").agg(F.min("node").alias("b"))
         else:
             centre = active.groupBy("key").agg(F.min_by("node", F.struct("open", F.xxhash64("node"))).alias("b"))
-        centre = materialize(centre, "centres")
+        centre = materialize(centre, "centres", narrow=True)
         pairs = active.join(centre, "key").where("node <> b")
         scored = verified(pairs.select(F.col("node").alias("a"), "b").distinct(), "verified")
         new = scored.where(F.col("s") >= similar).select("a", "b")
         links = new if links is None else links.unionByName(new)
         kept = [*([] if i == 0 else ["weight", "common"]), *told_d]
         told = pairs.join(scored.select(F.col("a").alias("node"), "b", "s"), ["node", "b"]).select("key", "node", "open", *kept, (1 - F.col("s")).alias(f"d{i}"), (F.col("s") >= similar).alias("linked"))
-        told = materialize(told, "told")
+        told = materialize(told, "told", narrow=True)
         told_d.append(f"d{i}")
         # a linked node is still needed if a node that the centre is not linked with, open or not, may lie within reach of it
-        nearest = materialize(told.where("not linked").groupBy("key").agg(F.min(f"d{i}").alias("least")), "nearest")
+        nearest = materialize(told.where("not linked").groupBy("key").agg(F.min(f"d{i}").alias("least")), "nearest", narrow=True)
         left = told.join(nearest, "key").where(~F.col("linked") | (F.col(f"d{i}") >= F.col("least") - gap - 1e-9))
-        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *kept, f"d{i}"), "buckets")
+        active = materialize(left.select("key", "node", (F.col("open") & ~F.col("linked")).alias("open"), *kept, f"d{i}"), "buckets", narrow=True)
         if i == 0:
             active = bounded(active)
     for settling in range(SETTLING + 1):
         # nodes that links already connect need no further comparison; of two nodes of different classes at least one is outside the
         # bucket's largest class; buckets of one class have no such node
-        classed = materialize(active.join(components(links), "node", "left").withColumn("class", F.coalesce("class", "node")), "buckets")
+        classed = materialize(active.join(components(links), "node", "left").withColumn("class", F.coalesce("class", "node")), "buckets", narrow=True)
         largest = classed.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-        told = materialize(classed.join(materialize(largest, "largest"), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
+        told = materialize(classed.join(materialize(largest, "largest", narrow=True), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets", narrow=True)
         crowded = told.groupBy("key").agg((F.count("*") * F.count_if("minor")).alias("pairs")).where(F.col("pairs") > CROWD).select("key")
-        crowded = materialize(crowded, "crowded")
+        crowded = materialize(crowded, "crowded", narrow=True)
         if settling == SETTLING or crowded.isEmpty():
             break
-        told = materialize(told.join(crowded, "key", "left_semi").select("key", "node", "minor"), "crowd")
+        told = materialize(told.join(crowded, "key", "left_semi").select("key", "node", "minor"), "crowd", narrow=True)
         centres = told.where(~F.col("minor")).groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("share")).agg(F.min_by("node", F.xxhash64("node", F.lit(settling))).alias("b"))
-        pairs = told.where("minor").select("key", F.col("node").alias("a")).join(materialize(centres.select("key", "b"), "centres"), "key")
+        pairs = told.where("minor").select("key", F.col("node").alias("a")).join(materialize(centres.select("key", "b"), "centres", narrow=True), "key")
         new = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified").where(F.col("s") >= similar).select("a", "b")
         if new.isEmpty():
             break
         links = links.unionByName(new)
     active = classed.join(classed.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "node")
-    active = materialize(active.join(materialize(largest, "largest"), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets")
+    active = materialize(active.join(materialize(largest, "largest", narrow=True), "key").withColumn("minor", F.col("class") != F.col("largest")).drop("largest"), "buckets", narrow=True)
     one = active.where("minor").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("common").alias("ca"), F.col("keys").alias("ka"), F.col("class").alias("class_a"), *(F.col(d).alias(f"{d}_a") for d in told_d))
     other = active.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("minor").alias("other"), F.col("weight").alias("wb"), F.col("common").alias("cb"), F.col("keys").alias("kb"), F.col("class").alias("class_b"), *(F.col(d).alias(f"{d}_b") for d in told_d))
     # similarity is at most overlap / (both weights - overlap), and the overlap at most either node's common weight
@@ -324,7 +324,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY, cells: int = CELLS) ->
     found = components(links)
     of_node = copies.select("digest", "node", "doc").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = of_node.groupBy("class").agg(F.min("doc").alias("class_id"))
-    of_text = materialize(of_node.join(least, "class").select("digest", "class_id"), "classes")
+    of_text = materialize(of_node.join(least, "class").select("digest", "class_id"), "classes", narrow=True)
     return known.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id").unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id")))
 
 

@@ -187,7 +187,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def _bounded(df: DataFrame, name: str) -> DataFrame:
     """df written, and marked for broadcast if it has at most BROADCAST rows: frequent contexts are then no hot keys."""
-    df = materialize(df, name)
+    df = materialize(df, name, narrow=True)
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
