@@ -36,7 +36,7 @@ FLOOR = 0.7
 ROUNDS = 3
 #: A bucket is crowded while the nodes outside its largest class times all its nodes are more than this many pairs; then these nodes are first
 #: compared with CENTRES nodes of that class, up to SETTLING times, which links most of them. What is left is still compared pair by pair.
-CROWD, CENTRES, SETTLING = 20_000, 16, 4
+CROWD, CENTRES, SETTLING = 20_000, 4, 6
 
 _CHUNKS = 32
 _M64 = (1 << 64) - 1
