@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bucketed, expand, tasks, texts
+from graphloom.llm.common import bucketed, expand, tasks, texts, thrift
 
 #: Characters of text in a block; a longer document makes a block of its own.
 BLOCK_CHARS = 16_000_000
@@ -205,6 +205,7 @@ def dealt(docs: DataFrame, pattern: str, parts: int, block_chars: int) -> DataFr
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        thrift()
         block, number = _Block(pattern), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, col = batch.column(0).to_pylist(), batch.column(1)
@@ -226,6 +227,7 @@ def merged(rows: DataFrame, remember: int = KNOWN) -> DataFrame:
     schema = pa.schema([(c.split(" ")[0], t) for c, t in zip(MERGED.split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrift()
         known: dict[bytes, int] = {}
         for batch in batches:
             for part, block, packed in zip(*batch.columns, strict=True):
@@ -277,6 +279,7 @@ def resolved(folded: DataFrame, path: str) -> DataFrame:
     """Rows of MERGED with ids in place of fresh, in their order, to a block's ids of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrift()
         held, ranks = _Table(), None
         for batch in batches:
             for block, part, long_at, long_words, refs, reset, ids in zip(*batch.columns, strict=True):
@@ -313,6 +316,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
     joined = blocks.where("numbers is not null").select("block", "numbers").join(back, "block", "left").select("numbers", "ids")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrift()
         for batch in batches:
             for numbers, ids in zip(*batch.columns, strict=True):
                 doc_ids, known, chunk_ends, chunks, word_ends, words = _unpack(numbers.as_py(), "<i8", "u1", "<u4", "<u4", "<u4", "<u4")
