@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 #: Bytes of an Arrow batch on its way to a Python worker. Texts are of any length, so that a count of rows bounds no memory.
 BATCH_BYTES = 4_000_000
 
+#: Scratch tables are read by the run that wrote them, which knows that they are whole: they need no marker file.
+_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 _memos: list = []
 
 
@@ -141,14 +144,14 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     if narrow:
         df = df.coalesce(max(1, tasks(df.sparkSession) // 8))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **_UNMARKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """materialize(df), laid out by key: a join on key with as many shuffle partitions reads it where it lies. The table's entry in the catalog goes when the driver ends."""
     spark, table_name = df.sparkSession, f"graphloom_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "none").option("path", scratch_path(spark, name)).bucketBy(buckets, key).saveAsTable(table_name)
+    df.write.format("parquet").options(compression="none", path=scratch_path(spark, name), **_UNMARKED).bucketBy(buckets, key).saveAsTable(table_name)
     atexit.register(_forget, spark, table_name)
     return spark.table(table_name)
 
