@@ -14,6 +14,7 @@ more than SUBSETS pieces, which is tested by single pieces and pairs only.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import combinations
@@ -33,6 +34,8 @@ CAPACITY, END_ID = 4_096, 1
 FILLING_NODES, SEARCH_NODES, SUBSETS = 300, 6_000, 10
 #: Distinct lengths up to which states are remembered and bounded by the piece-wise lower bound.
 SMALL = 64
+#: Steps of the search whose patterns are held at a time; only time depends on it.
+HELD = 64
 #: Pieces of one length are ranked in this many independent shares, so that a length with a third of all pieces is not one task.
 SHARES = 32
 
@@ -99,8 +102,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(filling: tuple[int, ...], spare: int, others: list[int]) -> bool:
-    """Whether one of the other pieces (ascending lengths) could stand for some of the filling's pieces: at least as long as these together, and no longer than they and the spare room.
+def dominated(filling: tuple[int, ...], spare: int, others: list[int], spent: frozenset[int] | set[int] = frozenset()) -> bool:
+    """Whether one of the other pieces (ascending lengths, without the spent ones) could stand for some of the filling's pieces: at least as long as these together, and no longer than they and the spare room.
 
     Then the filling with that piece is as good or better whatever follows. A piece of the same length as one of the filling's does not count.
     """
@@ -109,6 +112,8 @@ def dominated(filling: tuple[int, ...], spare: int, others: list[int]) -> bool:
         for some in {c for c in combinations(filling, size)}:
             s = sum(some)
             i = bisect_left(others, s if size > 1 else s + 1)
+            while i < len(others) and others[i] in spent:
+                i += 1
             if i < len(others) and others[i] <= s + spare:
                 return True
     return False
@@ -131,9 +136,10 @@ def fillings(room: int, counts: dict[int, int], most_waste: int | None = None, s
         while i >= 0 and chosen.count(lengths[i]) >= counts[lengths[i]]:
             i -= 1
         if i < 0:
-            rest = [n for n in lengths if counts[n] > chosen.count(n)]
-            full = (not rest or rest[0] > left) and (most_waste is None or left <= most_waste)
-            if full and chosen not in found and not dominated(chosen, left, rest):
+            spent = {n for n in set(chosen) if counts[n] <= chosen.count(n)}
+            least = next((n for n in lengths if n not in spent), None)
+            full = (least is None or least > left) and (most_waste is None or left <= most_waste)
+            if full and chosen not in found and not dominated(chosen, left, lengths, spent):
                 found.add(chosen)
             continue
         stack.append((i - 1, left, chosen))
@@ -141,57 +147,85 @@ def fillings(room: int, counts: dict[int, int], most_waste: int | None = None, s
     return sorted(found, key=lambda f: (-sum(f), [-n for n in f]))
 
 
+class _Node:
+    """A sequence on the way of the search: the most waste its fillings may have, its patterns unless they are dropped, the number of the next try, and the one taken: pattern and times."""
+
+    __slots__ = ("most", "patterns", "at", "pattern", "times")
+
+    def __init__(self, most: int):
+        self.most, self.patterns, self.at, self.pattern, self.times = most, None, 0, (), 0
+
+
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES, steps: int = FILLING_NODES) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used, for all pieces of these counts.
 
     A filling is tried as often as its pieces last, which gets through a large histogram, and then once, which makes the search complete.
+    The way down holds what each step took, not the pieces it left: one histogram is changed on the way down and put right on the way
+    back. Patterns of steps more than HELD above the last are dropped, and found again if the search returns to them.
     """
     incumbent = best_fit_decreasing(counts, capacity)
     best, floor = sum(t for _, t in incumbent), lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
-    seen: dict[tuple, int] = {}
-
-    def children(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        top = max(left)
-        rest = {**left, top: left[top] - 1}
-        patterns = [(top, *f) for f in fillings(capacity - top, rest, (best - 1) * capacity - total - waste, steps)]
-        for pattern in patterns:
+    seen: dict[bytes, int] = {}
+    left = {n: c for n, c in counts.items() if c}
+    used = waste = 0
+
+    def tries(node: _Node) -> tuple[tuple[int, ...], int] | None:
+        """The node's next try, of the pieces that are left: a pattern as often as they last, then once if that is less."""
+        if node.patterns is None:
+            top = max(left)
+            left[top] -= 1
+            node.patterns = [(top, *f) for f in fillings(capacity - top, left, node.most, steps)]
+            left[top] += 1
+        while node.at < 2 * len(node.patterns):
+            pattern = node.patterns[node.at // 2]
             times = min(left[n] // pattern.count(n) for n in set(pattern))
+            node.at += 1
+            if node.at % 2 == 0:
+                return pattern, 1
             if times > 1:
-                yield pattern, times
-            yield pattern, 1
+                return pattern, times
+        return None
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
+        """Take these pieces away; with times below zero, put them back."""
+        nonlocal used, waste
+        used += times
+        waste += times * (capacity - sum(pattern))
+        for n in pattern:
+            c = left.get(n, 0) - times
+            if c:
+                left[n] = c
+            else:
+                del left[n]
 
-    stack = [(children(counts, 0), counts, (), 0, 0)]
+    stack = [_Node((best - 1) * capacity - total)] if left else []
     while stack and best > floor and nodes > 0:
-        tries, left, plan, used, waste = stack[-1]
-        taken = next(tries, None)
+        node = stack[-1]
+        if node.times:
+            take(node.pattern, -node.times)
+            node.times = 0
+        taken = tries(node)
         if taken is None:
             stack.pop()
             continue
         nodes -= 1
-        pattern, times = taken
-        waste += times * (capacity - sum(pattern))
-        used += times
+        take(*taken)
+        node.pattern, node.times = taken
         if waste > (best - 1) * capacity - total:
             continue
-        after = dict(left)
-        for n in pattern:
-            after[n] -= times
-        after = {n: c for n, c in after.items() if c}
-        plan = (plan, pattern, times)
-        if not after:
+        if not left:
             if used < best:
-                best, incumbent = used, []
-                while plan:
-                    plan, pattern, times = plan
-                    incumbent.append((pattern, times))
+                best, incumbent = used, [(n.pattern, n.times) for n in reversed(stack)]
             continue
-        if len(after) <= SMALL:
-            state = tuple(sorted(after.items()))
-            if seen.get(state, used + 1) <= used or used + lower_bound(after, capacity) >= best:
+        if len(left) <= SMALL:
+            state = array("q", (x for item in sorted(left.items()) for x in item)).tobytes()
+            if seen.get(state, used + 1) <= used or used + lower_bound(left, capacity) >= best:
                 continue
             seen[state] = used
-        stack.append((children(after, waste), after, plan, used, waste))
+        if len(stack) >= HELD:
+            stack[-HELD].patterns = None
+        stack.append(_Node((best - 1) * capacity - total - waste))
     return incumbent
 
 
@@ -232,23 +266,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece (row, piece, length) its sequence_id and offset. cut must be a written table: it is read for the histogram and again for the ranks.
 
-    The driver receives one count for each length and share: at most capacity * SHARES numbers, which also bounds what is broadcast. The
-    plan becomes a row for each piece where it is joined, by length and rank, so that no length is a hot key.
+    The driver receives one count for each length. What is broadcast is bounded too: one number for each length and share. The plan
+    becomes a row for each piece where it is joined, by length and rank, so that no length is a hot key.
     """
     spark = cut.sparkSession
     share = F.pmod(F.xxhash64("row", "piece"), F.lit(SHARES)).cast("int")
     # sequence numbers below zero, by row, for pieces that fill a sequence
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
     short = cut.where(F.col("length") < capacity)
-    counts: dict[int, int] = {}
-    first = []
-    for r in sorted(short.groupBy("length", share.alias("share")).count().collect(), key=lambda r: (r["length"], r["share"])):
-        first.append((r["length"], r["share"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
+    counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    above = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    first = short.groupBy("length", share.alias("share")).agg(F.count("*").alias("n")).select("length", "share", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
     ranked = (
         short.withColumn("share", share)
         .withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("row", "piece")) - 1)
-        .join(F.broadcast(spark.createDataFrame(first, "length bigint, share int, before bigint")), ["length", "share"])
+        .join(F.broadcast(first), ["length", "share"])
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
     runs = spark.createDataFrame(plan_rows(bin_completion(counts, capacity)), PLAN).select(F.col("plan_length").alias("length"), "base", "offset", "first_rank", F.explode(F.sequence("first_rank", "last_rank")).alias("rank"))

@@ -143,6 +143,26 @@ def test_bin_completion_beats_best_fit_and_is_optimal():
     assert sum(t for _, t in plan) == least_bins([34, 28, 24, 21, 17, 16, 12, 12, 12], 60)
 
 
+def test_a_long_search_holds_one_histogram():
+    import tracemalloc
+
+    # best fit needs one more sequence than the bound, so that the search goes on to its end
+    rng = random.Random(0)
+    counts = dict(Counter(min(4_095, int(rng.lognormvariate(6.9, 0.9))) for _ in range(60_000)))
+    counts = {n: c for n, c in counts.items() if n > 900}
+    assert sum(t for _, t in packing.best_fit_decreasing(counts, 4_096)) > packing.lower_bound(counts, 4_096)
+    tracemalloc.start()
+    plan = packing.bin_completion(counts, 4_096, nodes=1_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    placed = Counter()
+    for pattern, times in plan:
+        for n in pattern:
+            placed[n] += times
+    assert placed == counts and all(sum(p) <= 4_096 for p, _ in plan)
+    assert peak < 20_000_000
+
+
 def least_bins(lengths, capacity):
     """By dynamic programming over subsets: the fewest bins, and the least fill of the last one."""
     n = len(lengths)
