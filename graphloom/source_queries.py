@@ -192,14 +192,11 @@ def diff_lists(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one JSON list of all orders' keys."""
+    """A folder with a listing of all orders' keys, in files of some 50,000."""
     folder = _folder(spark, "listing")
-    one = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('{"k":'), k, F.lit("}"))), ","), F.lit("]"))
-    text = _t(spark, sf_dir, "orders").agg(one.alias("value")).first().value
-    p, fs = sinks._fs(spark, f"{folder}/listing.json")
-    out = fs.create(p)
-    out.writeBytes(text)
-    out.close()
+    keys = _t(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL").select("o_orderkey")
+    ordered = keys.repartitionByRange(keys.count() // 50_000 + 1, "o_orderkey").sortWithinPartitions("o_orderkey")
+    ordered.select(F.format_string('{"k":%d}', "o_orderkey")).write.text(f"{folder}/listing")
     return folder
 
 

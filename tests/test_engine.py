@@ -104,6 +104,24 @@ def fake_get(url, headers):
     return json.dumps({"totalResults": 5, "vulnerabilities": [{"n": i} for i in range(start, min(5, start + size))]}).encode()
 
 
+def test_replayed_pages_do_not_read_the_whole_listing_again(tmp_path, monkeypatch):
+    from graphloom.sources import replay
+
+    (tmp_path / "listing").mkdir()
+    for i, part in enumerate((range(0, 4), range(4, 4), range(4, 11))):
+        (tmp_path / "listing" / f"part-{i:05d}.txt").write_text("".join(f'{{"k":{k}}}\n' for k in part))
+    opened = []
+    monkeypatch.setattr(replay, "open", lambda *a, **k: (opened.append(a[0]), open(*a, **k))[1], raising=False)
+    feed = [json.loads(replay.get(f"replay:{tmp_path}?startIndex={s}&resultsPerPage=3")) for s in range(0, 12, 3)]
+    assert [[x["k"] for x in p["vulnerabilities"]] for p in feed] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10]] and {p["totalResults"] for p in feed} == {11}
+    pages, asked = [], ""
+    while asked is not None:
+        pages.append(json.loads(replay.get(f"replay:file:{tmp_path}/objects?limit=5{asked}")))
+        asked = f"&next={pages[-1]['next']}" if pages[-1]["more"] else None
+    assert [[x["k"] for x in p["objects"]] for p in pages] == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10]]
+    assert len(opened) <= 3 + 4  # each counted once, and each read once for a listing
+
+
 def test_paged_sources(spark, monkeypatch, tmp_path):
     rest.register(spark)
     module = tmp_path / "graphloom_fake_transport.py"
