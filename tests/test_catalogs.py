@@ -228,6 +228,17 @@ def test_defensive_techniques_and_paths_through_five_sources(spark, tmp_path):
     assert sinks.tracked_write(t["relationship"].limit(1), f"{tmp_path}/tracked") == "modified"
 
 
+def test_paths_through_five_sources_come_once_and_are_not_shuffled(spark):
+    edge = "source_ref string, relationship_type string, target_ref string"
+    cves = spark.createDataFrame([("CVE-1", "related-to", "CWE-79"), ("CVE-1", "related-to", "79"), ("CVE-2", "related-to", "CWE-79"), ("CVE-2", "related-to", None)], edge)
+    defence = spark.createDataFrame([("CWE-79", "weakness_of", "Page", None), ("CWE-79", "may_be_weakness_of", "Page", None), ("Filter", "counters", "T1", "Page"), ("Filter", "counters", "T1", "Page")], edge + ", off_artifact string")
+    uses = spark.createDataFrame([("S1", "uses", "T1"), ("S1", "uses", "T1"), ("S2", "uses", "T1")], edge)
+    found = links.five_source_paths(cves, defence, uses, spark.createDataFrame([("CVE-1",), ("CVE-1",), ("CVE-2",)], "id string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(c, "CWE-79", "Page", "Filter", "T1", s) for c in ("CVE-1", "CVE-2") for s in ("S1", "S2")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
+
+
 def test_records_without_an_id_are_told_apart_by_their_sorted_content(spark):
     texts = ['{"n": 1}', '{"n": "1"}', '{"x": {"type": "t", "value": "v"}, "_b": 1}', '{"x": {"value": "v", "type": "t"}}', '{"n": 1.0}']
     got = defend.stamped(spark.createDataFrame(list(enumerate(texts)), "pos bigint, raw string")).collect()
