@@ -239,6 +239,28 @@ def test_paths_through_five_sources_come_once_and_are_not_shuffled(spark):
     assert plan.strip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
 
 
+def test_files_of_paths_take_a_fraction_of_a_byte_a_row(spark, tmp_path):
+    edge = "source_ref string, relationship_type string, target_ref string"
+    numbers = lambda n, *columns: spark.range(n).selectExpr(*columns)
+    cves = numbers(700, "concat('CVE-', id) source_ref", "'related-to' relationship_type", "concat('CWE-', id % 2) target_ref")
+    uses = numbers(1203, "concat('S', id) source_ref", "'uses' relationship_type", "concat('T', id % 3) target_ref")
+    uses = uses.unionByName(spark.createDataFrame([(None, "uses", "T1"), ("S1", "uses", None), ("S1", "uses", "T9")], edge))
+    defence = spark.createDataFrame([("CWE-0", "weakness_of", "Page", None), ("CWE-1", "weakness_of", "File", None), ("Filter", "counters", "T0", "Page"), ("Filter", "counters", "T1", "Page"), ("Scan", "counters", "T1", "File"), ("Scan", "counters", "T8", "File")], edge + ", off_artifact string")
+    found = links.five_source_paths(cves, defence, uses, cves.select(F.col("source_ref").alias("id")))
+    found.write.parquet(f"{tmp_path}/paths")
+    back = spark.read.parquet(f"{tmp_path}/paths")
+    software = {k: [f"S{i}" for i in range(1203) if i % 3 == k] for k in (0, 1)}
+    software[1].append(None)
+    ways = {0: [("Page", "Filter", "T0"), ("Page", "Filter", "T1")], 1: [("File", "Scan", "T1")]}
+    expected = [(f"CVE-{i}", f"CWE-{i % 2}", *way, s) for i in range(700) for way in ways[i % 2] for s in software[int(way[2][1])]]
+    got = [tuple(r) for r in back.collect()]
+    assert len(got) == len(set(got)) == len(expected) and set(got) == set(expected)
+    assert back.columns == ["cve", "cwe", "artifact", "defence", "technique", "malware"]
+    assert sum(f.stat().st_size for f in (tmp_path / "paths").glob("*.parquet")) < 0.35 * len(got)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("explode(cve") < plan.index("Coalesce") < plan.index("Join")  # no row's whole fan-out is held in memory
+
+
 def test_records_without_an_id_are_told_apart_by_their_sorted_content(spark):
     texts = ['{"n": 1}', '{"n": "1"}', '{"x": {"type": "t", "value": "v"}, "_b": 1}', '{"x": {"value": "v", "type": "t"}}', '{"n": 1.0}']
     got = defend.stamped(spark.createDataFrame(list(enumerate(texts)), "pos bigint, raw string")).collect()
